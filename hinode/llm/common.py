@@ -142,7 +142,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = 5) -> tupl
         runs += padded[j : j + total] * _PLACE[j]
     for doc in np.flatnonzero((counts > 0) & (counts < size)):
         a, k = starts[doc], counts[doc]
-        runs[a] = (words[a : a + k] * _PLACE[:k]).sum(dtype=np.uint64) + np.uint64(k) * _PLACE[31]
+        runs[a] = np.append(words[a : a + k] * _PLACE[:k], _PLACE[30:31] * np.uint64(k)).sum(dtype=np.uint64)
     place = np.arange(total) - np.repeat(starts[:-1], counts)
     return mix64(runs[place < np.repeat(n_runs, counts)]), n_runs
 

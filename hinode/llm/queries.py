@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import find_contamination
 from .fingerprints import fingerprint_documents
+from .html import extract_pages
 from .langid import identify_languages
+from .near_dedup import near_duplicates
 from .packing import best_fit_pack
 from .secrets import find_secrets, secret_digest
+from .suffixes import remove_repeats
 from .toxicity import score_toxicity
 
 
@@ -28,6 +32,18 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +56,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_best_fit_packing, op2_document_fingerprints, op7_language_id, op8_toxicity, op9_secret_scan)
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op5_minhash_near_dedup, op6_html_extraction, op7_language_id, op8_toxicity, op9_secret_scan, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

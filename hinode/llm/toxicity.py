@@ -25,9 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, mix64, text_bytes
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 DIMENSIONS = 8
 WINDOW = 8
+#: An n-gram found in fewer words of the sample's texts than this has no embedding, so that no text is learned by heart.
+LEAST_FOUND = 5
+#: One in so many sample texts is kept from the embeddings, for the last logistic fit.
+CALIBRATION = 4
 #: Labelled rows of each class that the model is fitted on, in expectation; a hash of the id chooses them.
 SAMPLE_PER_CLASS = 2500
 
@@ -126,7 +130,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
     return float(w[0]), float(w[1])
 
 
-def fit_toxicity(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = 8, rate: float = 0.3, seed: int = 7) -> ToxicityModel:
+def fit_toxicity(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax jointly on labelled texts."""
     labels = np.asarray(labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():
@@ -144,16 +148,19 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, d
     by_gram = [np.bincount(ids, c[gram_word], minlength=buckets) for c in in_class]
     n0, n1 = (labels == 0).sum(), (labels == 1).sum()
     gram_scores = np.log((by_gram[1] + 0.5) / (n1 + 1)) - np.log((by_gram[0] + 0.5) / (n0 + 1))
-    gram_scores[(by_gram[0] + by_gram[1]) < 3] = 0
+    common = by_gram[0] + by_gram[1] >= LEAST_FOUND
+    gram_scores[~common] = 0
 
     rng = np.random.default_rng(seed)
     # rows of the embedding are stepped jointly with the softmax; they start in the direction that chose the first windows
-    emb = rng.normal(0, 0.05, (buckets, dimensions))
+    emb = rng.normal(0, 0.05, (buckets, dimensions)).astype(np.float32) * common[:, None]
+    fold = np.arange(len(labels)) % CALIBRATION == 0
+    fold &= fold.sum() > 0 and len(set(labels[fold])) == 2 and len(set(labels[~fold])) == 2
     soft = rng.normal(0, 0.3, (dimensions, 2))
     bias = np.zeros(2)
     seen_emb, seen_soft, seen_bias = np.full(buckets, 1e-3), np.full(soft.shape, 1e-3), np.full(2, 1e-3)
     weight = np.where(labels == 1, 0.5 / n1, 0.5 / n0) * len(labels)
-    filled = np.flatnonzero(sizes)
+    filled = np.flatnonzero((sizes > 0) & ~fold)
     score_of = lambda g: np.add.reduceat(g[ids], cuts[:-1]) / gram_counts
     for epoch in range(epochs):
         first, _ = top_windows(score_of(gram_scores)[at], starts)
@@ -179,17 +186,20 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, d
             p *= weight[text][:, None]
             back = p @ soft.T
             d_soft, d_bias = hidden.T @ p, p.sum(axis=0)
+            live = common[gram]
+            gram, share, g_row = gram[live], share[live], g_row[live]
             used, inv = np.unique(gram, return_inverse=True)
             d_emb = np.stack([np.bincount(inv, share * back[g_row, d], minlength=len(used)) for d in range(dimensions)], axis=1)
             seen_emb[used] += (d_emb * d_emb).mean(axis=1)
-            emb[used] -= rate * d_emb / np.sqrt(seen_emb[used])[:, None]
+            emb[used] -= rate * (d_emb / np.sqrt(seen_emb[used])[:, None] + decay * emb[used])
             seen_soft += d_soft * d_soft
             soft -= rate * d_soft / np.sqrt(seen_soft)
             seen_bias += d_bias * d_bias
             bias -= rate * d_bias / np.sqrt(seen_bias)
         gram_scores = emb @ (soft[:, 1] - soft[:, 0])
     _, margins = top_windows(score_of(gram_scores)[at], starts)
-    slope, offset = _logistic(margins, labels)
+    last = fold if fold.any() else np.ones(len(labels), bool)
+    slope, offset = _logistic(margins[last], labels[last])
     return ToxicityModel(gram_scores, slope, offset)
 
 
