@@ -11,6 +11,7 @@ from .decontaminate import find_contamination
 from .fingerprints import fingerprint_documents
 from .html import extract_pages
 from .langid import identify_languages
+from .licenses import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import best_fit_pack
 from .secrets import find_secrets, secret_digest
@@ -36,6 +37,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op5_minhash_near_dedup, op6_html_extraction, op7_language_id, op8_toxicity, op9_secret_scan, op10_suffix_dedup)
+QUERIES = (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dedup, op6_html_extraction, op7_language_id, op8_toxicity, op9_secret_scan, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
