@@ -71,11 +71,17 @@ def word_grams(words: list[bytes] | pa.Array, buckets: int = BUCKETS) -> tuple[n
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Each word's place in the list of distinct words, where each text's words begin, and those distinct words."""
+    """Each word's place in the list of distinct words, where each text's words begin, and those distinct words. A word
+    that repeats at once counts once."""
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
     coded = lists.flatten().dictionary_encode()
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return at, lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), coded.dictionary.cast(pa.binary())
+    starts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    keep = np.ones(len(at) + 1, bool)
+    keep[1:-1] = at[1:] != at[:-1]
+    keep[starts[:-1]] = True
+    kept = np.concatenate(([0], np.cumsum(keep[:-1])))
+    return at[keep[:-1]], kept[starts], coded.dictionary.cast(pa.binary())
 
 
 def top_windows(scores: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +105,8 @@ def top_windows(scores: np.ndarray, starts: np.ndarray, window: int = WINDOW) ->
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """gram_scores: each n-gram's part of the margin, embedding times softmax difference; bias; slope and offset of the
-    last logistic fit; prior: the score when nothing could be learned."""
+    """gram_scores: each n-gram's part of the margin, embedding times softmax difference; slope and offset of the last
+    logistic fit, which takes in the softmax's bias."""
 
     gram_scores: np.ndarray
     slope: float
