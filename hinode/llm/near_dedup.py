@@ -56,16 +56,21 @@ def odd_sketch(distinct: np.ndarray) -> tuple[int, bytes]:
     return int(first.sum()), np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def estimate(filled_a: np.ndarray, filled_b: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """Similarity of two sets of samples from their sizes and the population count of their sketches' XOR."""
+def estimate(size_a: np.ndarray, size_b: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Similarity of two sets from their sizes, their numbers of samples and the population count of their sketches' XOR.
+
+    Of the bins that either set fills, the share whose samples agree is the similarity. The number that agree is half of
+    what the samples' symmetric difference leaves; the number filled follows from the larger count of samples.
+    """
     d = -BITS / 2 * np.log(np.maximum(1 - 2 * odd / BITS, 1e-9))
-    total = filled_a + filled_b
-    return np.clip((total - d) / np.maximum(total + d, 1e-9), 0, 1)
+    union, largest = (size_a + size_b) / (1 + SHARE / 100), np.maximum(size_a, size_b)
+    grow = (1 - np.exp(-np.maximum(union, largest) / SAMPLES)) / (1 - np.exp(-largest / SAMPLES))
+    return np.clip((filled_a + filled_b - d) / 2 / (np.maximum(filled_a, filled_b) * grow), 0, 1)
 
 
 def margin(filled: np.ndarray) -> np.ndarray:
-    """How far below the threshold an estimate may lie and still be checked: about five of its deviations."""
-    return np.where(filled < 600, 0.05, 0.08)
+    """How far below the threshold an estimate may lie and still be checked: five of its deviations at least."""
+    return np.maximum(np.where(filled < 200, 0.05, 0.085), 1.2 / filled)
 
 
 def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -138,7 +143,7 @@ def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray,
         odd = np.zeros(len(p), np.int64)
         for w in range(sketch.shape[1]):
             odd += np.bitwise_count(sketch[p, w] ^ sketch[q, w])
-        guess = estimate(filled[p], filled[q], odd)
+        guess = estimate(size[p], size[q], filled[p], filled[q], odd)
         passed = guess >= SHARE / 100 - margin(np.minimum(filled[p], filled[q]))
         p, q, guess = p[passed], q[passed], guess[passed]
         if not best_only:
