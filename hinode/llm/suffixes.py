@@ -276,7 +276,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     anchors = materialize(_anchors(rows, length, gram), "anchors")
     where = F.struct(*key, "place")
-    shared = anchors.groupBy("gram").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.count("*").alias("places")).where("low <> high").select("gram", (F.col("places") > group).alias("large"))
+    shared = anchors.groupBy("gram").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.count("*").alias("places")).where("low <> high")
+    # written, so that both sides of the next join are plain shuffles, of which Spark can split a gram with many places
+    shared = materialize(shared.select("gram", (F.col("places") > group).alias("large")), "grams")
     # the places of one text that need a look, for one of its copies
     asked = anchors.join(shared, "gram").groupBy(*key).agg(F.collect_set(F.struct("gram", "place", "first", "last", "large")).alias("asked"))
     asked = asked.join(copies, key).select(F.col("one").alias("id"), *key, "asked")
