@@ -33,7 +33,7 @@ from .common import materialize
 
 CAPACITY = 2048
 #: Words whose ids a task remembers; the rest are encoded again in each batch.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 
 #: ASCII punctuation that closes words; an apostrophe may begin a contraction.
 _MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
@@ -139,8 +139,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                some = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 out: dict[str, list] = {k.split()[0]: [] for k in _PIECES.split(", ")}
                 for key, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).fill_null("")), strict=True):
                     ids += end
