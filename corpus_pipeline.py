@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hinode.llm.common import crc_mod, materialize, read_table
+from hinode.llm.common import bounded_batches, crc_mod, materialize, read_table
 from hinode.llm.decontaminate import decontaminate
 from hinode.llm.langid import UNDETERMINED, predict_languages, train_language_model
 from hinode.llm.near_dedup import near_duplicates
@@ -20,6 +20,7 @@ from hinode.llm.secrets import redact_secrets
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing lang is filled in."""
+    bounded_batches(spark)
     model = train_language_model(docs.where(crc_mod("doc_id") != 0))
     told = predict_languages(docs, model).where(F.col("lang_pred") != UNDETERMINED)
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -27,22 +28,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and one row of each doc_id; all rows without words stay."""
+    bounded_batches(spark)
     gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bounded_batches(spark)
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in them replaced by a mark."""
+    bounded_batches(spark)
     return redact_secrets(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
+    bounded_batches(spark)
     return best_fit_pack(docs, tokenizer_file())
 
 
