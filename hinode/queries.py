@@ -138,7 +138,7 @@ def criteria_flags(spark, d):
 _REASONS = ", ".join(f"CASE WHEN NOT p_{c} THEN '{c}' END" for c in FLAGS)
 
 
-@query(sql(f"SELECT as_of, code, list_aggregate(list_filter([{_REASONS}], x -> x IS NOT NULL), 'string_agg', ' / ') AS fail_reasons, CAST(len(list_filter([{_REASONS}], x -> x IS NOT NULL)) AS BIGINT) AS n FROM sel WHERE NOT selected"))
+@query(sql(f"SELECT as_of, code, list_aggregate(list_filter([{_REASONS}], lambda x: x IS NOT NULL), 'string_agg', ' / ') AS fail_reasons, CAST(len(list_filter([{_REASONS}], lambda x: x IS NOT NULL)) AS BIGINT) AS n FROM sel WHERE NOT selected"))
 def reasons_joined(spark, d):
     df = screened(spark, d).where("NOT selected")
     return df.select("as_of", "code", F.array_join("fail_reasons", " / ").alias("fail_reasons"), F.size("fail_reasons").cast("long").alias("n"))
@@ -442,7 +442,7 @@ def attach_evaluations(spark, d):
     return history.attach_evaluations(analysis, made).groupBy("final").agg(F.count("*").alias("n"))
 
 
-@query(sql(f"SELECT reason, COUNT(*) AS n FROM (SELECT unnest(list_filter([{_REASONS}], x -> x IS NOT NULL)) AS reason FROM sel) GROUP BY 1 ORDER BY n DESC, reason LIMIT 10"))
+@query(sql(f"SELECT reason, COUNT(*) AS n FROM (SELECT unnest(list_filter([{_REASONS}], lambda x: x IS NOT NULL)) AS reason FROM sel) GROUP BY 1 ORDER BY n DESC, reason LIMIT 10"))
 def fail_reason_topn(spark, d):
     return criteria.fail_reason_counts(screened(spark, d))
 
