@@ -215,7 +215,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = SA
     counts = {r["toxic"]: r["count"] for r in wanted.groupBy("toxic").count().collect()}
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, counts.get(0, 0)))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.where(chance < share), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    sample = F.broadcast(wanted.where(chance < share))  # about per_class rows of each class, whatever the corpus
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     texts = [t or "" for t in rows.column("text").to_pylist()]
     return fit_toxicity(texts, np.array(rows.column("toxic").to_pylist(), dtype=np.float64))
 
