@@ -5,9 +5,9 @@ from __future__ import annotations
 import unicodedata
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hinode.functions.scalars import display_code
 
@@ -24,9 +24,10 @@ def search_text(value: str | None) -> str:
     return "".join(c for c in text if c.isalnum() or c in "々〆ヵヶ")
 
 
-@F.pandas_udf("string")
-def search_key(names: pd.Series) -> pd.Series:
-    return names.map(search_text)
+def search_key(name: str) -> Column:
+    """The key of a column of names."""
+    keys = F.pandas_udf(lambda names: names.map(search_text), T.StringType(), F.PandasUDFType.SCALAR)
+    return keys(F.col(name))
 
 
 def search_companies(companies: DataFrame, query: str, limit: int = 30) -> DataFrame:
@@ -36,13 +37,11 @@ def search_companies(companies: DataFrame, query: str, limit: int = 30) -> DataF
     if not wanted:
         return companies.limit(0).select("code", "name", F.lit(0.0).alias("search_score"), F.lit("").alias("match_type"))
 
-    @F.pandas_udf("double")
-    def likeness(keys: pd.Series) -> pd.Series:
-        def one(key: str) -> float:
-            shared = next((i for i, (a, b) in enumerate(zip(wanted, key, strict=False)) if a != b), min(len(wanted), len(key)))
-            return min(0.84, SequenceMatcher(None, wanted, key).ratio() + min(0.12, shared * 0.025))
+    def one(key: str) -> float:
+        shared = next((i for i, (a, b) in enumerate(zip(wanted, key, strict=False)) if a != b), min(len(wanted), len(key)))
+        return min(0.84, SequenceMatcher(None, wanted, key).ratio() + min(0.12, shared * 0.025))
 
-        return keys.map(one)
+    likeness = F.pandas_udf(lambda keys: keys.map(one), T.DoubleType(), F.PandasUDFType.SCALAR)
 
     key = F.col("search_key")
     share = F.least(F.lit(1.0), F.lit(float(len(wanted))) / F.greatest(F.length(key), F.lit(1)))

@@ -115,6 +115,8 @@ def sql(select: str, *tables: str) -> str:
         if t not in need:
             need.add(t)
             todo += [u for u in TABLES if u != t and re.search(rf"\b{u}\b", TABLES[t])]
+    if not need:
+        return select
     return "WITH " + ",\n".join(f"{t} AS ({TABLES[t]})" for t in TABLES if t in need) + "\n" + select
 
 

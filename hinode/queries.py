@@ -315,14 +315,15 @@ def walkforward_events(spark, d):
 
 
 _POOL = "SELECT *, CASE WHEN market_cap IS NOT NULL THEN ln(1 + greatest(market_cap, 0)) END AS m1, drawdown_52w AS m2, volatility_60d AS m3, per_vs_sector AS m4, pbr_vs_sector AS m5 FROM sel"
-_SPREAD = ", ".join(f"CASE WHEN COUNT(m{i}) >= 4 THEN quantile_cont(m{i}, 0.75) - quantile_cont(m{i}, 0.25) ELSE MAX(m{i}) - MIN(m{i}) END AS s{i}" for i in range(1, 6))
+_SPREAD = ", ".join(f"CASE WHEN COUNT(m{i}) >= 4 THEN quantile_cont(m{i}, 0.75) - quantile_cont(m{i}, 0.25) ELSE MAX(m{i}) - MIN(m{i}) END AS i{i}, stddev_samp(m{i}) AS d{i}" for i in range(1, 6))
+_SCALES = ", ".join(f"CASE WHEN i{i} > 0 THEN i{i} WHEN d{i} > 0 THEN d{i} END AS s{i}" for i in range(1, 6))
 _GAPS = " + ".join(f"CASE WHEN s{i} > 0 THEN COALESCE(abs(p.m{i} - t.m{i}) / s{i}, 0) ELSE 0 END" for i in range(1, 6))
 _SEEN = " + ".join(f"CASE WHEN s{i} > 0 AND p.m{i} IS NOT NULL AND t.m{i} IS NOT NULL THEN 1 ELSE 0 END" for i in range(1, 6))
 
 
 @query(sql(f"""SELECT as_of, target, code, CAST(tier AS BIGINT) AS tier, CAST(place AS BIGINT) AS place, {r('distance')} FROM (SELECT *, row_number() OVER (PARTITION BY as_of, target ORDER BY tier, distance, code) AS place FROM (SELECT p.as_of, t.code AS target, p.code,
     CASE WHEN p.sector = t.sector THEN 1 WHEN p.market = t.market THEN 2 ELSE 3 END AS tier, CASE WHEN ({_SEEN}) >= 2 THEN ({_GAPS}) / ({_SEEN}) END AS distance FROM ({_POOL}) p JOIN ({_POOL}) t ON p.as_of = t.as_of AND t.selected AND NOT p.selected
-    JOIN (SELECT as_of, {_SPREAD} FROM ({_POOL}) WHERE NOT selected GROUP BY 1) s ON s.as_of = p.as_of) WHERE distance IS NOT NULL) WHERE place <= 5"""))
+    JOIN (SELECT as_of, {_SCALES} FROM (SELECT as_of, {_SPREAD} FROM ({_POOL}) WHERE NOT selected GROUP BY 1)) s ON s.as_of = p.as_of) WHERE distance IS NOT NULL) WHERE place <= 5"""))
 def matched_controls(spark, d):
     df = walkforward.matched_controls(screened(spark, d), 5)
     return df.select("as_of", "target", "code", F.col("tier").cast("long").alias("tier"), F.col("place").cast("long").alias("place"), half_up(F.col("distance")).alias("distance"))
@@ -447,7 +448,7 @@ def fail_reason_topn(spark, d):
     return criteria.fail_reason_counts(screened(spark, d))
 
 
-@query(sql("WITH RECURSIVE " + "\n,".join(f"{t} AS ({O.TABLES[t]})" for t in ("px",)) + ", g(code, day) AS (SELECT code, MIN(date) FROM px WHERE date < DATE '1996-01-01' GROUP BY 1 UNION ALL SELECT code, day FROM (SELECT g.code, (SELECT MIN(p.date) FROM px p WHERE p.code = g.code AND p.date >= g.day + 30 AND p.date < DATE '1996-01-01') AS day FROM g) WHERE day IS NOT NULL) SELECT code, day AS analysis_date FROM g"))
+@query("WITH RECURSIVE px AS (" + O.TABLES["px"] + "), g(code, day) AS (SELECT code, MIN(date) FROM px WHERE date < DATE '1996-01-01' GROUP BY 1 UNION ALL SELECT code, day FROM (SELECT g.code, (SELECT MIN(p.date) FROM px p WHERE p.code = g.code AND p.date >= g.day + 30 AND p.date < DATE '1996-01-01') AS day FROM g) WHERE day IS NOT NULL) SELECT code, day AS analysis_date FROM g")
 def gap_dedupe_fold(spark, d):
     rows = T.prices(spark, d).where("date < DATE '1996-01-01'").select("code", F.col("date").alias("analysis_date"))
     return asof.spaced_events(rows, 30)
