@@ -33,7 +33,7 @@ LEAST_FOUND = 5
 #: One in so many sample texts is kept from the embeddings, for the last logistic fit.
 CALIBRATION = 4
 #: Labelled rows of each class that the model is fitted on, in expectation; a hash of the id chooses them.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 2000
 
 
 def word_grams(words: list[bytes] | pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +70,16 @@ def word_grams(words: list[bytes] | pa.Array, buckets: int = BUCKETS) -> tuple[n
     return np.concatenate(ids)[order].astype(np.int64), np.concatenate(([0], np.cumsum(np.bincount(every, minlength=n))))
 
 
+def all_grams(words: pa.Array, buckets: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """word_grams of many words, some at a time and in 32 bits, for less memory."""
+    ids, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), step):
+        some, starts = word_grams(words.slice(at, step), buckets)
+        ids.append(some.astype(np.int32))
+        ends.append(starts[1:] + ends[-1][-1])
+    return np.concatenate(ids), np.concatenate(ends)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Each word's place in the list of distinct words, where each text's words begin, and those distinct words. A word
     that repeats at once counts once."""
@@ -113,7 +123,7 @@ class ToxicityModel:
     offset: float
 
     def word_scores(self, words: pa.Array) -> np.ndarray:
-        ids, starts = word_grams(words, len(self.gram_scores))
+        ids, starts = all_grams(words, len(self.gram_scores))
         if not len(words):
             return np.zeros(0)
         return np.add.reduceat(self.gram_scores[ids], starts[:-1]) / np.diff(starts)
@@ -143,14 +153,14 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, d
         share = float(labels.mean()) if len(labels) else 0.0
         return ToxicityModel(np.zeros(buckets), 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     at, starts, words = split_words(pa.array(texts, pa.string()))
-    ids, cuts = word_grams(words, buckets)
+    ids, cuts = all_grams(words, buckets)
     sizes, gram_counts = np.diff(starts), np.diff(cuts)
     owner = np.repeat(np.arange(len(texts)), sizes)
 
     # in how many texts of either class each distinct word stands, carried to its n-grams
     pair = np.unique(owner * len(words) + at)
     in_class = [np.bincount(pair[labels[pair // len(words)] == k] % len(words), minlength=len(words)).astype(float) for k in (0, 1)]
-    gram_word = np.repeat(np.arange(len(words)), gram_counts)
+    gram_word = np.repeat(np.arange(len(words), dtype=np.int32), gram_counts)
     by_gram = [np.bincount(ids, c[gram_word], minlength=buckets) for c in in_class]
     n0, n1 = (labels == 0).sum(), (labels == 1).sum()
     gram_scores = np.log((by_gram[1] + 0.5) / (n1 + 1)) - np.log((by_gram[0] + 0.5) / (n0 + 1))
@@ -202,7 +212,7 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, d
             soft -= rate * d_soft / np.sqrt(seen_soft)
             seen_bias += d_bias * d_bias
             bias -= rate * d_bias / np.sqrt(seen_bias)
-        gram_scores = emb @ (soft[:, 1] - soft[:, 0])
+        gram_scores = (emb @ (soft[:, 1] - soft[:, 0]).astype(np.float32)).astype(np.float32)
     _, margins = top_windows(score_of(gram_scores)[at], starts)
     last = fold if fold.any() else np.ones(len(labels), bool)
     slope, offset = _logistic(margins[last], labels[last])
