@@ -39,11 +39,12 @@ def forward_returns(anchors: DataFrame, prices: DataFrame, horizons: tuple[int,
     that are not complete yet, or have no valid entry, are null.
     """
     numbered = sessions(prices)
-    rows = locate(anchors.withColumn("anchor_no", F.monotonically_increasing_id()), numbered, date)
-    wanted = F.array(*[F.struct(F.lit(h).alias("h"), (F.col("n0") + delay + h).alias("n")) for h in (*([0] if delay else []), *horizons)])
-    needs = rows.select("anchor_no", "code", F.explode(wanted).alias("w")).select("anchor_no", "code", F.col("w.h").alias("h"), F.col("w.n").alias("session_no"))
-    found = needs.join(numbered, ["code", "session_no"]).groupBy("anchor_no").pivot("h", [*([0] if delay else []), *horizons]).agg(F.max("close").alias("close"), F.max("date").alias("date"))
-    joined = rows.join(found, "anchor_no", "left")
+    rows = locate(anchors, numbered, date)
+    steps = [*([0] if delay else []), *horizons]
+    wanted = F.array(*[F.struct(F.lit(h).alias("h"), (F.col("n0") + delay + h).alias("n")) for h in steps])
+    needs = rows.select("code", "n0").distinct().select("code", "n0", F.explode(wanted).alias("w")).select("code", "n0", F.col("w.h").alias("h"), F.col("w.n").alias("session_no"))
+    found = needs.join(numbered, ["code", "session_no"]).groupBy("code", "n0").pivot("h", steps).agg(F.max("close").alias("close"), F.max("date").alias("date"))
+    joined = rows.join(found, ["code", "n0"], "left")
     base = F.col("0_close") if delay else F.col(entry)
     start = F.col("0_date") if delay else F.col(date)
     ok = (base > 0) & ~F.isnan(base)

@@ -11,6 +11,7 @@ from hinode.operators.decision import badge, readiness
 from hinode.operators.fundamentals import add_sector_context, add_valuation, financial_features
 from hinode.operators.prices import pick_as_of, price_features, trend_indicators
 from hinode.operators.walkforward import add_episodes, market_regime, matched_controls
+from hinode.sources.store import stored
 
 
 def prepare_universe(companies: DataFrame, prices: DataFrame, filings: DataFrame, as_of: DataFrame, index: DataFrame | None = None, least: int = 30) -> DataFrame:
@@ -42,17 +43,18 @@ def walk_forward(companies: DataFrame, prices: DataFrame, filings: DataFrame, in
 
     Prices after a replay date are joined after the selection only. as_of has the columns as_of and snapshot_no.
     """
-    table = apply_criteria(prepare_universe(companies, prices, filings, as_of, index, least), config)
+    table = stored(apply_criteria(prepare_universe(companies, prices, filings, as_of, index, least), config), "criteria")
     chosen = decide(table.where("selected"), prices, as_of).join(F.broadcast(as_of), "as_of")  # replay dates
     chosen = add_episodes(chosen).select("as_of", "snapshot_no", "code", "sector", "market", "episode_id", F.col("close").alias("entry_price"), "quantitative_score", "external_shock_attribution", "index_return_6m", "badge", "legacy_star", "reversal_star")
     chosen = chosen.withColumn("market_regime", market_regime(F.col("index_return_6m")))
+    chosen = stored(chosen, "selected")
     events = forward_returns(chosen, prices, horizons)
     for d in delays:
         late = forward_returns(chosen.select("as_of", "code", "entry_price"), prices, horizons, delay=d, suffix=f"_entry_delay_{d}d")
         events = events.join(late.drop("entry_price"), ["as_of", "code"])
     pool = matched_controls(table, controls).select("as_of", F.col("target").alias("for_code"), "code")
     closes = table.select("as_of", "code", F.col("close").alias("entry_price"))
-    found = forward_returns(pool.join(closes, ["as_of", "code"]), prices, horizons)
+    found = forward_returns(stored(pool.join(closes, ["as_of", "code"]), "controls"), prices, horizons)
     means = found.groupBy("as_of", F.col("for_code").alias("code")).agg(*[F.avg(f"return_{h}d").alias(f"control_return_{h}d") for h in horizons], F.sort_array(F.collect_set("code")).alias("control_codes"))
     events = events.join(means, ["as_of", "code"], "left")
     return events.withColumns({f"selection_edge_{h}d": F.col(f"return_{h}d") - F.col(f"control_return_{h}d") for h in horizons})
