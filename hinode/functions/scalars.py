@@ -41,11 +41,13 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def scale(value: Column, low: float, high: float, points: float, inverse: bool = False) -> Column:
     """Points in proportion to where the value lies between low and high; null gives 0, inverse or not."""
     x = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    return F.coalesce((1.0 - x if inverse else x) * points, F.lit(0.0))
+    # least and greatest pass over nulls, so null is told apart first
+    return F.when(value.isNull(), 0.0).otherwise((1.0 - x if inverse else x) * points)
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """c within [low, high]; null stays null."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def passes(condition: Column) -> Column:

@@ -45,7 +45,7 @@ def matched_controls(table: DataFrame, count: int = 5) -> DataFrame:
     at least). The selected are the few, so they are the side that is sent to the pool's partitions.
     """
     pool = table.where(~passes(F.col("selected")))
-    value = {c: F.log1p(F.greatest(c, F.lit(0.0))) if c == "market_cap" else F.col(c) for c in MATCH_ON}
+    value = {c: F.when(F.col(c).isNotNull(), F.log1p(F.greatest(c, F.lit(0.0)))) if c == "market_cap" else F.col(c) for c in MATCH_ON}
     day = Window.partitionBy("as_of")
     for c in MATCH_ON:
         table, pool = table.withColumn(f"m_{c}", value[c]), pool.withColumn(f"m_{c}", value[c])

@@ -60,7 +60,7 @@ TABLES = {
 
 def _scale(x: str, low: float, high: float, points: int, inverse: bool = False) -> str:
     part = f"least(greatest(({x} - ({low!r}e0)) / ({high!r}e0 - ({low!r}e0)), 0), 1)"
-    return f"COALESCE(({'1 - ' if inverse else ''}{part}) * {points}, 0)"
+    return f"CASE WHEN {x} IS NULL THEN 0 ELSE ({'1 - ' if inverse else ''}{part}) * {points} END"
 
 
 QUALITY = " + ".join((_scale("sales_cagr_3y", -0.05, 0.1, 8), _scale("operating_margin", 0.0, 0.15, 8), _scale("operating_cf_positive_ratio_3y", 0.34, 1.0, 8), _scale("equity_ratio", 0.2, 0.6, 8), _scale("forecast_op_growth", -0.15, 0.2, 8)))
