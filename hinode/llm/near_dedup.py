@@ -249,8 +249,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     labelled = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     second = materialize(_confirm(_candidates(members, labelled, best_only=False), sets), "links")
     if not second.isEmpty():
-        found = connected_components(links.unionByName(second))
-        labelled = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # the links found last join components, so they are contracted among these alone
+        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        between = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        over = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("larger"))
+        labelled = labelled.join(over, "component", "left").withColumn("component", F.coalesce("larger", "component"))
     result = rows.select("id", *name).join(labelled.select(*name, "component"), name, "left")
     real = lambda c: F.when(c != _NO_ID, c)
     key, component = real(F.col("id")), real(F.coalesce("component", "id"))
