@@ -209,3 +209,34 @@ def test_entry_points_without_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+QUICK = ("rolling_feature_store", "financial_last3", "forecast_revision", "event_strength_argmax", "trend_state", "calendar_forward_return", "star_events", "evaluation_pivot", "gap_dedupe_fold", "invalidation_rules", "scalar_functions")
+
+
+@pytest.mark.parametrize("name", QUICK)
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    import glob
+    import math
+    import os
+
+    from hinode.queries import ORACLES, QUERIES
+
+    root = "/root/testdata/sf0.001"
+    if not os.path.isdir(root):
+        pytest.skip("no driver tables here")
+    con = duckdb.connect()
+    for path in glob.glob(f"{root}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+
+    def plain(v):
+        if isinstance(v, float):
+            return None if math.isnan(v) else round(v, 4) + 0.0
+        return v
+
+    got = QUERIES[name](spark, root)
+    names = sorted(got.columns)
+    cursor = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})")
+    expected = [tuple(map(plain, r)) for r in cursor.fetchall()]
+    assert sorted((tuple(map(plain, r)) for r in got.select(*names).collect()), key=str) == sorted(expected, key=str)
