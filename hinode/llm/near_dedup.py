@@ -43,7 +43,7 @@ BLOCK = 4096
 
 _FACTORS = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 _NO_ID = (1 << 63) - 1
-_SIGNATURES = "id long, n_shingles long, s1 long, s2 long, bands array<long>, filled int, sketch binary"
+_SIGNATURES = "id long, n_shingles long, s1 long, s2 long, bands array<long>, short binary, filled int, sketch binary"
 
 
 def odd_sketch(distinct: np.ndarray) -> tuple[int, bytes]:
@@ -102,8 +102,9 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
                     sketch.append(bitmap)
                 signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
                 listed = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
+                short = [row.tobytes() for row in (bands >> np.uint64(32)).astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], pa.int64()), pa.array(size, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), listed, pa.array(filled, pa.int32()), pa.array(sketch, pa.binary())],
+                    [pa.array(ids[a:b], pa.int64()), pa.array(size, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), listed, pa.array(short, pa.binary()), pa.array(filled, pa.int32()), pa.array(sketch, pa.binary())],
                     names=[c.split()[0] for c in _SIGNATURES.split(", ")],
                 )
 
@@ -112,16 +113,17 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def _members(nodes: DataFrame) -> DataFrame:
     """A row per node and shared bucket (and block pair of it, where a bucket is large)."""
-    every = nodes.select(F.explode("bands").alias("bucket"), "id")
+    every = nodes.select(F.posexplode("bands").alias("band", "bucket"), "id")
     shared = every.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     dealt = every.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id")
+    return dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id")
 
 
 def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group that pass by size and sketch and differ in component: all of them, or each member's best."""
+    """Pairs of a group that pass by size and sketch and differ in component: each member's best, or all those of which
+    this is the first band that both share."""
     cross = rows["i"][0] != rows["j"][0]
     left = np.flatnonzero(rows["own"] == rows["i"][0])
     right = np.flatnonzero(rows["own"] == rows["j"][0]) if cross else left
@@ -147,7 +149,8 @@ def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray,
         passed = guess >= SHARE / 100 - margin(np.minimum(filled[p], filled[q]))
         p, q, guess = p[passed], q[passed], guess[passed]
         if not best_only:
-            out.append(np.stack((p, q)))
+            first = (rows["short"][p] == rows["short"][q]).argmax(axis=1) == rows["band"][0]
+            out.append(np.stack((p[first], q[first])))
             continue
         for one, two in ((p, q), (q, p)):  # keep each member's best partner so far
             order = np.lexsort((two, -guess, one))
@@ -164,15 +167,16 @@ def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray,
 def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
     """Distinct pairs a < b to confirm; nodes has id, component and the sketch."""
     group = ["bucket", "i", "j"]
-    rows = members.join(nodes.select("id", "component", "n_shingles", "filled", "sketch"), "id").repartition(*group).sortWithinPartitions(*group)
-    names = [*group, "own", "id", "component", "n_shingles", "filled"]
+    payload = ["sketch"] if best_only else ["sketch", "short"]
+    rows = members.join(nodes.select("id", "component", "n_shingles", "filled", *payload), "id").repartition(*group).sortWithinPartitions(*group)
+    names = [*group, "own", "band", "id", "component", "n_shingles", "filled"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def close(table: pa.Table) -> pa.RecordBatch:
             flat = {k: table.column(k).to_numpy() for k in names}
-            flat["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(table), -1)
+            flat |= {k: np.frombuffer(b"".join(table.column(k).to_pylist()), dtype=np.uint64 if k == "sketch" else np.uint32).reshape(len(table), -1) for k in payload}
             edge = np.flatnonzero(np.any([flat[k][1:] != flat[k][:-1] for k in group], axis=0)) + 1
             left, right = [], []
             for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(table)], strict=True):
@@ -202,7 +206,7 @@ def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool) -> DataFr
         if held:
             yield close(pa.Table.from_batches(held))
 
-    return rows.select(*names, "sketch").mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*names, *payload).mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,7 +240,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = materialize(signatures(docs, text, doc_id), "signatures")
     name = ["s1", "s2", "n_shingles"]
-    nodes = materialize(rows.where("n_shingles > 0").groupBy(*name).agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("filled").alias("filled"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = materialize(rows.where("n_shingles > 0").groupBy(*name).agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("short").alias("short"), F.any_value("filled").alias("filled"), F.any_value("sketch").alias("sketch")), "nodes")
     members = materialize(_members(nodes), "members")
 
     alone = nodes.withColumn("component", F.col("id"))
