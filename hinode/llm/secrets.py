@@ -94,16 +94,17 @@ def literal_spans(data: bytes) -> set[tuple[int, int]]:
 def find_spans(data: bytes) -> list[tuple[int, int, int]]:
     """All spans of a UTF-8 text as (start, end, index of the kind), in bytes, sorted by start and kind."""
     spans = []
-    low = None
+    names = None
     marked = b"=" in data or b":" in data
     if marked:
         low = data.lower()
+        names = low.replace(b"-", b"_")  # as name_score reads them
         if any(k in low for k in _KEYWORDS):
             spans += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(data) if m.end(2) - m.start(2) >= 6]
     if b"AKIA" in data:
         spans += [(m.start(), m.end(), 1) for m in ACCESS.finditer(data) if m.end() - m.start() >= 20]
     spans += [(m.start(), m.end(), 2) for m in HEX.finditer(data)]
-    if marked and any(k in low for k in _STEMS):
+    if marked and any(k in names for k in _STEMS):
         spans += [(a, b, 3) for a, b in literal_spans(data)]
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 

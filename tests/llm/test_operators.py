@@ -399,6 +399,12 @@ def test_lexer_carries_constants():
     assert {text[a:b] for a, b in spans} == {"s3cr3tV4lue9", "Zq81", "Ab12Cd34Ef56"}
 
 
+@pytest.mark.parametrize("name", ["X-Api-Key", "api-key", "access-key", "private-key"])
+def test_hyphenated_names_alone_in_a_text(name):
+    text = f'{name}: "q7Zk29LmX4vT8b"\n'
+    assert [(text[a:b], secrets.KINDS[k]) for a, b, k in secrets.find_spans(text.encode())] == [("q7Zk29LmX4vT8b", "literal")]
+
+
 def test_redaction_leaves_the_rest(spark, docs):
     rows = [(1, 'x token = "0123456789abcdef0123456789abcdef" é', "k"), (2, None, None), (3, "clean", "k")]
     got = {r.doc_id: r.text for r in secrets.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
