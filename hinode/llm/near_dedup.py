@@ -14,10 +14,13 @@ word sequence where it has fewer. Documents are linked when 100 * intersection >
    Confirmed links are contracted to components; a second round brings every passing pair whose components still
    differ, so no link that could join two components stays unchecked.
 
+Nodes are named by a hash of their sets and never by doc_id, which may be null or repeated; a component is given its
+least doc_id at the end.
+
 Defined results: texts without words, and null texts, have the empty set and are linked with nothing. Rows that repeat
-one doc_id are one node. A null doc_id takes part, but names a component only if all its rows are such (component_id is
-then null, kept is false). Ties need no rule: the component is the least doc_id. An empty table gives no rows; columns
-other than the two named ones are left alone.
+one doc_id are linked by their texts alone. A null doc_id takes part, but names a component only if all its rows are such
+(component_id is then null, kept is false). Ties need no rule: the component is the least doc_id. An empty table gives no
+rows; columns other than the two named ones are left alone.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ BLOCK = 4096
 
 _FACTORS = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 _NO_ID = (1 << 63) - 1
-_SIGNATURES = "id long, n_shingles long, s1 long, s2 long, bands array<long>, short binary, filled int, sketch binary"
+_SIGNATURES = "id long, text_id long, node long, n_shingles long, s1 long, s2 long, bands array<long>, short binary, filled int, sketch binary"
 
 
 def odd_sketch(distinct: np.ndarray) -> tuple[int, bytes]:
@@ -74,12 +77,11 @@ def margin(filled: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The set's size, two hashes that name it, its bands and its odd sketch for every row."""
+    """The id, the text's hash, the node, the set's size, two hashes that name it, its bands and its odd sketch for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             for a, b in chunks(offsets):
                 words, counts = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 runs, n = shingle_hashes(words, counts, SHINGLE)
@@ -100,15 +102,16 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
                     k, bitmap = odd_sketch(distinct)
                     filled.append(k)
                     sketch.append(bitmap)
+                node = mix64(np.array(s1, np.uint64) ^ mix64(np.array(s2, np.uint64) + np.array(size, np.uint64)))
                 signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
                 listed = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
                 short = [row.tobytes() for row in (bands >> np.uint64(32)).astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], pa.int64()), pa.array(size, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), listed, pa.array(short, pa.binary()), pa.array(filled, pa.int32()), pa.array(sketch, pa.binary())],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(signed(node)), pa.array(size, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), listed, pa.array(short, pa.binary()), pa.array(filled, pa.int32()), pa.array(sketch, pa.binary())],
                     names=[c.split()[0] for c in _SIGNATURES.split(", ")],
                 )
 
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text")).mapInArrow(run, _SIGNATURES)
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text")).mapInArrow(run, _SIGNATURES)
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -218,35 +221,37 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(F.lit(100) * F.col("shared") >= F.lit(SHARE) * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
-    """id and the distinct shingles of the documents with these ids."""
+def _full_sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """id and the distinct shingles of the nodes (id, text_id), each from one text that has its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids_ = batch.column(0).to_pylist()
             data, offsets = text_bytes(batch.column(1))
             for a, b in chunks(offsets):
                 words, counts = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 runs, n = shingle_hashes(words, counts, SHINGLE)
                 sets = [np.unique(s).view(np.int64) for s in np.split(runs, np.cumsum(n)[:-1])]
                 listed = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids_[a:b], pa.int64()), listed], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), listed], names=["id", "shingles"])
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
+    # copies meet before the shuffle, so a text that many rows have is sent once a task
+    texts = docs.select(F.xxhash64(text).alias("text_id"), F.col(text).alias("text")).groupBy("text_id").agg(F.max("text").alias("text"))
+    texts = texts.join(nodes.select("text_id"), "text_id", "left_semi").join(nodes, "text_id")
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """All rows' signatures, and (id, lead, component) of the nodes; lead is the least (doc_id, text_id) of a node's rows."""
     rows = materialize(signatures(docs, text, doc_id), "signatures")
-    name = ["s1", "s2", "n_shingles"]
-    nodes = materialize(rows.where("n_shingles > 0").groupBy(*name).agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("short").alias("short"), F.any_value("filled").alias("filled"), F.any_value("sketch").alias("sketch")), "nodes")
+    best = F.min(F.struct("id", "text_id")).alias("lead")
+    nodes = rows.where("n_shingles > 0").groupBy(F.col("node").alias("id")).agg(best, *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "short", "filled", "sketch")])
+    nodes = materialize(nodes, "nodes")
     members = materialize(_members(nodes), "members")
 
     alone = nodes.withColumn("component", F.col("id"))
     first = materialize(_candidates(members, alone, best_only=True), "pairs")
     ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    sets = materialize(_full_sets(docs, ids, text, doc_id), "sets")
+    sets = materialize(_full_sets(docs, nodes.join(ids, "id", "left_semi").select("id", "lead.text_id"), text), "sets")
     links = materialize(_confirm(first, sets), "links")
     found = connected_components(links)
 
@@ -258,7 +263,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         between = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
         over = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("larger"))
         labelled = labelled.join(over, "component", "left").withColumn("component", F.coalesce("larger", "component"))
-    result = rows.select("id", *name).join(labelled.select(*name, "component"), name, "left")
+    return rows, labelled.select("id", "lead", "component")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows, nodes = _components(docs, text, doc_id)
+    least = nodes.groupBy("component").agg(F.min("lead.id").alias("least"))
+    named = nodes.join(least, "component").select(F.col("id").alias("node"), "least")
+    result = rows.select("id", "node", "n_shingles").join(named, "node", "left")
     real = lambda c: F.when(c != _NO_ID, c)
-    key, component = real(F.col("id")), real(F.coalesce("component", "id"))
+    key, component = real(F.col("id")), real(F.coalesce("least", "id"))
     return result.select(key.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(key == component, F.lit(False)).alias("kept"))

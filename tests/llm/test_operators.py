@@ -269,6 +269,18 @@ def test_near_duplicates_without_ids_or_rows(spark, empty):
     assert sorted_rows(got) == [(None, 1, None, False), (None, 1, 4, False), (4, 1, 4, True)]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    texts = [" ".join(words(rng, 120)) for _ in range(6)]
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in texts]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[5])]
+    rows += [(100 + i, near[i]) for i in (1, 2, 3, 5)] + [(None, near[4]), (3, near[0])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    n = 116
+    expected = [(7, n, 3), (7, n, 7), (7, n, 7), (None, n, 103), (None, n, None), (None, n, 105), (101, n, 7), (102, n, 7), (103, n, 103), (105, n, 105), (None, n, None), (3, n, 3)]
+    assert sorted_rows([(r.doc_id, r.n_shingles, r.component_id) for r in got]) == sorted_rows(expected)
+
+
 @pytest.mark.parametrize("size", [7, 40, 150, 500, 1000, 3000, 20000])
 def test_odd_sketch_finds_pairs_at_the_threshold(size):
     rng = np.random.default_rng(size)
