@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hinode.llm.common import bounded_batches, crc_mod, materialize, read_table
 from hinode.llm.decontaminate import decontaminate
 from hinode.llm.langid import UNDETERMINED, predict_languages, train_language_model
-from hinode.llm.near_dedup import near_duplicates
+from hinode.llm.near_dedup import drop_near_duplicates
 from hinode.llm.packing import best_fit_pack
 from hinode.llm.queries import tokenizer_file
 from hinode.llm.secrets import redact_secrets
@@ -27,10 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, and one row of each doc_id; all rows without words stay."""
+    """One row of each group of near-duplicate texts, whatever their doc_id; all rows without words stay."""
     bounded_batches(spark)
-    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,6 +191,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item; rows with a null doc_id stay."""
-    leaks = find_contamination(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose text holds no test item. Rows are told apart by a hash of their text, so a null or repeated doc_id is no matter."""
+    name = "_text_id"
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = find_contamination(texts, benchmark, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, F.xxhash64("text")).join(leaks, name, "left_anti").select(*docs.columns)

@@ -275,3 +275,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     real = lambda c: F.when(c != _NO_ID, c)
     key, component = real(F.col("id")), real(F.coalesce("least", "id"))
     return result.select(key.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(key == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component, that of the least doc_id, null ids last, and all rows without words.
+
+    Rows are told apart by their texts: a null or repeated doc_id neither links rows nor drops any.
+    """
+    _, nodes = _components(docs, text, doc_id)
+    leads = nodes.groupBy("component").agg(F.min("lead").alias("lead")).select("lead.text_id")
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # equal texts meet before the shuffle, so no task gets all copies
+    least = F.min(F.struct(F.col(doc_id).isNull().alias("last"), F.struct(doc_id, *[c for c in docs.columns if c != doc_id]).alias("row")))
+    first = docs.where(worded).groupBy(F.xxhash64(text).alias("text_id")).agg(least.alias("least"))
+    chosen = first.join(leads, "text_id", "left_semi").select("least.row.*").select(*docs.columns)
+    return chosen.unionByName(docs.where(~worded))
