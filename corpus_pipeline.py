@@ -18,6 +18,10 @@ from hinode.llm.queries import tokenizer_file
 from hinode.llm.secrets import redact_secrets
 
 
+#: Texts whose word shingles are alike by this share in a hundred are near-duplicates in the pipeline.
+NEAR = 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing lang is filled in."""
     bounded_batches(spark)
@@ -29,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicate texts, whatever their doc_id; all rows without words stay."""
     bounded_batches(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, share=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

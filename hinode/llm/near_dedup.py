@@ -5,7 +5,7 @@ word sequence where it has fewer. Documents are linked when 100 * intersection >
 
 1. Documents with equal sets are one node, so copies cost nothing further.
 2. BANDS bands of ROWS min-hashes give candidates: a linked pair shares no band with probability
-   (1 - 0.85^5)^24 < 1e-6.
+   (1 - 0.85^5)^24 < 1e-6; at a share of 80 it is under 1e-4.
 3. Each node has an odd sketch: its min-hash samples (the least hash in each of SAMPLES bins) are folded into a bitmap of
    parities. The population count of two sketches' XOR estimates the symmetric difference of the samples, and so the
    similarity, closely where it is high. Candidates of a band are compared by sketches alone, in blocks of bounded size.
@@ -36,7 +36,7 @@ from .common import chunks, materialize, mix64, shingle_hashes, text_bytes, word
 from .graph import connected_components
 
 SHINGLE = 5
-#: Linked when 100 * intersection >= SHARE * union.
+#: Linked when 100 * intersection >= SHARE * union, unless the caller gives another share.
 SHARE = 85
 BANDS, ROWS = 24, 5
 #: Min-hash samples of a sketch, and its bits.
@@ -59,21 +59,25 @@ def odd_sketch(distinct: np.ndarray) -> tuple[int, bytes]:
     return int(first.sum()), np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def estimate(size_a: np.ndarray, size_b: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, odd: np.ndarray) -> np.ndarray:
+def estimate(size_a: np.ndarray, size_b: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, odd: np.ndarray, share: int = SHARE) -> np.ndarray:
     """Similarity of two sets from their sizes, their numbers of samples and the population count of their sketches' XOR.
 
     Of the bins that either set fills, the share whose samples agree is the similarity. The number that agree is half of
     what the samples' symmetric difference leaves; the number filled follows from the larger count of samples.
     """
     d = -BITS / 2 * np.log(np.maximum(1 - 2 * odd / BITS, 1e-9))
-    union, largest = (size_a + size_b) / (1 + SHARE / 100), np.maximum(size_a, size_b)
+    union, largest = (size_a + size_b) / (1 + share / 100), np.maximum(size_a, size_b)
     grow = (1 - np.exp(-np.maximum(union, largest) / SAMPLES)) / (1 - np.exp(-largest / SAMPLES))
     return np.clip((filled_a + filled_b - d) / 2 / (np.maximum(filled_a, filled_b) * grow), 0, 1)
 
 
-def margin(filled: np.ndarray) -> np.ndarray:
-    """How far below the threshold an estimate may lie and still be checked: five of its deviations at least."""
-    return np.maximum(np.where(filled < 200, 0.05, 0.085), 1.2 / filled)
+def margin(filled: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """How far below the threshold an estimate may lie and still be checked: five of its deviations at least.
+
+    The deviation of a sketch's estimate grows with the samples that differ at the threshold, as exp(8 (1 - share)) - 1.
+    """
+    wider = np.sqrt(np.expm1(8 * (1 - share / 100)) / np.expm1(8 * (1 - SHARE / 100)))
+    return np.maximum(np.where(filled < 200, 0.05, 0.085), 1.2 / filled) * np.maximum(wider, 1)
 
 
 def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -124,7 +128,7 @@ def _members(nodes: DataFrame) -> DataFrame:
     return dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id")
 
 
-def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def _compare(rows: dict[str, np.ndarray], best_only: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group that pass by size and sketch and differ in component: each member's best, or all those of which
     this is the first band that both share."""
     cross = rows["i"][0] != rows["j"][0]
@@ -138,7 +142,7 @@ def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray,
     for at in range(0, len(left), tile):
         a = left[at : at + tile]
         big, small = np.maximum(size[a][:, None], size[right]), np.minimum(size[a][:, None], size[right])
-        ok = (100 * small >= SHARE * big) & (part[a][:, None] != part[right])
+        ok = (100 * small >= share * big) & (part[a][:, None] != part[right])
         if not cross:
             ok &= np.arange(at, at + len(a))[:, None] < np.arange(len(right))
         x, y = np.nonzero(ok)
@@ -148,8 +152,8 @@ def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray,
         odd = np.zeros(len(p), np.int64)
         for w in range(sketch.shape[1]):
             odd += np.bitwise_count(sketch[p, w] ^ sketch[q, w])
-        guess = estimate(size[p], size[q], filled[p], filled[q], odd)
-        passed = guess >= SHARE / 100 - margin(np.minimum(filled[p], filled[q]))
+        guess = estimate(size[p], size[q], filled[p], filled[q], odd, share)
+        passed = guess >= share / 100 - margin(np.minimum(filled[p], filled[q]), share)
         p, q, guess = p[passed], q[passed], guess[passed]
         if not best_only:
             first = (rows["short"][p] == rows["short"][q]).argmax(axis=1) == rows["band"][0]
@@ -167,7 +171,7 @@ def _compare(rows: dict[str, np.ndarray], best_only: bool) -> tuple[np.ndarray,
     return pairs[0], pairs[1]
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
+def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool, share: int) -> DataFrame:
     """Distinct pairs a < b to confirm; nodes has id, component and the sketch."""
     group = ["bucket", "i", "j"]
     payload = ["sketch"] if best_only else ["sketch", "short"]
@@ -185,7 +189,7 @@ def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool) -> DataFr
             for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(table)], strict=True):
                 if e - s > 1:
                     some = {k: v[s:e] for k, v in flat.items()}
-                    p, q = _compare(some, best_only)
+                    p, q = _compare(some, best_only, share)
                     left.append(some["id"][p])
                     right.append(some["id"][q])
             a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -212,13 +216,13 @@ def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool) -> DataFr
     return rows.select(*names, *payload).mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     joined = pairs.join(a, "a").join(b, "b")
     joined = joined.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    return joined.where(F.lit(100) * F.col("shared") >= F.lit(SHARE) * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
+    return joined.where(F.lit(100) * F.col("shared") >= F.lit(share) * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
@@ -240,7 +244,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, text: str, doc_id: str, share: int) -> tuple[DataFrame, DataFrame]:
     """All rows' signatures, and (id, lead, component) of the nodes; lead is the least (doc_id, text_id) of a node's rows."""
     rows = materialize(signatures(docs, text, doc_id), "signatures")
     best = F.min(F.struct("id", "text_id")).alias("lead")
@@ -249,14 +253,14 @@ def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Dat
     members = materialize(_members(nodes), "members")
 
     alone = nodes.withColumn("component", F.col("id"))
-    first = materialize(_candidates(members, alone, best_only=True), "pairs")
+    first = materialize(_candidates(members, alone, best_only=True, share=share), "pairs")
     ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
     sets = materialize(_full_sets(docs, nodes.join(ids, "id", "left_semi").select("id", "lead.text_id"), text), "sets")
-    links = materialize(_confirm(first, sets), "links")
+    links = materialize(_confirm(first, sets, share), "links")
     found = connected_components(links)
 
     labelled = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = materialize(_confirm(_candidates(members, labelled, best_only=False), sets), "links")
+    second = materialize(_confirm(_candidates(members, labelled, best_only=False, share=share), sets, share), "links")
     if not second.isEmpty():
         # the links found last join components, so they are contracted among these alone
         of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
@@ -266,9 +270,9 @@ def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Dat
     return rows, labelled.select("id", "lead", "component")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows, nodes = _components(docs, text, doc_id)
+    rows, nodes = _components(docs, text, doc_id, share)
     least = nodes.groupBy("component").agg(F.min("lead.id").alias("least"))
     named = nodes.join(least, "component").select(F.col("id").alias("node"), "least")
     result = rows.select("id", "node", "n_shingles").join(named, "node", "left")
@@ -277,12 +281,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return result.select(key.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(key == component, F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: int = SHARE) -> DataFrame:
     """One row of each component, that of the least doc_id, null ids last, and all rows without words.
 
     Rows are told apart by their texts: a null or repeated doc_id neither links rows nor drops any.
     """
-    _, nodes = _components(docs, text, doc_id)
+    _, nodes = _components(docs, text, doc_id, share)
     leads = nodes.groupBy("component").agg(F.min("lead").alias("lead")).select("lead.text_id")
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # equal texts meet before the shuffle, so no task gets all copies

@@ -35,13 +35,25 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, docs):
     groups = []
     for r in rows:
         own = shingles(r[1])
-        like = [g for g in groups if own and any(100 * len(own & s) >= 85 * len(own | s) for s in (shingles(x[1]) for x in g))]
+        like = [g for g in groups if own and any(100 * len(own & s) >= 80 * len(own | s) for s in (shingles(x[1]) for x in g))]
         groups = [g for g in groups if not any(g is x for x in like)] + [[r, *(x for g in like for x in g)]]
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert Counter(map(tuple, kept)) == Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0)) if len({r[0] for r in g}) == len(g) else next(r for r in kept if r in g) for g in groups)
     assert len(kept) == len(groups) and kept[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
 
 
+@pytest.mark.parametrize("size", [40, 300, 3000])
+def test_near_dedup_drops_copies_of_eighty_percent(spark, size):
+    rng = random.Random(size)
+    rows = []
+    for k in range(20):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(size + 4)]
+        more = [f"v{rng.randrange(10**6)}" for _ in range(int(size * 0.22))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + more))]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 40, 2))
+
+
 def test_decontamination_judges_each_row_by_its_text(spark, docs, tmp_path):
     rows = made()
     items = [" ".join(rows[k][1].split()[20:60]) for k in (0, 3)]
