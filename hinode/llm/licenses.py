@@ -1,22 +1,24 @@
 """License scans by conditional compression.
 
-Lines that hold a license keyword, and runs of such lines at most two others apart, are candidate blocks. Each block is
-compressed by zstandard alone and with every template as a raw dictionary; the templates are ranked by how much they
-save. The leading ones are confirmed by the exact differences in wording: the words of the template that the block lacks
-and the words it puts between them. A template is found if these are few and all its numbers and versions agree.
-
-Defined results: null and empty texts hold nothing; each line or run gives its one best confirmed template, and a run
-stands only for what no line of its own has given; of templates that save the same, the first by name is tried first.
-Repeated rows give repeated results, a null doc_id is carried through, an empty table gives no rows, other columns are
-left alone, and whole texts are read.
+The words around a license keyword, on either side as many as the longest template has and may differ by, are a candidate
+region, whatever its lines. In a region every template is aligned with the words at the least exact difference in
+wording: the words of the template that the text lacks and the words it puts between them. A place is confirmed if these
+are few, all its numbers and versions agree, and zstandard with the template as a raw dictionary compresses the place
+better than alone.
+
+Defined results: null and empty texts hold nothing; of confirmed places that overlap, the one with the most words of its
+template stands, then the one with fewer differences, the one that saves more, the first by name; all others are
+reported. A place goes from its first to its last word, with the marks next to them. Repeated rows give repeated results,
+a null doc_id is carried through, an empty table gives no rows, other columns are left alone, and whole texts are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +50,12 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 KEYWORDS = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"spdx")
-#: Templates confirmed for each block, by rank; what is beyond saves less than all of them.
-TRIED = 4
 #: Share of a template's words that may differ, one word at least.
 DIFFERENCE = 0.1
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
+_KEYWORD = re.compile("|".join(k.decode() for k in KEYWORDS), re.I)
+_MARKS = re.compile(r"[^\w\s]*")
 _OUT = "doc_id long, start long, end long, license string, saved double, missing array<string>, added array<string>, exact boolean"
 
 
@@ -67,66 +69,91 @@ class Templates:
         self.alone = make()
         self.given = {k: make(dict_data=z.ZstdCompressionDict(self._plain(t).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in sorted(templates.items())}
         self.words = {k: _WORD.findall(t.lower()) for k, t in templates.items()}
-        self.text = {k: self._plain(t) for k, t in templates.items()}
+        self.most = {k: int(max(1, DIFFERENCE * len(w))) for k, w in self.words.items()}
+        self.reach = max((len(w) + self.most[k] for k, w in self.words.items()), default=0)
 
     @staticmethod
     def _plain(text: str) -> str:
         return " ".join(text.lower().split())
 
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        """(share saved, template), most first."""
+    def saved(self, block: str, name: str) -> float:
+        """Share of the block's compressed size that the template as dictionary saves."""
         data = self._plain(block).encode()
-        alone = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def differences(self, block: str, name: str) -> tuple[list[str], list[str]]:
-        """Words of the template that the block lacks, and words of the block between those of the template."""
-        template, found = self.words[name], _WORD.findall(block.lower())
-        pairs = [m for m in SequenceMatcher(None, template, found, autojunk=False).get_matching_blocks() if m.size]
-        if not pairs:
-            return template, []
-        missing = list(template[: pairs[0].a]) + list(template[pairs[-1].a + pairs[-1].size :])
-        added: list[str] = []
-        for one, two in zip(pairs, pairs[1:], strict=False):
-            missing += template[one.a + one.size : two.a]
-            added += found[one.b + one.size : two.b]
-        return missing, added
-
-    def confirm(self, block: str) -> tuple[str, float, list[str], list[str]] | None:
-        """The first of the leading templates whose wording the block has."""
-        # among equal savings the longest template is the most specific
-        for saved, name in sorted(self.rank(block)[:TRIED], key=lambda x: (-round(x[0], 2), -len(self.words[x[1]]), x[1])):
-            missing, added = self.differences(block, name)
-            telling = [w for w in (*missing, *added) if any(c.isdigit() for c in w) or "-" in w]
-            if saved > 0 and not telling and len(missing) + len(added) <= max(1, DIFFERENCE * len(self.words[name])):
-                return name, saved, missing, added
-        return None
-
-
-def candidate_blocks(data: bytes) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, run) in bytes of the lines with a keyword and of the runs of several of them."""
-    low = data.lower()
-    if not any(k in low for k in KEYWORDS):
-        return
-    lines, at, number = [], 0, 0
-    for line in low.split(b"\n"):
-        if any(k in line for k in KEYWORDS):
-            lines.append((number, at, at + len(line)))
-        at += len(line) + 1
-        number += 1
-    run: list[tuple[int, int, int]] = []
-    for line in [*lines, (1 << 62, 0, 0)]:
-        if run and line[0] - run[-1][0] > 3:
-            if len(run) > 1:
-                yield run[0][1], run[-1][2], True
-            run = []
-        if line[2] > line[1]:
-            yield line[1], line[2], False
-        run.append(line)
+        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+
+    def places(self, found: list[str], name: str) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """(first word, end, missing, added) of the places in the words that differ little enough from the template."""
+        template, most = self.words[name], self.most[name]
+        if not template or sum((Counter(template) & Counter(found)).values()) < len(template) - most:
+            return
+        # cost[i, j]: least missing and added words of the template's first i in a run that ends before word j
+        numbers: dict[str, int] = {}
+        text = np.array([numbers.setdefault(w, len(numbers)) for w in found])
+        at = np.arange(len(found) + 1)
+        cost = np.zeros((len(template) + 1, len(found) + 1), np.int32)
+        for i, w in enumerate(template, 1):
+            row = cost[i - 1] + 1
+            row[1:] = np.where(text == numbers.get(w, -1), np.minimum(row[1:], cost[i - 1, :-1]), row[1:])
+            cost[i] = np.minimum.accumulate(row - at) + at
+        ends = np.flatnonzero(cost[-1] <= most)
+        taken: list[tuple[int, int]] = []
+        for end in ends[np.argsort(cost[-1, ends], kind="stable")].tolist():
+            i, j, missing, added = len(template), end, [], []
+            while i:
+                if j and found[j - 1] == template[i - 1] and cost[i, j] == cost[i - 1, j - 1]:
+                    i, j = i - 1, j - 1
+                elif cost[i, j] == cost[i - 1, j] + 1:
+                    i -= 1
+                    missing.append(template[i])
+                else:
+                    j -= 1
+                    added.append(found[j])
+            telling = any(c.isdigit() or c == "-" for w in (*missing, *added) for c in w)
+            if j < end and not telling and not any(a < end and j < b for a, b in taken):
+                taken.append((j, end))
+                yield j, end, missing[::-1], added[::-1]
+
+    def confirm(self, block: str) -> list[tuple[int, int, str, float, list[str], list[str]]]:
+        """(start, end, template, saved, missing, added) of all confirmed places of a block, none overlapping."""
+        spots = list(_WORD.finditer(block))
+        found = [m.group().lower() for m in spots]
+        every = []
+        for name in self.words:
+            for first, end, missing, added in self.places(found, name):
+                start, stop = spots[first].start(), spots[end - 1].end()
+                saved = self.saved(block[start:stop], name)
+                if saved > 0:
+                    every.append((len(missing) - len(self.words[name]), len(missing) + len(added), -saved, name, start, stop, missing, added))
+        out: list[tuple[int, int, str, float, list[str], list[str]]] = []
+        for _, _, less, name, start, stop, missing, added in sorted(every):
+            if not any(a < stop and start < b for a, b, *_ in out):
+                out.append((start, stop, name, -less, missing, added))
+        marks = [(*self._marked(block, o[0], o[1]), *o[2:]) for o in out]
+        return sorted(marks)
+
+    @staticmethod
+    def _marked(block: str, start: int, stop: int) -> tuple[int, int]:
+        """The place with the marks that follow its last word."""
+        return start, _MARKS.match(block, stop).end()
+
+
+def candidate_regions(text: str, reach: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of words within reach of a keyword."""
+    spots = list(_WORD.finditer(text))
+    held = [i for i, m in enumerate(spots) if _KEYWORD.search(m.group())]
+    first = end = -1
+    for i in [*held, None]:
+        if first >= 0 and (i is None or i - reach > end):
+            stop = spots[end - 1].end()
+            yield spots[first].start(), _MARKS.match(text, stop).end()
+            first = -1
+        if i is not None:
+            first = max(0, i - reach) if first < 0 else first
+            end = min(len(spots), i + reach + 1)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, start and end (code points), license, saved, missing, added, exact of every confirmed block."""
+    """doc_id, start and end (code points), license, saved, missing, added, exact of every confirmed place."""
     chosen = dict(templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,20 +161,17 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
         for batch in batches:
             rows: list[tuple] = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                taken: list[tuple[int, int]] = []
-                for start, end, many in sorted(candidate_blocks(data or b""), key=lambda b: b[2]):
-                    if many and any(a < end and start < b for a, b in taken):
-                        continue
-                    block = data[start:end]
+                low = (data or b"").lower()
+                if not any(k in low for k in KEYWORDS):
+                    continue
+                whole = data.decode()
+                for start, end in candidate_regions(whole, known.reach):
+                    block = whole[start:end]
                     if block not in memo:
                         if len(memo) > 5000:
                             memo.clear()
-                        memo[block] = known.confirm(block.decode())
-                    if found := memo[block]:
-                        taken.append((start, end))
-                        name, saved, missing, added = found
-                        first = len(data[:start].decode())
-                        rows.append((key, first, first + len(block.decode()), name, saved, missing, added, not missing and not added))
+                        memo[block] = known.confirm(block)
+                    rows += [(key, start + a, start + b, name, saved, missing, added, not missing and not added) for a, b, name, saved, missing, added in memo[block]]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _OUT.split(", ")])
 

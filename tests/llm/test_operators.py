@@ -220,6 +220,19 @@ def test_licenses_are_confirmed_by_wording(spark):
     assert {(r.start, r.end) for r in got if r.doc_id == 1} == {(6, 37)}
 
 
+def test_wrapped_notices_and_several_licenses_in_a_line(spark):
+    import textwrap
+
+    wrapped = [(k, name, "\n".join(f"{mark}{line}" for line in textwrap.wrap(licenses.TEMPLATES[name], 75))) for k, (name, mark) in enumerate([(n, m) for n in licenses.TEMPLATES for m in ("", " * ", "# ")])]
+    rows = [(k, f"Some words before\n\n{t}\n\nand the text goes on.") for k, _, t in wrapped]
+    rows += [(100, "x " * 300 + "Released under the MIT License. Licensed under CC BY-SA 4.0. Also: Released under the MIT License. " + "y " * 300), (101, licenses.TEMPLATES["GPL-notice"].rsplit(" ", 8)[0])]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(k, name) for k, name, _ in wrapped] + [(100, "MIT"), (100, "CC-BY-SA-4.0"), (100, "MIT")]
+    assert sorted((r.doc_id, r.license) for r in got) == sorted(expected)
+    texts = dict(rows)
+    assert all(r.exact and r.saved > 0 and "before" not in texts[r.doc_id][r.start : r.end] for r in got)
+
+
 # --- 5 near-duplicates ----------------------------------------------------------------------------------------------
 
 
