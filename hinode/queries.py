@@ -454,6 +454,12 @@ def gap_dedupe_fold(spark, d):
     return asof.spaced_events(rows, 30)
 
 
+@query()
+def gap_dedupe_whole(spark, d):
+    """gap_dedupe_fold without the end that its SQL sets: the bars of all years."""
+    return asof.spaced_events(T.prices(spark, d).select("code", F.col("date").alias("analysis_date")), 30)
+
+
 _METRICS = ("operating_margin", "equity_ratio", "net_cash")
 
 
@@ -468,7 +474,7 @@ def invalidation_rules(spark, d):
 
 def signals(spark, d) -> DataFrame:
     """Month-end signals: the lower the 6-month return, the better."""
-    rows = prices.rolling_features(T.prices(spark, d)).where("session_no >= 30 AND date < DATE '1997-01-01'")
+    rows = prices.rolling_features(T.prices(spark, d)).where("session_no >= 30")
     ends = T.prices(spark, d).groupBy(F.date_trunc("month", "date").alias("m")).agg(F.max("date").alias("signal_date")).select("signal_date")
     return rows.join(ends, F.col("date") == F.col("signal_date")).select("signal_date", "code", (-F.col("return_6m")).alias("score")).where("score IS NOT NULL")
 

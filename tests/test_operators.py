@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,24 @@ def test_backtest_follows_a_plain_loop(spark):
         assert got[day(i)] == pytest.approx(cash + sum(q * closes[c][i] for c, q in held.items()))
 
 
+def test_gap_dedupe_and_signals_cover_all_years(spark):
+    from hinode.queries import QUERIES, signals
+    from hinode.sources import driver_tables
+
+    root = "/root/testdata/sf0.001"
+    if not Path(root).is_dir():
+        pytest.skip("no driver tables here")
+    bars = sorted({(r.code, r.date) for r in driver_tables.prices(spark, root).select("code", "date").collect()})
+    kept, last = [], {}
+    for code, date in bars:
+        if code not in last or (date - last[code]).days >= 30:
+            last[code] = date
+            kept.append((code, date))
+    assert sorted((r.code, r.analysis_date) for r in QUERIES["gap_dedupe_whole"](spark, root).collect()) == kept
+    years = {r.y for r in signals(spark, root).selectExpr("year(signal_date) AS y").distinct().collect()}
+    assert years >= {d.year for _, d in bars if d.year > 1996}
+
+
 def test_search_names(spark):
     rows = spark.createDataFrame([("72030", "トヨタ自動車株式会社"), ("67580", "ソニーグループ"), ("12340", "Alpha Beta Holdings")], "code string, name string")
     first = lambda q: search.search_companies(rows, q).first()
