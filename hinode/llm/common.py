@@ -53,12 +53,70 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+class Scratch:
+    """Tables that an operator writes to the shared folder while it works, and deletes once it no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df written and read back: cuts the lineage, survives lost executors, computes once."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(read)] = (read, path)
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables of its own."""
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Deletes all tables that are left but these, which the result still reads."""
+        self.drop(*[t for t, _ in list(self.paths.values()) if all(t is not b for b in but)])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, computes once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table in the shared folder that outlives the operator, as its lazy result reads it."""
+    return Scratch(df.sparkSession).keep(df, name)
+
+
+#: Bits of a key filter for each key, and the most bits that one has: 32 MB to broadcast.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
+
+
+def may_be_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` (a long) is among those of keys, and a few others: a filter before a shuffle of wide rows.
+
+    The keys are hashed to places of a bitmap of bounded size, which is broadcast. With so many keys that it fills up,
+    it keeps all rows and the join that follows does the whole work.
+    """
+    n = keys.count()
+    bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * n).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    made = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("filter_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("filter_bits"))
+    with_place = rows.withColumn("filter_place", place)
+    at = F.bitmap_bit_position("filter_place")
+    byte = F.conv(F.hex(F.substring("filter_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = with_place.join(F.broadcast(made), F.bitmap_bucket_number("filter_place") == F.col("filter_no"))  # at most MOST_FILTER_BITS
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
+#: Rows of one key that meet it in one task; a key with more is dealt over several.
+KEY_ROWS = 20_000
+
+
+def join_dealt(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """rows joined with keys, which has one row for each value of `on` and `places`, how many rows have it. The rows of a
+    frequent key are dealt by a hash of `by`, so that none has to be in one task whole."""
+    parts = F.ceil(F.col("places") / KEY_ROWS).cast("int")
+    heavy = keys.where(F.col("places") > KEY_ROWS).select(*on, parts.alias("parts"))
+    dealt = rows.join(heavy, on, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    wide = keys.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("places")
+    return dealt.join(wide, [*on, "part"]).drop("part")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,10 +16,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges a - b, the component being its least node.
 
     Each round moves edges towards the least neighbours and is written to the shared folder; stars, whatever their size,
-    settle in a round or two, and no task holds the neighbours of a node.
+    settle in a round or two, and no task holds the neighbours of a node. Only the last round's table stays.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = materialize(pairs, "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.keep(pairs, "edges")
     state = _state(now)
     while True:
         # large star: what is above a node goes to the least of its neighbourhood
@@ -29,8 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = materialize(small, "edges")
+        new = scratch.keep(small, "edges")
         before, state = state, _state(new)
+        scratch.drop(now)
         now = new
         if state == before:
             break

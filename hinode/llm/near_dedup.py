@@ -8,11 +8,12 @@ word sequence where it has fewer. Documents are linked when 100 * intersection >
    (1 - 0.85^5)^24 < 1e-6; at a share of 80 it is under 1e-4.
 3. Each node has an odd sketch: its min-hash samples (the least hash in each of SAMPLES bins) are folded into a bitmap of
    parities. The population count of two sketches' XOR estimates the symmetric difference of the samples, and so the
-   similarity, closely where it is high. Candidates of a band are compared by sketches alone, in blocks of bounded size.
-4. What passes, less a margin of five deviations, is confirmed on the full sets. In a first round every node brings the
-   one partner of each band with the highest estimate, so a group of n near copies costs n confirmations and not n^2.
-   Confirmed links are contracted to components; a second round brings every passing pair whose components still
-   differ, so no link that could join two components stays unchecked.
+   similarity, closely where it is high. What passes, less a margin of five deviations, is confirmed on the full sets.
+4. In a first round the members of a band's bucket are compared with one of them, its hub, alone, so a group of n near
+   copies costs n comparisons and not n^2. Confirmed links are contracted to components, and only buckets whose members
+   are of more than one component go on. What is left of them is compared in blocks of bounded size, every two members
+   whose components differ: in a second round each brings its most alike partner, and in a last one every likely pair
+   whose components still differ, so no link that could join two components stays unchecked.
 
 Nodes are named by a hash of their sets and never by doc_id, which may be null or repeated; a component is given its
 least doc_id at the end.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix64, shingle_hashes, text_bytes, word_hashes
+from .common import Scratch, chunks, may_be_among, mix64, shingle_hashes, text_bytes, word_hashes
 from .graph import connected_components
 
 SHINGLE = 5
@@ -41,12 +42,17 @@ SHARE = 85
 BANDS, ROWS = 24, 5
 #: Min-hash samples of a sketch, and its bits.
 SAMPLES = BITS = 1024
-#: Members of a band's bucket that are compared in one go; larger buckets are dealt in blocks of this size.
+ROUNDS = ("hub", "best", "all")
+#: Members of a band's bucket that the later rounds compare in one go; larger buckets are dealt in blocks of this size.
 BLOCK = 4096
+#: Pairs of one node that meet its sketch in one task; a node with more is dealt over several keys.
+SPREAD = 1024
+#: Nodes of each side whose full sets are held at once to confirm the pairs among them.
+TILE = 64
 
 _FACTORS = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 _NO_ID = (1 << 63) - 1
-_SIGNATURES = "id long, text_id long, node long, n_shingles long, s1 long, s2 long, bands array<long>, short binary, filled int, sketch binary"
+_SIGNATURES = "id long, text_id long, node long, n_shingles long, bands array<long>, filled int, sketch binary"
 
 
 def odd_sketch(distinct: np.ndarray) -> tuple[int, bytes]:
@@ -77,11 +83,11 @@ def margin(filled: np.ndarray, share: int = SHARE) -> np.ndarray:
     The deviation of a sketch's estimate grows with the samples that differ at the threshold, as exp(8 (1 - share)) - 1.
     """
     wider = np.sqrt(np.expm1(8 * (1 - share / 100)) / np.expm1(8 * (1 - SHARE / 100)))
-    return np.maximum(np.where(filled < 200, 0.05, 0.085), 1.2 / filled) * np.maximum(wider, 1)
+    return np.maximum(0.055 + np.maximum(filled - 600, 0) * 5e-5, 1.2 / filled) * np.maximum(wider, 1)
 
 
 def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The id, the text's hash, the node, the set's size, two hashes that name it, its bands and its odd sketch for every row."""
+    """The id, the text's hash, the node that names the set, the set's size, its bands and its odd sketch for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,98 +115,151 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
                 node = mix64(np.array(s1, np.uint64) ^ mix64(np.array(s2, np.uint64) + np.array(size, np.uint64)))
                 signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
                 listed = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
-                short = [row.tobytes() for row in (bands >> np.uint64(32)).astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(signed(node)), pa.array(size, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), listed, pa.array(short, pa.binary()), pa.array(filled, pa.int32()), pa.array(sketch, pa.binary())],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(signed(node)), pa.array(size, pa.int64()), listed, pa.array(filled, pa.int32()), pa.array(sketch, pa.binary())],
                     names=[c.split()[0] for c in _SIGNATURES.split(", ")],
                 )
 
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text")).mapInArrow(run, _SIGNATURES)
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """A row per node and shared bucket (and block pair of it, where a bucket is large)."""
+def _members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """bucket, band and id of the nodes that share a band's bucket with another node."""
     every = nodes.select(F.posexplode("bands").alias("band", "bucket"), "id")
-    shared = every.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = every.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id")
+    shared = scratch.keep(every.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"), "buckets")
+    members = scratch.keep(may_be_among(every, shared, "bucket").join(shared, "bucket"), "members")
+    scratch.drop(shared)
+    return members
+
+
+def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their own component and the bucket's hub."""
+    now = members.select("bucket", "band", "id").join(labels, "id")
+    hub = F.min_by(F.struct("id", "component"), F.xxhash64("id"))
+    buckets = now.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub"))
+    return now.join(buckets.where("low <> high").select("bucket", "members", "hub"), "bucket")
+
+
+def _with_facts(pairs: DataFrame, side: str, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ..) with what facts (id, ..) say of one side, as {name}_{side}."""
+    other = "b" if side == "a" else "a"
+    heavy = pairs.groupBy(side).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(heavy, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    named = facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in facts.columns if c != "id"])
+    named = named.join(heavy, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(named, [side, "part"]).drop("part")
+
+
+def _passing(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
+    """The pairs a, b whose sizes and sketches allow a link."""
+    facts = nodes.select("id", "n_shingles", "filled", "sketch")
+    both = _with_facts(_with_facts(pairs.select("a", "b"), "b", facts), "a", facts)
+    size = [F.col(f"n_shingles_{s}") for s in "ab"]
+    both = both.where(100 * F.least(*size) >= share * F.greatest(*size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda c: batch.column(c).to_numpy()
+            one, two = (np.frombuffer(b"".join(batch.column(f"sketch_{s}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for s in "ab")
+            odd = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            _, ok = likely(get("n_shingles_a"), get("n_shingles_b"), get("filled_a"), get("filled_b"), odd, share)
+            yield pa.RecordBatch.from_arrays([pa.array(get("a")[ok]), pa.array(get("b")[ok])], names=["a", "b"])
+
+    return both.select("a", "b", *[f"{c}_{s}" for c in ("n_shingles", "filled", "sketch") for s in "ab"]).mapInArrow(run, "a long, b long")
+
 
+def likely(size_a: np.ndarray, size_b: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, odd: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate, and whether it is not too far below the threshold."""
+    guess = estimate(size_a, size_b, filled_a, filled_b, odd, share)
+    return guess, guess >= share / 100 - margin(np.minimum(filled_a, filled_b), share)
 
-def _compare(rows: dict[str, np.ndarray], best_only: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group that pass by size and sketch and differ in component: each member's best, or all those of which
-    this is the first band that both share."""
+
+def _hub_pairs(live: DataFrame) -> DataFrame:
+    """Every live member of another component than its bucket's hub, with the hub."""
+    return live.where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _tiled(pairs: DataFrame) -> DataFrame:
+    """Hub pairs with the group g, of a hub and at most about TILE members, in which they are confirmed."""
+    tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    tile = F.coalesce(F.pmod(F.xxhash64("b"), F.col("tiles")), F.lit(0))
+    return pairs.join(tiles, "a", "left").select(F.xxhash64("a", tile).alias("g"), "a", "b")
+
+
+def _compare(rows: dict[str, np.ndarray], share: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that are likely by size and sketch and differ in component: the best one of each member outside
+    of the largest component, or all that have no earlier band in common."""
+    size, filled, sketch, part, short = rows["n_shingles"], rows["filled"], rows["sketch"], rows["component"], rows["short"]
     cross = rows["i"][0] != rows["j"][0]
     left = np.flatnonzero(rows["own"] == rows["i"][0])
-    right = np.flatnonzero(rows["own"] == rows["j"][0]) if cross else left
-    out: list[np.ndarray] = []
-    size, filled, sketch, part = rows["n_shingles"], rows["filled"], rows["sketch"], rows["component"]
-    top = np.full(len(size), -1.0)
-    mate = np.full(len(size), -1)
-    tile = max(1, (1 << 20) // max(1, len(right)))
-    for at in range(0, len(left), tile):
-        a = left[at : at + tile]
-        big, small = np.maximum(size[a][:, None], size[right]), np.minimum(size[a][:, None], size[right])
-        ok = (100 * small >= share * big) & (part[a][:, None] != part[right])
-        if not cross:
-            ok &= np.arange(at, at + len(a))[:, None] < np.arange(len(right))
-        x, y = np.nonzero(ok)
-        if not len(x):
-            continue
-        p, q = a[x], right[y]
-        odd = np.zeros(len(p), np.int64)
-        for w in range(sketch.shape[1]):
-            odd += np.bitwise_count(sketch[p, w] ^ sketch[q, w])
-        guess = estimate(size[p], size[q], filled[p], filled[q], odd, share)
-        passed = guess >= share / 100 - margin(np.minimum(filled[p], filled[q]), share)
-        p, q, guess = p[passed], q[passed], guess[passed]
-        if not best_only:
-            first = (rows["short"][p] == rows["short"][q]).argmax(axis=1) == rows["band"][0]
+    right = np.flatnonzero(rows["own"] == rows["j"][0])
+    names, counts = np.unique(part, return_counts=True)
+    minor = part != names[counts.argmax()]
+    # within the largest component nothing is open, so one side of a pair is always outside of it
+    todo = [(left[minor[left]], right)] + ([(right[minor[right]], left[~minor[left]])] if cross else [])
+    out = [np.zeros((2, 0), np.int64)]
+    for one, two in todo:
+        tile = max(1, (1 << 20) // max(1, len(two)))
+        for at in range(0, len(one), tile):
+            a = one[at : at + tile]
+            big, small = np.maximum(size[a][:, None], size[two]), np.minimum(size[a][:, None], size[two])
+            ok = (100 * small >= share * big) & (part[a][:, None] != part[two])
+            if not cross and not best:  # both sides outside of the largest: once is enough
+                ok &= ~minor[two] | (a[:, None] < two)
+            x, y = np.nonzero(ok)
+            p, q = a[x], two[y]
+            odd = np.zeros(len(p), np.int64)
+            for w in range(sketch.shape[1]):
+                odd += np.bitwise_count(sketch[p, w] ^ sketch[q, w])
+            guess, passed = likely(size[p], size[q], filled[p], filled[q], odd, share)
+            p, q, guess = p[passed], q[passed], guess[passed]
+            if best:
+                order = np.lexsort((q, -guess, p))
+                p, q = p[order], q[order]
+                first = np.concatenate((np.ones(min(1, len(p)), bool), p[1:] != p[:-1]))
+            else:
+                first = (short[p] == short[q]).argmax(axis=1) == rows["band"][0]
             out.append(np.stack((p[first], q[first])))
-            continue
-        for one, two in ((p, q), (q, p)):  # keep each member's best partner so far
-            order = np.lexsort((two, -guess, one))
-            lead = order[np.concatenate(([True], one[order][1:] != one[order][:-1]))] if len(order) else order
-            better = lead[guess[lead] > top[one[lead]]]
-            top[one[better]], mate[one[better]] = guess[better], two[better]
-    if best_only:
-        has = np.flatnonzero(mate >= 0)
-        out = [np.stack((has, mate[has]))]
-    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pairs[0], pairs[1]
-
-
-def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool, share: int) -> DataFrame:
-    """Distinct pairs a < b to confirm; nodes has id, component and the sketch."""
-    group = ["bucket", "i", "j"]
-    payload = ["sketch"] if best_only else ["sketch", "short"]
-    rows = members.join(nodes.select("id", "component", "n_shingles", "filled", *payload), "id").repartition(*group).sortWithinPartitions(*group)
-    names = [*group, "own", "band", "id", "component", "n_shingles", "filled"]
+    found = np.concatenate(out, axis=1)
+    return found[0], found[1]
+
+
+def _block_pairs(live: DataFrame, nodes: DataFrame, share: int, best: bool) -> DataFrame:
+    """Distinct pairs a < b of live members of one bucket that are likely and differ in component (see _compare), and the
+    group g, of at most about TILE nodes of each side, in which they are confirmed."""
+    dealt = live.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group, names = ["bucket", "i", "j"], ["own", "band", "id", "component", "n_shingles", "filled"]
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "component")
+    facts = nodes.select("id", "n_shingles", "filled", "sketch", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+    rows = dealt.join(facts, "id").repartition(*group).sortWithinPartitions(*group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def close(table: pa.Table) -> pa.RecordBatch:
-            flat = {k: table.column(k).to_numpy() for k in names}
-            flat |= {k: np.frombuffer(b"".join(table.column(k).to_pylist()), dtype=np.uint64 if k == "sketch" else np.uint32).reshape(len(table), -1) for k in payload}
+            flat = {k: table.column(k).to_numpy() for k in [*group, *names]}
+            flat["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(table), -1)
+            flat["short"] = table.column("short").combine_chunks().flatten().to_numpy().reshape(len(table), BANDS)
             edge = np.flatnonzero(np.any([flat[k][1:] != flat[k][:-1] for k in group], axis=0)) + 1
-            left, right = [], []
+            left, right, where = ([np.zeros(0, np.int64)] for _ in range(3))
             for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(table)], strict=True):
                 if e - s > 1:
                     some = {k: v[s:e] for k, v in flat.items()}
-                    p, q = _compare(some, best_only, share)
-                    left.append(some["id"][p])
-                    right.append(some["id"][q])
-            a = np.concatenate(left) if left else np.zeros(0, np.int64)
-            b = np.concatenate(right) if right else np.zeros(0, np.int64)
-            both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+                    p, q = _compare(some, share, best)
+                    x, y = np.minimum(some["id"][p], some["id"][q]), np.maximum(some["id"][p], some["id"][q])
+                    tiles = np.uint64(-(-len(some["id"]) // TILE))
+                    at = [mix64(v.view(np.uint64)) % tiles for v in (x, y)]
+                    left.append(x)
+                    right.append(y)
+                    where.append(mix64(mix64(some["bucket"][p].view(np.uint64) + np.minimum(*at)) + np.maximum(*at)).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (where, left, right)], names=["g", "a", "b"])
 
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in group]) if batch.num_rows else None
-            if keys is None:
+            if not batch.num_rows:
                 continue
+            keys = np.stack([batch.column(k).to_numpy() for k in group])
             edge = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0))
             if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in group):
                 yield close(pa.Table.from_batches(held))
@@ -213,20 +272,39 @@ def _candidates(members: DataFrame, nodes: DataFrame, best_only: bool, share: in
         if held:
             yield close(pa.Table.from_batches(held))
 
-    return rows.select(*names, *payload).mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*group, *names, "sketch", "short").mapInArrow(run, "g long, a long, b long").groupBy("a", "b").agg(F.min("g").alias("g"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    joined = pairs.join(a, "a").join(b, "b")
-    joined = joined.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    return joined.where(F.lit(100) * F.col("shared") >= F.lit(share) * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
+    """The pairs (g, a, b) whose full sets are similar enough. A set is sent once to each group that needs it and not once
+    a pair, so what is sent grows with the nodes of a group of near misses and not with its pairs."""
+    ends = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    none = F.lit(None)
+    rows = ends.select("g", F.lit(0).alias("kind"), "id", none.cast("long").alias("b"), "shingles").unionByName(pairs.select("g", F.lit(1).alias("kind"), F.col("a").alias("id"), "b", none.cast("array<long>").alias("shingles")))
 
-
-def _full_sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """id and the distinct shingles of the nodes (id, text_id), each from one text that has its set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+        for batch in batches:
+            found = []
+            sets = batch.column("shingles")
+            values, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+            for k, (g, kind, one, two) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "kind", "id", "b")), strict=True)):
+                if g != group:
+                    group, held = g, {}
+                if kind == 0:
+                    held[one] = values[offsets[k] : offsets[k + 1]].copy()
+                else:
+                    x, y = held[one], held[two]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= share * (len(x) + len(y) - both):
+                        found.append((one, two))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("g").sortWithinPartitions("g", "kind").mapInArrow(run, "a long, b long")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """id and the distinct shingles of the wanted nodes (id, text_id), each from one text that has its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,47 +316,54 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                 listed = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), listed], names=["id", "shingles"])
 
-    # copies meet before the shuffle, so a text that many rows have is sent once a task
-    texts = docs.select(F.xxhash64(text).alias("text_id"), F.col(text).alias("text")).groupBy("text_id").agg(F.max("text").alias("text"))
-    texts = texts.join(nodes.select("text_id"), "text_id", "left_semi").join(nodes, "text_id")
+    # only texts that are wanted are shuffled, and copies meet before the shuffle, so one that many rows have is sent once a task
+    texts = may_be_among(docs.select(F.xxhash64(text).alias("text_id"), F.col(text).alias("text")), wanted, "text_id")
+    texts = texts.groupBy("text_id").agg(F.max("text").alias("text")).join(wanted, "text_id")
     return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _components(docs: DataFrame, text: str, doc_id: str, share: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, text: str, doc_id: str, share: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """All rows' signatures, and (id, lead, component) of the nodes; lead is the least (doc_id, text_id) of a node's rows."""
-    rows = materialize(signatures(docs, text, doc_id), "signatures")
+    rows = scratch.keep(signatures(docs, text, doc_id), "signatures")
     best = F.min(F.struct("id", "text_id")).alias("lead")
-    nodes = rows.where("n_shingles > 0").groupBy(F.col("node").alias("id")).agg(best, *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "short", "filled", "sketch")])
-    nodes = materialize(nodes, "nodes")
-    members = materialize(_members(nodes), "members")
-
-    alone = nodes.withColumn("component", F.col("id"))
-    first = materialize(_candidates(members, alone, best_only=True, share=share), "pairs")
-    ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    sets = materialize(_full_sets(docs, nodes.join(ids, "id", "left_semi").select("id", "lead.text_id"), text), "sets")
-    links = materialize(_confirm(first, sets, share), "links")
-    found = connected_components(links)
-
-    labelled = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = materialize(_confirm(_candidates(members, labelled, best_only=False, share=share), sets, share), "links")
-    if not second.isEmpty():
-        # the links found last join components, so they are contracted among these alone
-        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-        between = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
-        over = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("larger"))
-        labelled = labelled.join(over, "component", "left").withColumn("component", F.coalesce("larger", "component"))
-    return rows, labelled.select("id", "lead", "component")
+    nodes = rows.where("n_shingles > 0").groupBy(F.col("node").alias("id")).agg(best, *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "filled", "sketch")])
+    nodes = scratch.keep(nodes, "nodes")
+    members = _members(nodes, scratch)
+    labels = scratch.keep(members.select("id").distinct().withColumn("component", F.col("id")), "labels")
+    for kind in ROUNDS:
+        live = scratch.keep(_live(members, labels), "live")
+        scratch.drop(members)
+        members = live
+        if live.isEmpty():
+            break
+        pairs = scratch.keep(_tiled(_passing(_hub_pairs(live), nodes, share)) if kind == "hub" else _block_pairs(live, nodes, share, kind == "best"), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = scratch.keep(nodes.select("id", "lead.text_id").join(ids, "id", "left_semi"), "wanted")
+        sets = scratch.keep(_full_sets(docs, wanted, text), "sets")
+        links = scratch.keep(_confirm(pairs, sets, share), "links")
+        if not links.isEmpty():
+            of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))  # noqa: E731, B023
+            between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
+            over = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("larger"))
+            joined = scratch.keep(labels.join(over, "component", "left").select("id", F.coalesce("larger", "component").alias("component")), "labels")
+            scratch.drop(labels)
+            labels = joined
+        scratch.drop(pairs, wanted, sets, links)
+    return rows, nodes.select("id", "lead").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows, nodes = _components(docs, text, doc_id, share)
+    scratch = Scratch(docs.sparkSession)
+    rows, nodes = _components(docs, text, doc_id, share, scratch)
     least = nodes.groupBy("component").agg(F.min("lead.id").alias("least"))
     named = nodes.join(least, "component").select(F.col("id").alias("node"), "least")
     result = rows.select("id", "node", "n_shingles").join(named, "node", "left")
     real = lambda c: F.when(c != _NO_ID, c)
     key, component = real(F.col("id")), real(F.coalesce("least", "id"))
-    return result.select(key.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(key == component, F.lit(False)).alias("kept"))
+    found = scratch.keep(result.select(key.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(key == component, F.lit(False)).alias("kept")), "near")
+    scratch.clear(found)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: int = SHARE) -> DataFrame:
@@ -286,8 +371,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Rows are told apart by their texts: a null or repeated doc_id neither links rows nor drops any.
     """
-    _, nodes = _components(docs, text, doc_id, share)
-    leads = nodes.groupBy("component").agg(F.min("lead").alias("lead")).select("lead.text_id")
+    scratch = Scratch(docs.sparkSession)
+    _, nodes = _components(docs, text, doc_id, share, scratch)
+    leads = scratch.keep(nodes.groupBy("component").agg(F.min("lead").alias("lead")).select("lead.text_id"), "leads")
+    scratch.clear(leads)
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # equal texts meet before the shuffle, so no task gets all copies
     least = F.min(F.struct(F.col(doc_id).isNull().alias("last"), F.struct(doc_id, *[c for c in docs.columns if c != doc_id]).alias("row")))
