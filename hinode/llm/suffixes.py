@@ -9,7 +9,8 @@ All places of one gram meet in one group. Their forward suffixes and their rever
 deep-shallow sorting: multikey quicksort to SHALLOW bytes, then blind tries for groups that still share a prefix. The
 neighbours' common prefixes give, for every two places, how far they agree to the right (F) and to the left (B); the
 windows at offset d are equal when d <= B and length - d <= F. Groups over GROUP places are not sorted in one task: their
-windows' hashes are counted by Spark instead, which is exact as well and has no group to hold.
+windows' hashes are counted by Spark instead, which has no group to hold: two independent hashes of 64 and 61 bits, one
+of them modulo a prime, tell the windows apart. Such a gram's rows are dealt over several tasks.
 
 Equal texts are one text in all of this, and if long enough they go whole. A text is shuffled once, and only the texts
 that hold a repeated gram go further.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, chunks, materialize, mix64, powers, text_bytes
+from .common import _BYTE, Scratch, chunks, join_dealt, may_be_among, mix64, powers, text_bytes
 
 LENGTH = 400
 GRAM = 100
@@ -179,6 +180,25 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix64((sums[size:] - sums[:n]) * down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+_PRIMES = ((1 << 31) - 1, 911382323), ((1 << 30) - 35, 972663749)
+
+
+def prime_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` bytes at every place, modulo two primes; runs are joined from runs of half their length."""
+    n = len(data) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for p, base in _PRIMES:
+        run, length, done, at = data.astype(np.int64) + 1, 1, np.zeros(len(out), np.int64), 0
+        while n > 0 and length <= size:
+            if size & length:
+                done = (done * pow(base, length, p) + run[at : at + n]) % p
+                at += length
+            run = (run[:-length] * pow(base, length, p) + run[length:]) % p
+            length *= 2
+        out = (out << np.uint64(31)) | done.astype(np.uint64)
+    return out
+
+
 def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text, place of the anchor in its text, first and last window start it stands for, hash) of some texts."""
     hashes = gram_hashes(data, gram)
@@ -261,8 +281,8 @@ def _sorted_groups(places: DataFrame, length: int) -> DataFrame:
 
 def _counted_windows(windows: DataFrame, length: int) -> DataFrame:
     """Spans of the windows of large groups whose two hashes occur again."""
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(again, ["w1", "w2"], "left_semi").select("k1", "k2", "start", (F.col("start") + length).cast("int").alias("stop"))
+    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1")
+    return join_dealt(windows, again, ["w1", "w2"], ["k1", "k2", "start"]).select("k1", "k2", "start", (F.col("start") + length).cast("int").alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -271,18 +291,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), value.alias("text"), F.xxhash64(value).alias("k1"), F.xxhash64(value, F.lit(1)).alias("k2"))
     key = ["k1", "k2"]
-    index = materialize(rows.select("doc_id", *key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
+    scratch = Scratch(docs.sparkSession)
+    index = scratch.keep(rows.select("doc_id", *key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
     copies = index.groupBy(*key).agg(F.count("*").alias("copies"), F.coalesce(F.min("doc_id"), F.lit(-(1 << 63))).alias("one"))
 
-    anchors = materialize(_anchors(rows, length, gram), "anchors")
+    anchors = scratch.keep(_anchors(rows, length, gram), "anchors")
     where = F.struct(*key, "place")
     shared = anchors.groupBy("gram").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.count("*").alias("places")).where("low <> high")
-    # written, so that both sides of the next join are plain shuffles, of which Spark can split a gram with many places
-    shared = materialize(shared.select("gram", (F.col("places") > group).alias("large")), "grams")
+    shared = scratch.keep(shared.select("gram", "places", (F.col("places") > group).alias("large")), "grams")
     # the places of one text that need a look, for one of its copies
-    asked = anchors.join(shared, "gram").groupBy(*key).agg(F.collect_set(F.struct("gram", "place", "first", "last", "large")).alias("asked"))
+    asked = join_dealt(may_be_among(anchors, shared, "gram"), shared, ["gram"], [*key, "place"]).groupBy(*key).agg(F.collect_set(F.struct("gram", "place", "first", "last", "large")).alias("asked"))
     asked = asked.join(copies, key).select(F.col("one").alias("id"), *key, "asked")
-    texts = materialize(rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(asked, ["id", *key]).select(*key, "text", "asked"), "repeats")
+    texts = scratch.keep(rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(asked, ["id", *key]).select(*key, "text", "asked"), "repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "k1", "k2", "first", "data", "rel"]
@@ -302,7 +322,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 if not ranges:
                     continue
                 flat = np.frombuffer(data, np.uint8)
-                one, two = gram_hashes(flat, length), gram_hashes(flat ^ np.uint8(0x5A), length)
+                one, two = gram_hashes(flat, length), prime_hashes(flat, length)
                 start = np.unique(np.concatenate([np.arange(a, b) for a, b in ranges]))
                 k = len(start)
                 yield pa.RecordBatch.from_arrays([pa.array(one[start].view(np.int64)), pa.array(two[start].view(np.int64)), pa.array(np.full(k, k1)), pa.array(np.full(k, k2)), pa.array(start.astype(np.int32))], names=["w1", "w2", "k1", "k2", "start"])
@@ -333,9 +353,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     facts = copies.join(edited, key, "left")
     result = index.join(facts, key)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return result.select(
+    found = result.select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
+    found = scratch.keep(found, "kept")
+    scratch.clear(found)
+    return found
