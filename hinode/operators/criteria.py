@@ -189,12 +189,15 @@ def funnel(table: DataFrame, config: ScreenConfig = ScreenConfig()) -> DataFrame
 
 
 def shortlist(table: DataFrame, config: ScreenConfig = ScreenConfig()) -> DataFrame:
-    """The selected with the highest strategy score, then turnover, then code."""
-    return table.where("selected").orderBy(F.desc("strategy_score"), F.desc("average_turnover_20d"), "code").limit(config.queue)
+    """Of each date the selected with the highest strategy score, then turnover, then code, with their place."""
+    w = Window.partitionBy("as_of").orderBy(F.desc("strategy_score"), F.desc("average_turnover_20d"), "code")
+    return table.where("selected").withColumn("place", F.row_number().over(w)).where(F.col("place") <= config.queue)
 
 
 def near_misses(table: DataFrame, n: int = 30) -> DataFrame:
-    return table.where("NOT selected").orderBy(F.desc("strategy_score"), "code").limit(n)
+    """Of each date the best that were not selected, with their place."""
+    w = Window.partitionBy("as_of").orderBy(F.desc("strategy_score"), "code")
+    return table.where("NOT selected").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
 def screen_variants(prepared: DataFrame, config: ScreenConfig = ScreenConfig()) -> DataFrame:
@@ -215,11 +218,12 @@ def score_mode_variants(prepared: DataFrame, config: ScreenConfig = ScreenConfig
     return table.groupBy("real_as_of", "mode").agg(F.count_if("selected").alias("selected"), F.avg("quantitative_score").alias("mean_score")).withColumnRenamed("real_as_of", "as_of")
 
 
-def attribution_diagnostics(table: DataFrame) -> DataFrame:
+def attribution_diagnostics(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Why attribution is unknown, among all and among those that pass every other check."""
     others = F.forall(F.array(*[F.col(f"pass_{k}") for k in CHECKS if k != "attribution"]), lambda x: x)
     cohorts = F.array_compact(F.array(F.lit("all"), F.when(others, F.lit("before the gate"))))
-    return table.where("external_shock_attribution IS NULL").select(F.explode(cohorts).alias("cohort"), F.col("external_shock_attribution_reason").alias("reason")).groupBy("cohort", "reason").agg(F.count("*").alias("n"))
+    by = by or []
+    return table.where("external_shock_attribution IS NULL").select(*by, F.explode(cohorts).alias("cohort"), F.col("external_shock_attribution_reason").alias("reason")).groupBy(*by, "cohort", "reason").agg(F.count("*").alias("n"))
 
 
 def fail_reason_counts(table: DataFrame, n: int = 10) -> DataFrame:

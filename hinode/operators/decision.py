@@ -105,10 +105,10 @@ def entry_zone(rows: DataFrame) -> DataFrame:
     )
 
 
-def split_plan(rows: DataFrame, budget: float, lot: int = 100, discounts: tuple = (0.0, 0.07, 0.15), weights: tuple = (0.40, 0.30, 0.30)) -> DataFrame:
+def split_plan(rows: DataFrame, budget: float, lot: int = 100, discounts: tuple = (0.0, 0.07, 0.15), weights: tuple = (0.40, 0.30, 0.30), key: tuple[str, ...] = ("code",)) -> DataFrame:
     """Three tranches of each row's price: limit price, shares in whole lots, amount."""
     parts = F.array(*[F.struct(F.lit(i + 1).alias("tranche"), F.lit(d).alias("discount"), F.lit(w).alias("weight")) for i, (d, w) in enumerate(zip(discounts, weights, strict=True))])
-    rows = rows.where("close > 0").select("code", "close", F.explode(parts).alias("p")).select("code", "close", "p.*")
+    rows = rows.where("close > 0").select(*key, "close", F.explode(parts).alias("p")).select(*key, "close", "p.*")
     limit = F.col("close") * (1.0 - F.col("discount"))
     shares = F.floor(F.lit(budget) * F.col("weight") / (limit * lot)) * lot
-    return rows.select("code", "tranche", limit.alias("limit_price"), shares.cast("long").alias("shares"), (shares * limit).alias("amount"))
+    return rows.select(*key, "tranche", limit.alias("limit_price"), shares.cast("long").alias("shares"), (shares * limit).alias("amount"))

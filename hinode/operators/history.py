@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinode.functions.scalars import coerce_flag, passes
@@ -17,13 +19,20 @@ CONDITIONS = (
 )
 
 
+#: Fixed texts of notes that say why a price could not be had.
+BULK_NOTES = ("100件以上", "bulk limit")
+FAILED_NOTES = ("外部株価履歴を取得できませんでした", "no price history")
+
+
 def infer_status(rows: DataFrame) -> DataFrame:
-    """status and reason of evaluations that lack them, from trend text, price and symbol, in this order."""
+    """status and reason of evaluations that lack them, from trend text, note, price and symbol, in this order."""
     text = lambda c: F.coalesce(F.trim(c), F.lit(""))
     status, reason, trend, symbol = text("evaluation_status"), text("unassessed_reason"), text("latest_trend"), text("intuitive_symbol")
     assessed = status.isin("same_day", "backfilled")
     kept = (status == "unassessed") & (reason != "")
-    limit, failed = trend.startswith("not run"), trend.startswith("unavailable")
+    note = text("decision_note") if "decision_note" in rows.columns else F.lit("")
+    said = lambda texts: F.exists(F.array(*[note.contains(t) for t in texts]), lambda x: x)
+    limit, failed = trend.startswith("not run") | said(BULK_NOTES), trend.startswith("unavailable") | said(FAILED_NOTES)
     price = F.col("latest_price")
     only_symbol = (symbol != "") & (trend == "") & price.isNull()
     done = only_symbol | (price.isNotNull() & (symbol != ""))
@@ -138,3 +147,116 @@ def invalidation_status(reviews: DataFrame, features: DataFrame, metrics: tuple[
     c = F.col
     status = F.when(c("n_breached") > 0, "breached").when(c("n_unknown") > 0, "unevaluable").when(c("n_conditions") > 0, "clear").when(F.trim(F.coalesce("free_text", F.lit(""))) != "", "manual review").otherwise("not configured")
     return counted.select("code", "n_conditions", "n_breached", "n_unknown", status.alias("status"))
+
+
+def star_rule_comparison(evaluations: DataFrame, returns: Callable[[DataFrame], DataFrame], horizons: tuple[int, ...]) -> DataFrame:
+    """Events, matured returns, mean and share above zero of each horizon, by the old and the new rule of a star."""
+    events = star_events(evaluations, "legacy").unionByName(star_events(evaluations, "reversal"))
+    stats = [F.count("*").alias("events")]
+    for h in horizons:
+        x = F.col(f"return_{h}d")
+        stats += [F.count(x).alias(f"n_{h}d"), F.avg(x).alias(f"mean_{h}d"), F.when(F.count(x) > 0, F.count_if(x > 0) / F.count(x)).alias(f"positive_{h}d")]
+    return returns(events.select("star_mode", "code", "star_date", "entry_price")).groupBy("star_mode").agg(*stats)
+
+
+def condition_heatmap(performance: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """condition, horizon, mean in % and count: a cell without matured events is null."""
+    cells = [F.struct(F.lit(h).alias("horizon"), F.when(F.col(f"n_{h}d") > 0, 100.0 * F.col(f"mean_{h}d")).alias("mean_percent"), F.col(f"n_{h}d").alias("n")) for h in horizons]
+    return performance.select("place", "condition", F.explode(F.array(*cells)).alias("c")).select("place", "condition", "c.*")
+
+
+def condition_bubbles(performance: DataFrame, horizon: int) -> DataFrame:
+    """Mean and share above zero, in %, of the conditions that have matured events at a horizon."""
+    n = F.col(f"n_{horizon}d")
+    return performance.where(n > 0).select("place", "condition", (100.0 * F.col(f"mean_{horizon}d")).alias("mean_percent"), (100.0 * F.col(f"positive_{horizon}d")).alias("positive_percent"), n.alias("n"))
+
+
+def security_bubbles(events: DataFrame, across: int, up: int) -> DataFrame:
+    """Mean returns of two horizons per security over the events that have both, with all its events as `stars`."""
+    x, y = F.col(f"return_{across}d"), F.col(f"return_{up}d")
+    paired = x.isNotNull() & y.isNotNull()
+    mean = lambda c: 100.0 * F.avg(F.when(paired, c))
+    return events.groupBy("code").agg(mean(x).alias("x_percent"), mean(y).alias("y_percent"), F.count("*").alias("stars"), F.count_if(paired).alias("comparable")).where("comparable > 0")
+
+
+def first_codes(rows: DataFrame, size: int = 20) -> DataFrame:
+    """All rows of the first `size` codes: a batch for a slow source that can be taken up again."""
+    codes = rows.where(F.trim("code") != "").select("code").distinct().orderBy("code").limit(max(1, size))
+    return rows.join(F.broadcast(codes), "code", "left_semi")  # size rows
+
+
+ASSESSED = ("same_day", "backfilled", "not assessable")
+
+
+def search_history(rows: DataFrame, text: str = "", finals: tuple[str, ...] = (), statuses: tuple[str, ...] = (), reasons: tuple[str, ...] = ()) -> DataFrame:
+    """Rows by evaluation, status, reason (assessed rows need none) and a text in code or name, whatever its case."""
+    if finals:
+        rows = rows.where(F.col("intuitive_symbol").isin(*finals))
+    if text.strip():
+        wanted = text.strip().lower()
+        rows = rows.where(F.lower("code").contains(wanted) | F.lower("name").contains(wanted))
+    if statuses:
+        rows = rows.where(F.col("status").isin(*statuses))
+    if reasons:
+        rows = rows.where(F.col("reason").isin(*reasons) | F.col("status").isin(*ASSESSED))
+    return rows
+
+
+def stars_only(rows: DataFrame, symbol: str = "intuitive_symbol") -> DataFrame:
+    return rows.where(F.col(symbol).startswith("◎☆"))
+
+
+def _percent(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, F.floor(part / whole * 1000.0 + 0.5) / 10.0).cast("string")
+
+
+def evaluation_summary(rows: DataFrame) -> DataFrame:
+    """One row of texts: how many, the most frequent evaluation, how many of each class, and what is unassessed and why."""
+    known = F.nullif(F.trim("intuitive_symbol"), F.lit(""))
+    top = rows.where(known.isNotNull()).groupBy(known.alias("symbol")).agg(F.count("*").alias("k")).agg(F.max_by(F.struct("symbol", "k"), F.struct("k", "symbol")).alias("top"))
+    why = rows.where((F.col("status") == "unassessed") & (F.coalesce("reason", F.lit("")) != "")).groupBy("reason").agg(F.count("*").alias("k")).agg(F.max_by("reason", F.struct("k", "reason")).alias("why"))
+    one = rows.agg(
+        F.count("*").alias("n"), F.count_distinct("code").alias("codes"), F.min("evaluation_date").alias("first"), F.max("evaluation_date").alias("last"),
+        F.count_if(known.isin("◎☆", "◎")).alias("high"), F.count_if(known.isin("○", "△")).alias("watch"), F.count_if(known == "×").alias("avoid"), F.count_if(F.col("status") == "unassessed").alias("open"),
+    )
+    one = one.join(top).join(why)  # one row each
+    c = F.col
+    span = F.when(c("first") == c("last"), c("first").cast("string")).otherwise(F.concat_ws(" to ", c("first").cast("string"), c("last").cast("string")))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    return one.select(
+        F.when(c("n") == 0, "no records").otherwise(say(c("n"), " records of ", c("codes"), " securities, ", span)).alias("extent"),
+        say("most often ", c("top.symbol"), ", ", c("top.k"), " times (", _percent(c("top.k"), c("n")), "%)").alias("most"),
+        say(c("high"), " high, ", c("watch"), " to watch, ", c("avoid"), " to avoid").alias("classes"),
+        F.when(c("open") > 0, say(c("open"), " unassessed (", _percent(c("open"), c("n")), "%)", F.coalesce(F.concat(F.lit(", mostly "), c("why")), F.lit("")))).alias("unassessed"),
+    )
+
+
+def star_summary(events: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row of texts: the star events, the horizon with the highest mean return, and how many horizons are above zero."""
+    best = outcomes.where("n > 0").agg(F.max_by(F.struct("horizon", "mean_return", "n"), F.struct("mean_return", "horizon")).alias("b"), F.count("*").alias("matured"), F.count_if(F.col("mean_return") > 0).alias("rising"))
+    one = events.agg(F.count("*").alias("n"), F.count_distinct("code").alias("codes")).join(best)  # one row each
+    c = F.col
+    mean = (F.floor(c("b.mean_return") * 1000.0 + 0.5) / 10.0).cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    return one.select(
+        say(c("n"), " events of ", c("codes"), " securities").alias("extent"),
+        F.when(c("matured") > 0, say("best after ", c("b.horizon"), " sessions: ", mean, "% over ", c("b.n"), " events")).otherwise("no horizon has matured").alias("best"),
+        say(c("rising"), " of ", c("matured"), " horizons above zero").alias("rising"),
+    )
+
+
+def same_basis_only(outcomes: DataFrame, basis: str, horizons: tuple[int, ...]) -> DataFrame:
+    """Outcomes whose returns of another basis are null; all carry the basis afterwards."""
+    same = passes(F.col("basis") == basis)
+    names = [f"{k}_{h}d" for h in horizons for k in ("return", "actual_days")]
+    return outcomes.withColumns({n: F.when(same, F.col(n)) for n in names if n in outcomes.columns}).withColumn("basis", F.lit(basis))
+
+
+def same_rows(one: DataFrame, other: DataFrame, columns: list[str]) -> bool:
+    """Whether two tables hold the same rows in these columns, whatever their order."""
+    return tuple(_print(one, columns)) == tuple(_print(other, columns))
+
+
+def _print(rows: DataFrame, columns: list[str]):
+    h = F.xxhash64(*columns)
+    return rows.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.shiftrightunsigned(h, 20)), F.lit(0))).first()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,32 +26,48 @@ def search_text(value: str | None) -> str:
     return "".join(c for c in text if c.isalnum() or c in "々〆ヵヶ")
 
 
+@F.pandas_udf(T.StringType())
+def _keys(names: pd.Series) -> pd.Series:
+    return names.map(search_text)
+
+
 def search_key(name: str) -> Column:
-    """The key of a column of names."""
-    keys = F.pandas_udf(lambda names: names.map(search_text), T.StringType(), F.PandasUDFType.SCALAR)
-    return keys(F.col(name))
+    """The key of a column of names: a table of names stores it once, as the column search_key."""
+    return _keys(F.col(name))
 
 
 def search_companies(companies: DataFrame, query: str, limit: int = 30) -> DataFrame:
-    """code, name, search_score, match_type of the companies that match best."""
+    """code, name, search_score, match_type of the companies that match best.
+
+    What expressions settle is settled by them; only names that share enough letters to be similar at all are compared
+    one by one.
+    """
     wanted = search_text(query)
     digits = "".join(c for c in unicodedata.normalize("NFKC", query or "") if c.isdigit())
     if not wanted:
         return companies.limit(0).select("code", "name", F.lit(0.0).alias("search_score"), F.lit("").alias("match_type"))
+    least = 0.42 if len(wanted) >= 3 else 0.58
 
     def one(key: str) -> float:
         shared = next((i for i, (a, b) in enumerate(zip(wanted, key, strict=False)) if a != b), min(len(wanted), len(key)))
         return min(0.84, SequenceMatcher(None, wanted, key).ratio() + min(0.12, shared * 0.025))
 
-    likeness = F.pandas_udf(lambda keys: keys.map(one), T.DoubleType(), F.PandasUDFType.SCALAR)
+    @F.pandas_udf(T.DoubleType())
+    def likeness(keys: pd.Series) -> pd.Series:
+        return keys.map(one)
 
     key = F.col("search_key")
     share = F.least(F.lit(1.0), F.lit(float(len(wanted))) / F.greatest(F.length(key), F.lit(1)))
     code = F.col("code")
     exact = (code == digits) | (display_code(code) == digits) if len(digits) >= 4 else F.lit(False)
     starts = code.startswith(digits) | display_code(code).startswith(digits) if digits else F.lit(False)
-    rows = companies.withColumn("search_key", search_key("name"))
-    score = F.when(exact, 1.20).when(starts, 1.05).when(key == "", 0.0).when(key == wanted, 1.0).when(key.startswith(wanted), 0.94 + share * 0.04).when(key.contains(wanted), 0.86 + share * 0.06).otherwise(likeness(key))
+    rows = companies if "search_key" in companies.columns else companies.withColumn("search_key", search_key("name"))
+    score = F.when(exact, 1.20).when(starts, 1.05).when(key == "", 0.0).when(key == wanted, 1.0).when(key.startswith(wanted), 0.94 + share * 0.04).when(key.contains(wanted), 0.86 + share * 0.06)
     kind = F.when(exact, "code").when(starts, "code prefix").when(key == wanted, "name").when(key.startswith(wanted), "name prefix").when(key.contains(wanted), "part of name").otherwise("similar")
-    rows = rows.select("code", "name", score.alias("search_score"), kind.alias("match_type")).where(F.col("search_score") >= (0.42 if len(wanted) >= 3 else 0.58))
-    return rows.orderBy(F.desc("search_score"), "code", "name").limit(limit)
+    rows = rows.select("code", "name", "search_key", score.alias("settled"), kind.alias("match_type"))
+    # of the letters of both, those that they have in common bound the ratio from above
+    letters = sum((F.least(F.lit(n), F.length(key) - F.length(F.replace(key, F.lit(c), F.lit("")))) for c, n in Counter(wanted).items()), F.lit(0))
+    most = 2.0 * letters / (F.length(key) + len(wanted)) + 0.12
+    open_ = rows.where(F.col("settled").isNull() & (most >= least)).withColumn("settled", likeness("search_key"))
+    found = rows.where("settled IS NOT NULL").unionByName(open_).where(F.col("settled") >= least)
+    return found.select("code", "name", F.col("settled").alias("search_score"), "match_type").orderBy(F.desc("search_score"), "code", "name").limit(limit)

@@ -5,6 +5,8 @@ The replay date is a column (as_of) throughout, so a replay of many dates is one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,13 +44,12 @@ def matched_controls(table: DataFrame, count: int = 5) -> DataFrame:
     """For each selected row of a replay date its nearest non-selected ones: same sector first, then market, then rest.
 
     Distances are mean absolute differences in units of the pool's interquartile range, over the measures both have (two
-    at least). The selected are the few, so they are the side that is sent to the pool's partitions.
+    at least). A target meets its own sector first; only targets that this leaves short go on to their market, and only
+    those still short to the rest of the date. The places are cut to `count` before the shuffle that ranks them.
     """
-    pool = table.where(~passes(F.col("selected")))
     value = {c: F.when(F.col(c).isNotNull(), F.log1p(F.greatest(c, F.lit(0.0)))) if c == "market_cap" else F.col(c) for c in MATCH_ON}
-    day = Window.partitionBy("as_of")
-    for c in MATCH_ON:
-        table, pool = table.withColumn(f"m_{c}", value[c]), pool.withColumn(f"m_{c}", value[c])
+    rows = table.select("as_of", "code", "sector", "market", "selected", *[value[c].alias(f"m_{c}") for c in MATCH_ON])
+    pool = rows.where(~passes(F.col("selected"))).drop("selected")
     spread = []
     for c in MATCH_ON:
         x = F.col(f"m_{c}")
@@ -57,27 +58,39 @@ def matched_controls(table: DataFrame, count: int = 5) -> DataFrame:
         sd = F.stddev_samp(x)
         spread.append(F.when(iqr > 0, iqr).when(sd > 0, sd).alias(f"s_{c}"))
     scales = pool.groupBy("as_of").agg(*spread)
-    targets = table.where("selected").select("as_of", F.col("code").alias("target"), F.col("sector").alias("t_sector"), F.col("market").alias("t_market"), *[F.col(f"m_{c}").alias(f"t_{c}") for c in MATCH_ON])
-    pairs = pool.select("as_of", "code", "sector", "market", *[f"m_{c}" for c in MATCH_ON]).join(targets.join(scales, "as_of"), "as_of")
+    targets = rows.where("selected").select("as_of", F.col("code").alias("target"), F.col("sector").alias("t_sector"), F.col("market").alias("t_market"), *[F.col(f"m_{c}").alias(f"t_{c}") for c in MATCH_ON]).join(scales, "as_of")
     gap = {c: F.when(F.col(f"s_{c}") > 0, F.abs(F.col(f"m_{c}") - F.col(f"t_{c}")) / F.col(f"s_{c}")) for c in MATCH_ON}
     total = sum((F.coalesce(g, F.lit(0.0)) for g in gap.values()), F.lit(0.0))
     seen = sum((F.when(g.isNotNull(), 1).otherwise(0) for g in gap.values()), F.lit(0))
-    tier = F.when(F.col("sector") == F.col("t_sector"), 1).when(F.col("market") == F.col("t_market"), 2).otherwise(3)
-    pairs = pairs.select("as_of", "target", "code", tier.alias("tier"), F.when(seen >= 2, total / seen).alias("distance")).where("distance IS NOT NULL")
-    w = Window.partitionBy("as_of", "target").orderBy("tier", "distance", "code")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= count)
-
-
-def add_episodes(events: DataFrame) -> DataFrame:
-    """episode_id: runs of adjacent replay numbers of one code."""
-    w = Window.partitionBy("code").orderBy("snapshot_no")
+    w = Window.partitionBy("as_of", "target").orderBy("distance", "code")
+    same_sector, same_market = passes(F.col("sector") == F.col("t_sector")), passes(F.col("market") == F.col("t_market"))
+
+    def tier(asking: DataFrame, number: int, on: dict[str, str], rest) -> DataFrame:
+        """The nearest of one tier, for targets (with `taken`, how many places are filled already)."""
+        keyed = asking.withColumns({k: F.col(t) for k, t in on.items()})
+        pairs = pool.join(keyed, ["as_of", *on]).where(rest)
+        near = pairs.select("as_of", "target", "code", "taken", F.when(seen >= 2, total / seen).alias("distance")).where("distance IS NOT NULL")
+        near = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= count).where(F.col("taken") + F.col("n") <= count)
+        return near.select("as_of", "target", "code", F.lit(number).alias("tier"), (F.col("taken") + F.col("n")).alias("place"), "distance")
+
+    found = tier(targets.withColumn("taken", F.lit(0)), 1, {"sector": "t_sector"}, F.lit(True))
+    for number, on, rest in ((2, {"market": "t_market"}, ~same_sector), (3, {}, ~same_sector & ~same_market)):
+        taken = found.groupBy("as_of", "target").agg(F.count("*").cast("int").alias("taken"))
+        short = targets.join(taken, ["as_of", "target"], "left").na.fill(0, ["taken"]).where(F.col("taken") < count)
+        found = found.unionByName(tier(short, number, on, rest))
+    return found
+
+
+def add_episodes(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """episode_id: runs of adjacent replay numbers of one code (within each value of `by`)."""
+    w = Window.partitionBy(*by, "code").orderBy("snapshot_no")
     rows = events.withColumn("island", F.col("snapshot_no") - F.row_number().over(w))
-    start = F.min("snapshot_no").over(Window.partitionBy("code", "island"))
+    start = F.min("snapshot_no").over(Window.partitionBy(*by, "code", "island"))
     return rows.withColumn("episode_id", F.concat_ws(":", "code", start)).drop("island")
 
 
-def first_of_episode(events: DataFrame) -> DataFrame:
-    w = Window.partitionBy("episode_id").orderBy("as_of", "code")
+def first_of_episode(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    w = Window.partitionBy(*by, "episode_id").orderBy("as_of", "code")
     return events.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
@@ -92,37 +105,41 @@ def _stats(value: str) -> list:
     return [n.alias("n"), F.avg(x).alias("mean_return"), F.median(x).alias("median_return"), share(x > 0).alias("positive_share"), share(x <= -0.05).alias("loss_share")]
 
 
-def horizon_summary(events: DataFrame, horizons: tuple[int, ...], by: list[str] | None = None) -> DataFrame:
-    """Per horizon (and `by`): first events of episodes, their controls and the edge over them."""
+def horizon_summary(events: DataFrame, horizons: tuple[int, ...], by: list[str] | None = None, key: tuple[str, ...] = ()) -> DataFrame:
+    """Per horizon (and `by`): first events of episodes, their controls and the edge over them. key: what tells the
+    episodes of several replays in one table apart."""
     by = by or []
     long = lambda df: df.select(*by, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}d").alias("r"), F.col(f"control_return_{h}d").alias("c"), F.col(f"selection_edge_{h}d").alias("e")) for h in horizons])).alias("x")).select(*by, "x.*")
     share = lambda c: F.when(F.count(c) > 0, F.count_if(F.col(c) > 0) / F.count(c))
-    once = long(first_of_episode(events)).groupBy(*by, "horizon").agg(F.count("r").alias("episodes"), F.avg("r").alias("mean_return"), share("r").alias("positive_share"), F.avg("c").alias("control_mean"), F.avg("e").alias("edge"), share("e").alias("edge_positive_share"))
-    return long(events).groupBy(*by, "horizon").agg(F.count("r").alias("events")).join(once, [*by, "horizon"], "left")
+    once = long(first_of_episode(events, key)).groupBy(*by, "horizon").agg(F.count("r").alias("episodes"), F.avg("r").alias("mean_return"), share("r").alias("positive_share"), F.avg("c").alias("control_mean"), F.avg("e").alias("edge"), share("e").alias("edge_positive_share"))
+    return long(events).groupBy(*by, "horizon").agg(F.count("r").alias("events")).join(once, [*by, "horizon"], "left").na.fill(0, ["episodes"])
 
 
 def bootstrap_edges(events: DataFrame, horizons: tuple[int, ...], samples: int = 2000, seed: int = 20261019) -> DataFrame:
-    """horizon, low, high, nonpositive_share: a bootstrap interval of the mean edge of first events.
+    """horizon, n, low, high, nonpositive_share: a bootstrap interval of the mean edge of first events.
 
-    One group per horizon, of as many numbers as there are episodes; resampling runs in batches of bounded size.
+    A Poisson bootstrap: in each resample an event has a weight of its own, drawn from the seed and a hash of the event,
+    so partitions sum their events' weights by themselves and only `samples` sums of each horizon are shuffled.
     """
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(["as_of", "code"])["e"].to_numpy(dtype=float)
-        low = high = none = None
-        if len(values) >= 2:
-            rng, means = np.random.default_rng(seed), np.empty(samples)
-            size = max(1, min(64, 1_000_000 // len(values)))
-            for at in range(0, samples, size):
-                n = min(size, samples - at)
-                means[at : at + n] = values[rng.integers(0, len(values), size=(n, len(values)))].mean(axis=1)
-            low, high = np.quantile(means, [0.025, 0.975])
-            none = float((means <= 0).mean())
-        return pd.DataFrame([{"horizon": int(pdf["horizon"].iloc[0]), "n": len(values), "low": low, "high": high, "nonpositive_share": none}])
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for key, h, e in zip(pdf["key"], pdf["horizon"], pdf["e"], strict=True):
+                weights = np.random.Generator(np.random.Philox(key=[seed, int(key) & ((1 << 64) - 1)])).poisson(1.0, samples)
+                sums.setdefault(int(h), np.zeros((2, samples)))
+                sums[int(h)] += (weights * float(e), weights)
+        for h, (total, weight) in sums.items():
+            yield pd.DataFrame({"horizon": h, "sample": np.arange(samples), "total": total, "weight": weight})
 
     parts = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"selection_edge_{h}d").alias("e")) for h in horizons])
-    rows = first_of_episode(events).select("as_of", "code", F.explode(parts).alias("x")).select("as_of", "code", "x.*").where("e IS NOT NULL")
-    return rows.groupBy("horizon").applyInPandas(draw, "horizon int, n long, low double, high double, nonpositive_share double")
+    rows = first_of_episode(events).select(F.xxhash64("as_of", "code").alias("key"), F.explode(parts).alias("x")).select("key", "x.*").where("e IS NOT NULL")
+    counts = rows.groupBy("horizon").agg(F.count("*").alias("n"))
+    sums = rows.mapInPandas(draw, "horizon int, sample int, total double, weight double").groupBy("horizon", "sample").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    mean = F.when(F.col("weight") > 0, F.col("total") / F.col("weight"))
+    edges = sums.select("horizon", mean.alias("m")).groupBy("horizon").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.avg(F.when(F.col("m") <= 0, 1.0).when(F.col("m") > 0, 0.0)).alias("none"))
+    enough = lambda c: F.when(F.col("n") >= 2, c)
+    return counts.join(edges, "horizon").select("horizon", "n", enough(F.col("p")[0]).alias("low"), enough(F.col("p")[1]).alias("high"), enough(F.col("none")).alias("nonpositive_share"))
 
 
 def cohort_summary(events: DataFrame, horizon: int) -> DataFrame:
@@ -145,3 +162,40 @@ def attribution_bands(events: DataFrame, horizon: int) -> DataFrame:
     band = F.when(s <= 25, "0-25").when(s <= 50, "25-50").when(s <= 75, "50-75").otherwise("75-100")
     rows = first_of_episode(events).where(s.isNotNull() & F.col(f"return_{horizon}d").isNotNull())
     return rows.groupBy(band.alias("band")).agg(*_stats(f"return_{horizon}d"))
+
+
+def replay_readiness(prices: DataFrame, horizons: tuple[int, ...], snapshots: int = 8, spacing: int = 20, history: int = 252, delay: int = 5) -> DataFrame:
+    """One row: how many sessions there are, which horizons they support, and what one replay or the whole mode needs."""
+    one = prices.where("date IS NOT NULL").agg(F.count_distinct("date").cast("int").alias("available_sessions"))
+    asked = F.array(*[F.lit(h) for h in sorted(set(horizons))])
+    room = F.greatest(F.col("available_sessions") - history - delay, F.lit(0))
+    one = one.withColumn("maximum_horizon", room).withColumn("supported_horizons", F.filter(asked, lambda h: h <= F.col("available_sessions") - history - delay))
+    future = F.coalesce(F.array_max("supported_horizons"), F.lit(min(horizons, default=0))) + delay
+    one = one.withColumn("sessions_for_one", future + history + 1).withColumn("sessions_for_all", F.col("sessions_for_one") + (snapshots - 1) * spacing)
+    usable = F.when(F.col("available_sessions") >= history + future, F.least(F.lit(snapshots), F.floor((F.col("available_sessions") - future - history) / spacing) + 1)).otherwise(0)
+    return one.withColumn("usable_replays", usable.cast("int")).withColumn("missing_sessions", F.greatest(F.col("sessions_for_all") - F.col("available_sessions"), F.lit(0)))
+
+
+def result_overview(events: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """One row of a replay's result: events, episodes and dates, their span, and the matured share of each horizon in %."""
+    return events.agg(
+        F.count("*").alias("events"), F.count_distinct("episode_id").alias("episodes"), F.count_distinct("as_of").alias("dates"), F.min("as_of").alias("first_date"), F.max("as_of").alias("last_date"),
+        *[F.when(F.count("*") > 0, 100.0 * F.count(f"return_{h}d") / F.count("*")).alias(f"matured_{h}d") for h in horizons],
+    )
+
+
+def replay_exclusions(prices: DataFrame, as_of: DataFrame, history: int = 252) -> DataFrame:
+    """Per replay date: securities with any bars by then, and how many of them have too few for a replay."""
+    counts = prices.where("date IS NOT NULL").join(F.broadcast(as_of.select("as_of")), F.col("date") <= F.col("as_of")).groupBy("as_of", "code").agg(F.count("*").alias("n"))  # replay dates
+    return counts.groupBy("as_of").agg(F.count("*").alias("securities"), F.count_if(F.col("n") < history).alias("excluded"))
+
+
+def matured_summary(events: DataFrame, horizons: tuple[int, ...], by: list[str]) -> DataFrame:
+    """Per horizon and `by`: events whose return and edge are known, and the first of each run of adjacent replays among these."""
+    parts = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}d").alias("r"), F.col(f"selection_edge_{h}d").alias("e")) for h in horizons])
+    rows = events.select(*by, "code", "snapshot_no", F.explode(parts).alias("x")).select(*by, "code", "snapshot_no", "x.*").where("r IS NOT NULL AND e IS NOT NULL")
+    before = F.lag("snapshot_no").over(Window.partitionBy(*by, "horizon", "code").orderBy("snapshot_no"))
+    rows = rows.withColumn("starts", ~F.coalesce(F.col("snapshot_no") - before == 1, F.lit(False)))
+    once = lambda c: F.when(F.col("starts"), c)
+    n = F.count_if("starts")
+    return rows.groupBy(*by, "horizon").agg(F.count("*").alias("matured"), n.alias("episodes"), F.avg(once(F.col("e"))).alias("edge"), F.when(n > 0, F.count_if(F.col("starts") & (F.col("r") > 0)) / n).alias("positive_share"))

@@ -7,7 +7,7 @@ HORIZONS = (10, 30, 90)
 
 #: Common tables, each using only earlier ones.
 TABLES = {
-    "dates": "SELECT CAST(d AS DATE) AS as_of, n AS snapshot_no FROM (VALUES ('1998-12-31', 1), ('1999-06-30', 2), ('2000-06-30', 3)) t(d, n)",
+    "dates": "",
     "px": """SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS date, SUM(l_extendedprice) / SUM(l_quantity) AS close, MAX(l_extendedprice / l_quantity) AS high,
         MIN(l_extendedprice / l_quantity) AS low, CAST(SUM(l_quantity) AS DOUBLE) AS volume, CAST(SUM(l_extendedprice) AS DOUBLE) AS turnover FROM lineitem GROUP BY 1, 2""",
     "idx": "SELECT CAST(l_shipdate AS DATE) AS date, SUM(l_extendedprice) / SUM(l_quantity) AS index_close FROM lineitem GROUP BY 1",
@@ -91,7 +91,7 @@ TABLES["anc"] = "SELECT as_of, code, MAX(no) AS n0, arg_max(close, no) AS entry_
 TABLES["ti"] = """SELECT *, CASE WHEN session_no >= 20 THEN AVG(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sma20, CASE WHEN session_no >= 50 THEN AVG(close) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS sma50,
     CASE WHEN session_no >= 200 THEN AVG(close) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END AS sma200, AVG(greatest(delta, 0)) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS g14, AVG(greatest(-delta, 0)) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS l14,
     close / lag(close, 20) OVER w - 1 AS return_20d, close / lag(close, 60) OVER w - 1 AS return_60d, CASE WHEN session_no >= 20 THEN MAX(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS high20,
-    CASE WHEN session_no >= 20 THEN MIN(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS low20, CASE WHEN session_no >= 20 THEN volume / AVG(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS volume_ratio_20d, lead(date) OVER w AS next_date
+    CASE WHEN session_no >= 20 THEN MIN(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS low20, CASE WHEN session_no >= 60 THEN MIN(close) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) END AS low60, CASE WHEN session_no >= 20 THEN volume / AVG(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS volume_ratio_20d, lead(date) OVER w AS next_date
     FROM (SELECT *, close - lag(close) OVER (PARTITION BY code ORDER BY date) AS delta FROM num) WINDOW w AS (PARTITION BY code ORDER BY date)"""
 TABLES["tj"] = "SELECT *, CASE WHEN session_no >= 15 AND l14 > 0 THEN 100 - 100 / (1 + g14 / l14) END AS rsi14, lag(sma20, 5) OVER (PARTITION BY code ORDER BY date) AS sma20_before FROM ti"
 TABLES["tr"] = """SELECT *, CASE WHEN close > sma20 THEN 1 WHEN close <= sma20 THEN -1 ELSE 0 END + CASE WHEN close > sma50 THEN 1 WHEN close <= sma50 THEN -1 ELSE 0 END + CASE WHEN close > sma200 THEN 1 WHEN close <= sma200 THEN -1 ELSE 0 END
@@ -101,13 +101,72 @@ TABLES["ev"] = """SELECT *, externality * temporary_probability * (0.6e0 + 0.4e0
     CAST((event_id * 7 + 3) % 101 AS DOUBLE) / 100 AS externality, CAST((event_id * 13 + 11) % 101 AS DOUBLE) / 100 AS temporary_probability, CAST((event_id * 29 + 5) % 101 AS DOUBLE) / 100 AS catalyst_probability, CASE WHEN event_id % 3 = 0 THEN 'approved' ELSE 'pending' END AS review_status FROM events)"""
 #: Evaluations of securities at month ends, made from the trend.
 TABLES["ev8"] = """SELECT code, date AS evaluation_date, close AS latest_price, trend_score, CASE WHEN trend_score >= 3 THEN '◎☆' WHEN trend_score >= 1 THEN '◎' WHEN trend_score = 0 THEN '○' WHEN trend_score >= -2 THEN '△' ELSE '×' END AS intuitive_symbol,
-    CASE WHEN session_no % 7 = 0 THEN 'unassessed' ELSE 'same_day' END AS status, CASE WHEN session_no % 11 = 0 THEN 'unavailable' ELSE 'trend' END AS latest_trend FROM tr WHERE session_no % 10 = 0"""
-
-
-def sql(select: str, *tables: str) -> str:
-    """select over the named common tables and whatever these use."""
+    CASE WHEN session_no % 7 = 0 THEN 'unassessed' ELSE 'same_day' END AS status, CASE WHEN session_no % 11 = 0 THEN 'unavailable' ELSE 'trend' END AS latest_trend, trend_score >= 5 AS reversal_star FROM tr"""
+
+
+#: Readiness checks: key, column, weight, bounds that pass, bounds that warn.
+CHECKS = (
+    ("drawdown", "drawdown_52w", 12, (None, -0.20), (None, -0.12)), ("relative", "relative_return_6m", 8, (None, -0.08), (None, 0.0)), ("sales", "sales_cagr_3y", 10, (0.0, None), (-0.05, None)),
+    ("margin", "operating_margin", 10, (0.05, None), (1e-300, None)), ("equity", "equity_ratio", 12, (0.40, None), (0.25, None)), ("ocf", "operating_cf_positive_ratio_3y", 12, (0.999, None), (0.66, None)),
+    ("cash_quality", "cash_conversion_ratio", 8, (0.80, None), (0.50, None)), ("margin_stability", "operating_margin_change_3y", 6, (-0.02, None), (-0.05, None)),
+    ("forecast_revision", "forecast_revision_rate", 8, (-0.05, None), (-0.15, None)), ("sector_relative", "sector_relative_return_6m", 6, (-0.10, None), (-0.20, None)),
+    ("forecast", "forecast_op_growth", 10, (0.0, None), (-0.15, None)), ("dividend", "dividend / close", 8, (0.025, 0.06), (1e-300, 0.08)), ("payout", "payout_ratio", 8, (None, 0.60), (None, 0.85)),
+    ("div_change", "dividend_change", 5, (0.0, None), (-0.10, None)), ("analyst", "CAST(NULL AS DOUBLE)", 5, (0.10, None), (-0.05, None)), ("trend", "t_score", 12, (2.0, None), (-1.0, None)),
+    ("momentum", "return_20d", 6, (0.0, 0.15), (-0.10, 0.25)), ("rsi", "rsi14", 5, (40.0, 65.0), (30.0, 74.999999999)), ("volume", "volume_ratio_20d", 4, (1.2, 3.0), (0.7, 3.999999999)),
+)
+
+
+def _bounded(column: str, bounds: tuple) -> str:
+    low, high = bounds
+    return " AND ".join([f"({column}) >= {low!r}"] * (low is not None) + [f"({column}) <= {high!r}"] * (high is not None))
+
+
+def _all(keys: tuple, test: str) -> str:
+    return "(" + " AND ".join(f"c_{k} {test}" for k in keys) + ")"
+
+
+_CORE = ("sales", "margin", "equity", "ocf", "forecast", "payout", "div_change", "trend")
+_STRUCTURAL = ("cash_quality", "margin_stability", "forecast_revision", "sector_relative")
+TABLES["now"] = "SELECT as_of, code, date AS bar, trend_score AS t_score, sma20, sma50, COALESCE(sma20 > sma20_before, false) AS sma20_rising, low20, return_20d, rsi14, volume_ratio_20d FROM tr JOIN dates ON date <= as_of AND (next_date IS NULL OR next_date > as_of)"
+TABLES["trd"] = "SELECT now.*, b.trend_score AS score_before FROM now LEFT JOIN tr b ON b.code = now.code AND b.date <= bar - 90 AND b.next_date > bar - 90"
+TABLES["chk"] = "SELECT *, " + ", ".join(f"CASE WHEN {x} IS NULL THEN 'unknown' WHEN {_bounded(x, good)} THEN 'pass' WHEN {_bounded(x, fair)} THEN 'warn' ELSE 'fail' END AS c_{k}" for k, x, _, good, fair in CHECKS) + " FROM sel LEFT JOIN trd USING (as_of, code)"
+TABLES["pts"] = "SELECT *, " + " + ".join(f"CASE WHEN c_{k} = 'unknown' THEN 0.0e0 ELSE {w} END" for k, _, w, *_ in CHECKS) + " AS known_points, " + " + ".join(f"CASE c_{k} WHEN 'pass' THEN {w} WHEN 'warn' THEN {w} * 0.5e0 ELSE 0.0e0 END" for k, _, w, *_ in CHECKS) + " AS won_points, " + " + ".join(f"CASE WHEN c_{k} = 'fail' THEN 1 ELSE 0 END" for k, *_ in CHECKS) + " AS failures FROM chk"
+TABLES["rd"] = f"SELECT *, CASE WHEN NOT {_all(_CORE, chr(60) + chr(62) + ' ' + repr('fail'))} OR failures >= 3 THEN 'stop' WHEN evidence_score >= 70 AND failures = 0 THEN 'consider' ELSE 'research' END AS level FROM (SELECT *, CAST(COALESCE(round_even(100.0e0 * won_points / nullif(known_points, 0), 0), 0) AS INTEGER) AS evidence_score FROM pts)"
+_PASS, _SOFT = "= 'pass'", "IN ('pass', 'unknown')"
+TABLES["bd"] = f"""SELECT *, CASE WHEN strong AND reversal_star THEN '◎☆' WHEN strong THEN '◎' WHEN level = 'consider' THEN '○' WHEN level = 'research' THEN '△' ELSE '×' END AS badge FROM (SELECT *, level = 'consider' AND evidence_score >= 75 AND (escaped_downtrend OR COALESCE(t_score >= 2, false)) AS strong,
+    legacy_star AND COALESCE(t_score >= 5, false) AND COALESCE(return_20d >= 0, false) AND COALESCE(close > sma20, false) AND COALESCE(sma20_rising, false) AND COALESCE(sma20 > sma50, false) AS reversal_star FROM (SELECT *, COALESCE(score_before <= -2 AND t_score >= 0, false) AS escaped_downtrend,
+    COALESCE(level = 'consider' AND evidence_score >= 85 AND t_score >= 2 AND {_all(_CORE, _PASS)} AND {_all(_STRUCTURAL, _SOFT)} AND failures = 0, false) AS legacy_star FROM rd))"""
+
+_LATER = [(f"r{h}", h) for h in HORIZONS]
+#: Returns of every security from every replay date, at once and after a delay.
+TABLES["ret"] = "SELECT anc.as_of, anc.code, " + ", ".join([f"h{h}.close / entry_price - 1.0e0 AS r{h}" for h in HORIZONS] + [f"l{d}_{h}.close / e{d}.close - 1.0e0 AS r{h}_{d}" for d in (3, 5) for h in HORIZONS]) + " FROM anc " + " ".join(
+    [f"LEFT JOIN ses h{h} ON h{h}.code = anc.code AND h{h}.no = n0 + {h}" for h in HORIZONS] + [f"LEFT JOIN ses e{d} ON e{d}.code = anc.code AND e{d}.no = n0 + {d}" for d in (3, 5)] + [f"LEFT JOIN ses l{d}_{h} ON l{d}_{h}.code = anc.code AND l{d}_{h}.no = n0 + {d + h}" for d in (3, 5) for h in HORIZONS])
+#: The 16 variants of the attribution gate, and the plain screen as one more.
+_OTHERS = "p_market AND p_liquidity AND p_price AND p_equity_ratio AND p_operating_profit AND p_cf_history AND p_sales_trend AND p_margin AND p_drawdown AND p_forecast AND p_guard"
+_V = f"{_OTHERS} AND (NOT relative OR COALESCE(relative_return_6m <= -0.08e0, true)) AND (minimum = 0 OR COALESCE(CASE WHEN method = 'v1_legacy' THEN v1 ELSE v2 END >= minimum, true))"
+TABLES["selv"] = f"""SELECT sel.* EXCLUDE (selected), method || ':' || CAST(minimum AS VARCHAR) || ':' || CAST(relative AS VARCHAR) AS variant, {_V} AND p_score AS selected FROM sel, (SELECT unnest(['v2_sector_absolute', 'v1_legacy']) AS method), (SELECT unnest([0.0e0, 0.3e0, 0.5e0, 0.7e0]) AS minimum), (SELECT unnest([true, false]) AS relative)
+    UNION ALL BY NAME SELECT sel.*, 'plain' AS variant FROM sel
+    UNION ALL BY NAME SELECT sel.* EXCLUDE (selected), 'external_explained' AS variant, hard AND least(greatest(quality + valuation + explained - penalty, 0), 85) >= 25 AS selected FROM sel"""
+TABLES["pool"] = "SELECT *, CASE WHEN market_cap IS NOT NULL THEN ln(1 + greatest(market_cap, 0)) END AS m1, drawdown_52w AS m2, volatility_60d AS m3, per_vs_sector AS m4, pbr_vs_sector AS m5 FROM selv"
+_SPREAD = ", ".join(f"CASE WHEN COUNT(m{i}) >= 4 THEN quantile_cont(m{i}, 0.75) - quantile_cont(m{i}, 0.25) ELSE MAX(m{i}) - MIN(m{i}) END AS i{i}, stddev_samp(m{i}) AS d{i}" for i in range(1, 6))
+_SCALES = ", ".join(f"CASE WHEN i{i} > 0 THEN i{i} WHEN d{i} > 0 THEN d{i} END AS s{i}" for i in range(1, 6))
+_GAPS = " + ".join(f"CASE WHEN s{i} > 0 THEN COALESCE(abs(p.m{i} - t.m{i}) / s{i}, 0) ELSE 0 END" for i in range(1, 6))
+_SEEN = " + ".join(f"CASE WHEN s{i} > 0 AND p.m{i} IS NOT NULL AND t.m{i} IS NOT NULL THEN 1 ELSE 0 END" for i in range(1, 6))
+TABLES["scal"] = f"SELECT variant, as_of, {_SCALES} FROM (SELECT variant, as_of, {_SPREAD} FROM pool WHERE NOT selected GROUP BY 1, 2)"
+TABLES["ctl"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant, as_of, target ORDER BY tier, distance, code) AS place FROM (SELECT p.variant, p.as_of, t.code AS target, p.code, CASE WHEN p.sector = t.sector THEN 1 WHEN p.market = t.market THEN 2 ELSE 3 END AS tier,
+    CASE WHEN ({_SEEN}) >= 2 THEN ({_GAPS}) / ({_SEEN}) END AS distance FROM pool p JOIN pool t ON p.variant = t.variant AND p.as_of = t.as_of AND t.selected AND NOT p.selected JOIN scal s ON s.variant = p.variant AND s.as_of = p.as_of) WHERE distance IS NOT NULL) WHERE place <= 5"""
+TABLES["ctm"] = "SELECT variant, as_of, target AS code, " + ", ".join(f"AVG(r{h}) AS c{h}" for h in HORIZONS) + " FROM ctl JOIN ret USING (as_of, code) GROUP BY 1, 2, 3"
+TABLES["wev"] = """SELECT *, code || ':' || MIN(snapshot_no) OVER (PARTITION BY variant, code, island) AS episode_id, row_number() OVER (PARTITION BY variant, code, island ORDER BY snapshot_no) AS nth FROM (SELECT v.*, snapshot_no, snapshot_no - row_number() OVER (PARTITION BY v.variant, v.code ORDER BY snapshot_no) AS island,
+    CASE WHEN v.index_return_6m IS NULL THEN 'unknown' WHEN v.index_return_6m <= -0.05e0 THEN 'falling' WHEN v.index_return_6m >= 0.05e0 THEN 'rising' ELSE 'flat' END AS market_regime, ret.* EXCLUDE (as_of, code), ctm.* EXCLUDE (variant, as_of, code)
+    FROM selv v JOIN dates USING (as_of) JOIN ret ON ret.as_of = v.as_of AND ret.code = v.code LEFT JOIN ctm ON ctm.variant = v.variant AND ctm.as_of = v.as_of AND ctm.code = v.code WHERE v.selected)"""
+TABLES["wel"] = " UNION ALL ".join(f"SELECT variant, as_of, snapshot_no, code, market_regime, nth, CAST({h} AS BIGINT) AS horizon, r{h} AS r, c{h} AS c, r{h} - c{h} AS e FROM wev" for h in HORIZONS)
+
+
+def sql(select: str, *tables: str, dates: tuple[str, ...] = AS_OF) -> str:
+    """select over the named common tables and whatever these use, at these replay dates."""
     import re
 
+    when = "SELECT CAST(d AS DATE) AS as_of, n AS snapshot_no FROM (VALUES " + ", ".join(f"('{d}', {i + 1})" for i, d in enumerate(dates)) + ") t(d, n)"
     need: set[str] = set()
     todo = list(tables) or [t for t in TABLES if re.search(rf"\b{t}\b", select)]
     while todo:
@@ -117,7 +176,7 @@ def sql(select: str, *tables: str) -> str:
             todo += [u for u in TABLES if u != t and re.search(rf"\b{u}\b", TABLES[t])]
     if not need:
         return select
-    return "WITH " + ",\n".join(f"{t} AS ({TABLES[t]})" for t in TABLES if t in need) + "\n" + select
+    return "WITH " + ",\n".join(f"{t} AS MATERIALIZED ({TABLES[t] if t != 'dates' else when})" for t in TABLES if t in need) + "\n" + select
 
 
 def r(column: str, name: str | None = None) -> str:

@@ -14,6 +14,7 @@ from hinode.oracles import AS_OF, HORIZONS, r, sql
 from hinode.plans import screen
 from hinode.sources import driver_tables as T
 from hinode.sources import readers
+from hinode.sources.store import stored
 
 LOOSE = criteria.ScreenConfig(
     min_turnover=1000.0, min_equity_ratio=0.2, min_cf_ratio=0.6, min_sales_cagr=-0.5, min_relative=0.10, max_forecast_decline=-0.35, min_cash_conversion=0.35, min_margin_change=-0.10, min_revision=-0.30, min_sector_relative=-0.40, min_score=25.0
@@ -35,8 +36,8 @@ def query(oracle: str | None = None):
     return add
 
 
-def dates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(d, i + 1) for i, d in enumerate(AS_OF)], "d string, snapshot_no int")
+def dates(spark: SparkSession, days: tuple[str, ...] = AS_OF) -> DataFrame:
+    rows = spark.createDataFrame([(d, i + 1) for i, d in enumerate(days)], "d string, snapshot_no int")
     return rows.select(F.to_date("d").alias("as_of"), "snapshot_no")
 
 
@@ -44,8 +45,8 @@ def rounded(df: DataFrame, *names: str) -> list:
     return [half_up(F.col(n)).alias(n) for n in names]
 
 
-def universe(spark: SparkSession, d: str) -> DataFrame:
-    return screen.prepare_universe(T.companies(spark, d), T.prices(spark, d), T.financials(spark, d), dates(spark), T.index_series(spark, d))
+def universe(spark: SparkSession, d: str, days: tuple[str, ...] = AS_OF) -> DataFrame:
+    return screen.prepare_universe(T.companies(spark, d), T.prices(spark, d), T.financials(spark, d), dates(spark, days), T.index_series(spark, d))
 
 
 def screened(spark: SparkSession, d: str) -> DataFrame:
@@ -120,10 +121,9 @@ def attribution_v1_v2(spark, d):
     return df.select("as_of", "code", *rounded(df, "v1", "v2"), F.col("v2_reason").alias("reason"))
 
 
-@query(sql("SELECT as_of, cohort, reason, COUNT(*) AS n FROM (SELECT as_of, CASE WHEN return_6m >= 0 THEN 'no fall' WHEN return_6m IS NULL THEN 'no comparison' ELSE 'too few peers' END AS reason, unnest(CASE WHEN p_market AND p_liquidity AND p_price AND p_equity_ratio AND p_operating_profit AND p_cf_history AND p_sales_trend AND p_margin AND p_drawdown AND p_relative AND p_forecast THEN ['all', 'before the gate'] ELSE ['all'] END) AS cohort FROM sel WHERE v2 IS NULL) WHERE as_of = DATE '2000-06-30' GROUP BY 1, 2, 3"))
+@query(sql("SELECT as_of, cohort, reason, COUNT(*) AS n FROM (SELECT as_of, CASE WHEN return_6m >= 0 THEN 'no fall' WHEN return_6m IS NULL THEN 'no comparison' ELSE 'too few peers' END AS reason, unnest(CASE WHEN p_market AND p_liquidity AND p_price AND p_equity_ratio AND p_operating_profit AND p_cf_history AND p_sales_trend AND p_margin AND p_drawdown AND p_relative AND p_forecast THEN ['all', 'before the gate'] ELSE ['all'] END) AS cohort FROM sel WHERE v2 IS NULL) GROUP BY 1, 2, 3"))
 def attribution_diagnostics(spark, d):
-    df = criteria.attribution_diagnostics(screened(spark, d).where("as_of = DATE '2000-06-30'"))
-    return df.select(F.lit("2000-06-30").cast("date").alias("as_of"), "cohort", "reason", "n")
+    return criteria.attribution_diagnostics(screened(spark, d), ["as_of"])
 
 
 FLAGS = ("market", "liquidity", "price", "equity_ratio", "operating_profit", "cf_history", "sales_trend", "margin", "drawdown", "relative", "attribution", "forecast", "guard", "score")
@@ -135,7 +135,7 @@ def criteria_flags(spark, d):
     return df.select("as_of", "code", *[f"pass_{c}" for c in FLAGS], "hard_pass", "selected", half_up(F.col("quantitative_score")).alias("quantitative_score"))
 
 
-_REASONS = ", ".join(f"CASE WHEN NOT p_{c} THEN '{c}' END" for c in FLAGS)
+REASONS = _REASONS = ", ".join(f"CASE WHEN NOT p_{c} THEN '{c}' END" for c in FLAGS)
 
 
 @query(sql(f"SELECT as_of, code, list_aggregate(list_filter([{_REASONS}], lambda x: x IS NOT NULL), 'string_agg', ' / ') AS fail_reasons, CAST(len(list_filter([{_REASONS}], lambda x: x IS NOT NULL)) AS BIGINT) AS n FROM sel WHERE NOT selected"))
@@ -151,20 +151,20 @@ def _stage(names: list[str]) -> str:
 _STAGES = [[], ["market", "liquidity", "price"], list(FLAGS[:8]), list(FLAGS[:10]), list(FLAGS[:11]), list(FLAGS[:12]), list(FLAGS[:13]), list(FLAGS[:13]), list(FLAGS)]
 
 
-@query(sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS place, '{criteria.STAGES[i][0]}' AS stage, CAST({_stage(s)} AS BIGINT) AS n FROM sel" for i, s in enumerate(_STAGES)) + ")"))
+@query(sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS place, '{criteria.STAGES[i][0]}' AS stage, CAST({_stage(s)} AS BIGINT) AS n FROM sel" for i, s in enumerate(_STAGES)) + "".join(f" UNION ALL SELECT {9 + i}, '{label}', 0" for i, label in enumerate(("attribution below minimum", "attribution unknown, failed", "attribution unknown, passed"))) + ")"))
 def screening_funnel(spark, d):
-    df = criteria.funnel(screened(spark, d), LOOSE).where("place < 9")
+    df = criteria.funnel(screened(spark, d), LOOSE)
     return df.select(F.col("place").cast("long").alias("place"), "stage", "n")
 
 
-@query(sql(f"SELECT code, {r('qscore', 'strategy_score')} FROM sel WHERE selected AND as_of = DATE '2000-06-30' ORDER BY qscore DESC, average_turnover_20d DESC, code LIMIT 50"))
+@query(sql(f"SELECT as_of, code, CAST(place AS BIGINT) AS place, {r('qscore', 'strategy_score')} FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY qscore DESC, average_turnover_20d DESC, code) AS place FROM sel WHERE selected) WHERE place <= 50"))
 def shortlist_topk(spark, d):
-    return criteria.shortlist(screened(spark, d).where("as_of = DATE '2000-06-30'"), LOOSE).select("code", half_up(F.col("strategy_score")).alias("strategy_score"))
+    return criteria.shortlist(screened(spark, d), LOOSE).select("as_of", "code", F.col("place").cast("long").alias("place"), half_up(F.col("strategy_score")).alias("strategy_score"))
 
 
-@query(sql(f"SELECT code, {r('qscore', 'strategy_score')} FROM sel WHERE NOT selected AND as_of = DATE '2000-06-30' ORDER BY qscore DESC, code LIMIT 30"))
+@query(sql(f"SELECT as_of, code, CAST(place AS BIGINT) AS place, {r('qscore', 'strategy_score')} FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY qscore DESC, code) AS place FROM sel WHERE NOT selected) WHERE place <= 30"))
 def near_miss(spark, d):
-    return criteria.near_misses(screened(spark, d).where("as_of = DATE '2000-06-30'")).select("code", half_up(F.col("strategy_score")).alias("strategy_score"))
+    return criteria.near_misses(screened(spark, d)).select("as_of", "code", F.col("place").cast("long").alias("place"), half_up(F.col("strategy_score")).alias("strategy_score"))
 
 
 _GUARD = "p_market AND p_liquidity AND p_price AND p_equity_ratio AND p_operating_profit AND p_cf_history AND p_sales_trend AND p_margin AND p_drawdown AND p_forecast AND p_guard AND p_score"
@@ -209,13 +209,13 @@ def trend_transition_90d(spark, d):
     return df.select("as_of", "code", "now_date", F.col("score_now").cast("long").alias("score_now"), "before_date", F.col("score_before").cast("long").alias("score_before"), F.col("score_change").cast("long").alias("score_change"))
 
 
-@query()
+@query(sql("SELECT as_of, code, CAST(evidence_score AS BIGINT) AS evidence_score, CAST(failures AS BIGINT) AS failures, level, " + " || ' ' || ".join(f"'{k}=' || c_{k}" for k, *_ in O.CHECKS) + " AS checks FROM rd"))
 def readiness_checks(spark, d):
     df = screen.decide(screened(spark, d), T.prices(spark, d), dates(spark))
-    return df.select("as_of", "code", "evidence_score", "failures", "level", F.transform("checks", lambda c: F.concat_ws("=", c["key"], c["status"])).alias("checks"))
+    return df.select("as_of", "code", F.col("evidence_score").cast("long").alias("evidence_score"), F.col("failures").cast("long").alias("failures"), "level", F.array_join(F.transform("checks", lambda c: F.concat_ws("=", c["key"], c["status"])), " ").alias("checks"))
 
 
-@query()
+@query(sql("SELECT as_of, code, badge, legacy_star, reversal_star, escaped_downtrend FROM bd"))
 def badge(spark, d):
     df = screen.decide(screened(spark, d), T.prices(spark, d), dates(spark))
     return df.select("as_of", "code", "badge", "legacy_star", "reversal_star", "escaped_downtrend")
@@ -224,17 +224,17 @@ def badge(spark, d):
 @query(sql(f"""SELECT as_of, code, zone_status, {r('least(lo, hi)', 'zone_low')}, {r('greatest(lo, hi)', 'zone_high')} FROM (SELECT *, CASE WHEN trend_score <= -2 THEN COALESCE(low20, low60, secondary) * 0.98e0 WHEN COALESCE(rsi14 >= 72, false) THEN COALESCE(sma20, close * 0.95e0) * 0.98e0 WHEN trend_score >= 2 THEN prim * 0.98e0 ELSE least(secondary, least(prim, close * 0.97e0)) * 0.98e0 END AS lo,
     CASE WHEN trend_score <= -2 THEN COALESCE(low20, low60, secondary) * 1.02e0 WHEN COALESCE(rsi14 >= 72, false) THEN COALESCE(sma20, close * 0.95e0) * 1.01e0 WHEN trend_score >= 2 THEN prim * 1.02e0 ELSE greatest(secondary, least(prim, close * 0.97e0)) * 1.01e0 END AS hi,
     CASE WHEN trend_score <= -2 THEN 'wait' WHEN COALESCE(rsi14 >= 72, false) THEN 'wait for a dip' WHEN trend_score >= 2 THEN 'enter in parts' ELSE 'wait for a turn' END AS zone_status
-    FROM (SELECT *, COALESCE(sma20, sma50, close * 0.95e0) AS prim, COALESCE(sma50, low20, close * 0.9e0) AS secondary, NULL AS low60 FROM tr JOIN dates ON date <= as_of AND (next_date IS NULL OR next_date > as_of)))"""))
+    FROM (SELECT *, COALESCE(sma20, sma50, close * 0.95e0) AS prim, COALESCE(sma50, low20, close * 0.9e0) AS secondary FROM tr JOIN dates ON date <= as_of AND (next_date IS NULL OR next_date > as_of)))"""))
 def entry_zone(spark, d):
     df = decision.entry_zone(prices.pick_as_of(prices.trend_indicators(T.prices(spark, d)), dates(spark).select("as_of")))
     return df.select("as_of", "code", "zone_status", *rounded(df, "zone_low", "zone_high"))
 
 
-@query(sql(f"SELECT code, CAST(tranche AS BIGINT) AS tranche, {r('close * (1 - discount)', 'limit_price')}, CAST(floor(1000000.0e0 * weight / (close * (1 - discount) * 100)) * 100 AS BIGINT) AS shares FROM (SELECT code, close FROM pf WHERE as_of = DATE '2000-06-30'), (VALUES (1, 0.0e0, 0.4e0), (2, 0.07e0, 0.3e0), (3, 0.15e0, 0.3e0)) t(tranche, discount, weight)"))
+@query(sql(f"SELECT as_of, code, CAST(tranche AS BIGINT) AS tranche, {r('close * (1 - discount)', 'limit_price')}, CAST(floor(1000000.0e0 * weight / (close * (1 - discount) * 100)) * 100 AS BIGINT) AS shares FROM (SELECT as_of, code, close FROM pf), (VALUES (1, 0.0e0, 0.4e0), (2, 0.07e0, 0.3e0), (3, 0.15e0, 0.3e0)) t(tranche, discount, weight)"))
 def split_plan(spark, d):
-    rows = prices.price_features(T.prices(spark, d), dates(spark).where("as_of = DATE '2000-06-30'").select("as_of"))
-    df = decision.split_plan(rows, 1_000_000.0)
-    return df.select("code", F.col("tranche").cast("long").alias("tranche"), half_up(F.col("limit_price")).alias("limit_price"), "shares")
+    rows = prices.price_features(T.prices(spark, d), dates(spark).select("as_of"))
+    df = decision.split_plan(rows, 1_000_000.0, key=("as_of", "code"))
+    return df.select("as_of", "code", F.col("tranche").cast("long").alias("tranche"), half_up(F.col("limit_price")).alias("limit_price"), "shares")
 
 
 _FORWARD = ", ".join(f"floor((h{h}.close / entry_price - 1.0e0) * 10000.0e0 + 0.5e0) / 10000.0e0 AS return_{h}d, CAST(h{h}.date - as_of AS BIGINT) AS actual_days_{h}d" for h in HORIZONS)
@@ -308,24 +308,18 @@ def replay(spark, d) -> DataFrame:
     return screen.walk_forward(T.companies(spark, d), T.prices(spark, d), T.financials(spark, d), T.index_series(spark, d), dates(spark), LOOSE, HORIZONS, (3, 5))
 
 
-@query()
+_PER_HORIZON = ", ".join(f"{r(f'r{h}', f'return_{h}d')}, {r(f'c{h}', f'control_return_{h}d')}, {r(f'r{h} - c{h}', f'selection_edge_{h}d')}" for h in HORIZONS)
+
+
+@query(sql(f"SELECT as_of, code, episode_id, badge, market_regime, {_PER_HORIZON} FROM wev JOIN (SELECT as_of, code, badge FROM bd) USING (as_of, code) WHERE variant = 'plain'"))
 def walkforward_events(spark, d):
     df = replay(spark, d)
     return df.select("as_of", "code", "episode_id", "badge", "market_regime", *rounded(df, *[f"{k}_{h}d" for h in HORIZONS for k in ("return", "control_return", "selection_edge")]))
 
 
-_POOL = "SELECT *, CASE WHEN market_cap IS NOT NULL THEN ln(1 + greatest(market_cap, 0)) END AS m1, drawdown_52w AS m2, volatility_60d AS m3, per_vs_sector AS m4, pbr_vs_sector AS m5 FROM sel"
-_SPREAD = ", ".join(f"CASE WHEN COUNT(m{i}) >= 4 THEN quantile_cont(m{i}, 0.75) - quantile_cont(m{i}, 0.25) ELSE MAX(m{i}) - MIN(m{i}) END AS i{i}, stddev_samp(m{i}) AS d{i}" for i in range(1, 6))
-_SCALES = ", ".join(f"CASE WHEN i{i} > 0 THEN i{i} WHEN d{i} > 0 THEN d{i} END AS s{i}" for i in range(1, 6))
-_GAPS = " + ".join(f"CASE WHEN s{i} > 0 THEN COALESCE(abs(p.m{i} - t.m{i}) / s{i}, 0) ELSE 0 END" for i in range(1, 6))
-_SEEN = " + ".join(f"CASE WHEN s{i} > 0 AND p.m{i} IS NOT NULL AND t.m{i} IS NOT NULL THEN 1 ELSE 0 END" for i in range(1, 6))
-
-
-@query(sql(f"""SELECT as_of, target, code, CAST(tier AS BIGINT) AS tier, CAST(place AS BIGINT) AS place, {r('distance')} FROM (SELECT *, row_number() OVER (PARTITION BY as_of, target ORDER BY tier, distance, code) AS place FROM (SELECT p.as_of, t.code AS target, p.code,
-    CASE WHEN p.sector = t.sector THEN 1 WHEN p.market = t.market THEN 2 ELSE 3 END AS tier, CASE WHEN ({_SEEN}) >= 2 THEN ({_GAPS}) / ({_SEEN}) END AS distance FROM ({_POOL}) p JOIN ({_POOL}) t ON p.as_of = t.as_of AND t.selected AND NOT p.selected
-    JOIN (SELECT as_of, {_SCALES} FROM (SELECT as_of, {_SPREAD} FROM ({_POOL}) WHERE NOT selected GROUP BY 1)) s ON s.as_of = p.as_of) WHERE distance IS NOT NULL) WHERE place <= 5"""))
+@query(sql(f"SELECT as_of, target, code, CAST(tier AS BIGINT) AS tier, CAST(place AS BIGINT) AS place, {r('distance')} FROM ctl WHERE variant = 'plain'"))
 def matched_controls(spark, d):
-    df = walkforward.matched_controls(screened(spark, d), 5)
+    df = walkforward.matched_controls(stored(screened(spark, d), "criteria"), 5)
     return df.select("as_of", "target", "code", F.col("tier").cast("long").alias("tier"), F.col("place").cast("long").alias("place"), half_up(F.col("distance")).alias("distance"))
 
 
@@ -339,15 +333,26 @@ def episodes_islands(spark, d):
     return df.select("as_of", "code", "episode_id", half_up(F.col("return_30d")).alias("return_30d"))
 
 
-@query(sql(f"SELECT CAST(30 AS BIGINT) AS horizon, (SELECT COUNT(ret) FROM ({_EVENTS})) AS events, COUNT(ret) AS episodes, {r('AVG(ret)', 'mean_return')}, {r('AVG(CASE WHEN ret > 0 THEN 1.0e0 WHEN ret IS NOT NULL THEN 0 END)', 'positive_share')} FROM ({_FIRST})"))
+ONCE = {"mean_return": "AVG(r)", "positive_share": "AVG(CASE WHEN r > 0 THEN 1.0e0 WHEN r IS NOT NULL THEN 0 END)", "control_mean": "AVG(c)", "edge": "AVG(e)", "edge_positive_share": "AVG(CASE WHEN e > 0 THEN 1.0e0 WHEN e IS NOT NULL THEN 0 END)"}
+
+
+def summary_sql(keys: str, where: str) -> str:
+    stats = ", ".join(r(f"{x} FILTER (nth = 1)", name) for name, x in ONCE.items())
+    return sql(f"SELECT {keys}, horizon, COUNT(r) AS events, COUNT(r) FILTER (nth = 1) AS episodes, {stats} FROM wel WHERE {where} GROUP BY ALL")
+
+
+def summary(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.col("horizon").cast("long").alias("horizon"), "events", "episodes", *rounded(df, *ONCE))
+
+
+@query(summary_sql("'all' AS cohort", "variant = 'plain'"))
 def wf_summary(spark, d):
-    df = walkforward.horizon_summary(replay(spark, d), (30,))
-    return df.select(F.col("horizon").cast("long").alias("horizon"), "events", "episodes", *rounded(df, "mean_return", "positive_share"))
+    return summary(walkforward.horizon_summary(replay(spark, d), HORIZONS).withColumn("cohort", F.lit("all")), "cohort")
 
 
-@query()
+@query(summary_sql("market_regime", "variant = 'plain'"))
 def wf_regime(spark, d):
-    return walkforward.horizon_summary(replay(spark, d), HORIZONS, ["market_regime"])
+    return summary(walkforward.horizon_summary(replay(spark, d), HORIZONS, ["market_regime"]), "market_regime")
 
 
 @query()
@@ -355,15 +360,25 @@ def wf_bootstrap(spark, d):
     return walkforward.bootstrap_edges(replay(spark, d), HORIZONS)
 
 
-@query(sql(f"SELECT 'all' AS cohort, COUNT(*) AS members, COUNT(ret) AS n, {r('AVG(ret)', 'mean_return')}, {r('median(ret)', 'median_return')} FROM ({_FIRST})"))
+def _stats_sql(x: str) -> str:
+    parts = {"mean_return": f"AVG({x})", "median_return": f"median({x})", "positive_share": f"AVG(CASE WHEN {x} > 0 THEN 1.0e0 WHEN {x} IS NOT NULL THEN 0 END)", "loss_share": f"AVG(CASE WHEN {x} <= -0.05e0 THEN 1.0e0 WHEN {x} IS NOT NULL THEN 0 END)"}
+    return f"COUNT({x}) AS n, " + ", ".join(r(v, k) for k, v in parts.items())
+
+
+STATS = ("mean_return", "median_return", "positive_share", "loss_share")
+_COHORTS = "SELECT w.*, unnest(['all'] || CASE WHEN legacy_star THEN ['legacy star'] ELSE [] END || CASE WHEN reversal_star THEN ['reversal star'] ELSE [] END) AS cohort FROM wev w JOIN (SELECT as_of, code, legacy_star, reversal_star FROM bd) USING (as_of, code) WHERE variant = 'plain' AND nth = 1"
+
+
+@query(sql(f"SELECT cohort, COUNT(*) AS members, {_stats_sql('r30')} FROM ({_COHORTS}) GROUP BY 1"))
 def wf_cohort(spark, d):
-    df = walkforward.cohort_summary(replay(spark, d), 30).where("cohort = 'all'")
-    return df.select("cohort", "members", "n", *rounded(df, "mean_return", "median_return"))
+    df = walkforward.cohort_summary(replay(spark, d), 30)
+    return df.select("cohort", "members", "n", *rounded(df, *STATS))
 
 
-@query()
+@query(sql(f"SELECT CAST(delay AS BIGINT) AS delay, {_stats_sql('r')} FROM (" + " UNION ALL ".join(f"SELECT {k} AS delay, {x} AS r FROM wev WHERE variant = 'plain' AND nth = 1" for k, x in ((0, "r30"), (3, "r30_3"), (5, "r30_5"))) + ") GROUP BY 1"))
 def wf_timing(spark, d):
-    return walkforward.timing_summary(replay(spark, d), 30)
+    df = walkforward.timing_summary(replay(spark, d), 30)
+    return df.select(F.col("delay").cast("long").alias("delay"), "n", *rounded(df, *STATS))
 
 
 @query(sql(f"SELECT CASE WHEN v2 <= 0.25e0 THEN '0-25' WHEN v2 <= 0.5e0 THEN '25-50' WHEN v2 <= 0.75e0 THEN '50-75' ELSE '75-100' END AS band, COUNT(*) AS n, {r('AVG(ret)', 'mean_return')} FROM ({_FIRST}) WHERE v2 IS NOT NULL AND ret IS NOT NULL GROUP BY 1"))
@@ -373,7 +388,7 @@ def attribution_bands(spark, d):
 
 
 def evaluations(spark, d) -> DataFrame:
-    rows = prices.trend_indicators(T.prices(spark, d)).where("session_no % 10 = 0")
+    rows = prices.trend_indicators(T.prices(spark, d))
     s = F.col("trend_score")
     return rows.select(
         "code", F.col("date").alias("evaluation_date"), F.col("close").alias("latest_price"), "trend_score", F.when(s >= 3, "◎☆").when(s >= 1, "◎").when(s == 0, "○").when(s >= -2, "△").otherwise("×").alias("intuitive_symbol"),
@@ -381,7 +396,7 @@ def evaluations(spark, d) -> DataFrame:
     )
 
 
-_STARS = "SELECT * FROM (SELECT *, intuitive_symbol = '◎☆' AS st, lag(intuitive_symbol = '◎☆', 1, false) OVER (PARTITION BY code ORDER BY evaluation_date) AS was FROM ev8 WHERE latest_trend <> 'unavailable') WHERE st AND NOT was"
+STARS = _STARS = "SELECT * FROM (SELECT *, intuitive_symbol = '◎☆' AS st, lag(intuitive_symbol = '◎☆', 1, false) OVER (PARTITION BY code ORDER BY evaluation_date) AS was FROM ev8 WHERE latest_trend <> 'unavailable') WHERE st AND NOT was"
 
 
 @query(sql(f"SELECT code, evaluation_date AS star_date, {r('latest_price', 'entry_price')} FROM ({_STARS})"))
@@ -395,26 +410,35 @@ def star_outcomes_of(spark, d) -> DataFrame:
     return asof.forward_returns(events, T.prices(spark, d), HORIZONS, date="star_date")
 
 
-_STAR_RETURNS = " UNION ALL ".join(f"SELECT s.code, CAST({h} AS BIGINT) AS horizon, h.close / latest_price - 1 AS ret FROM ({_STARS}) s JOIN ses a ON a.code = s.code AND a.date = evaluation_date LEFT JOIN ses h ON h.code = s.code AND h.no = a.no + {h}" for h in HORIZONS)
+STAR_RETURNS = " UNION ALL ".join(f"SELECT s.code, CAST({h} AS BIGINT) AS horizon, h.close / latest_price - 1 AS ret FROM ({_STARS}) s JOIN ses a ON a.code = s.code AND a.date = evaluation_date LEFT JOIN ses h ON h.code = s.code AND h.no = a.no + {h}" for h in HORIZONS)
 
 
-@query(sql(f"SELECT horizon, COUNT(ret) AS n, {r('AVG(ret)', 'mean_return')}, {r('AVG(CASE WHEN ret > 0 THEN 1.0e0 WHEN ret IS NOT NULL THEN 0 END)', 'positive_share')} FROM ({_STAR_RETURNS}) GROUP BY 1"))
+@query(sql(f"SELECT horizon, COUNT(ret) AS n, {r('AVG(ret)', 'mean_return')}, {r('AVG(CASE WHEN ret > 0 THEN 1.0e0 WHEN ret IS NOT NULL THEN 0 END)', 'positive_share')} FROM ({STAR_RETURNS}) GROUP BY 1"))
 def star_outcomes(spark, d):
     df = history.outcome_summary(star_outcomes_of(spark, d), HORIZONS)
     return df.select(F.col("horizon").cast("long").alias("horizon"), "n", *rounded(df, "mean_return", "positive_share"))
 
 
-@query(sql(f"SELECT code, horizon, COUNT(ret) AS n, {r('AVG(ret)', 'mean_return')} FROM ({_STAR_RETURNS}) GROUP BY 1, 2"))
+@query(sql(f"SELECT code, horizon, COUNT(ret) AS n, {r('AVG(ret)', 'mean_return')} FROM ({STAR_RETURNS}) GROUP BY 1, 2"))
 def star_outcomes_by_code(spark, d):
     df = history.outcome_summary(star_outcomes_of(spark, d), HORIZONS, ["code"])
     return df.select("code", F.col("horizon").cast("long").alias("horizon"), "n", half_up(F.col("mean_return")).alias("mean_return"))
 
 
-@query()
+_SEEN_STARS = f"SELECT s.*, sel.* EXCLUDE (code) FROM (SELECT s.code, s.evaluation_date AS star_date, {', '.join(f'h{h}.close / latest_price - 1 AS q{h}' for h in HORIZONS)} FROM ({_STARS}) s JOIN ses a ON a.code = s.code AND a.date = s.evaluation_date {' '.join(f'LEFT JOIN ses h{h} ON h{h}.code = s.code AND h{h}.no = a.no + {h}' for h in HORIZONS)}) s ASOF JOIN sel ON s.code = sel.code AND s.star_date >= sel.as_of"
+_MET = " UNION ALL ".join(f"SELECT {i} AS place, '{name}' AS condition, COALESCE({ {'external_shock_attribution': 'v2', 'dividend_yield': 'dividend / close'}.get(c, c) } {op} {t!r}, false) AS met, {', '.join(f'q{h}' for h in HORIZONS)} FROM seen" for i, (name, c, op, t) in enumerate(history.CONDITIONS))
+_BY_CONDITION = ", ".join(f"COUNT(q{h}) FILTER (met) AS n_{h}d, AVG(q{h}) FILTER (met) AS mean_{h}d, AVG(CASE WHEN q{h} > 0 THEN 1.0e0 WHEN q{h} IS NOT NULL THEN 0 END) FILTER (met) AS positive_{h}d" for h in HORIZONS)
+PERFORMANCE = f"SELECT CAST(place AS BIGINT) AS place, condition, count_if(met) AS matching, COUNT(*) AS events, {_BY_CONDITION} FROM (WITH seen AS MATERIALIZED ({_SEEN_STARS}) {_MET}) GROUP BY 1, 2"
+
+
+def performance_of(spark, d) -> DataFrame:
+    return history.condition_performance(star_outcomes_of(spark, d), screened(spark, d).withColumnRenamed("as_of", "analysis_date"), HORIZONS)
+
+
+@query(sql(f"SELECT place, condition, matching, events, {', '.join(f'n_{h}d' for h in HORIZONS)}, {', '.join(r(f'{k}_{h}d') for h in HORIZONS for k in ('mean', 'positive'))} FROM ({PERFORMANCE})"))
 def condition_performance(spark, d):
-    analysis = screened(spark, d).withColumnRenamed("as_of", "analysis_date")
-    df = history.condition_performance(star_outcomes_of(spark, d), analysis, HORIZONS)
-    return df.select("place", "condition", "matching", "events", *rounded(df, *[f"{k}_{h}d" for h in HORIZONS for k in ("mean", "positive")]))
+    df = performance_of(spark, d)
+    return df.select(F.col("place").cast("long").alias("place"), "condition", "matching", "events", *[f"n_{h}d" for h in HORIZONS], *rounded(df, *[f"{k}_{h}d" for h in HORIZONS for k in ("mean", "positive")]))
 
 
 @query(sql("SELECT evaluation_date, CAST(count_if(status = 'same_day') AS BIGINT) AS same_day, CAST(count_if(status = 'unassessed') AS BIGINT) AS unassessed FROM ev8 GROUP BY 1"))
@@ -448,15 +472,11 @@ def fail_reason_topn(spark, d):
     return criteria.fail_reason_counts(screened(spark, d))
 
 
-@query("WITH RECURSIVE px AS (" + O.TABLES["px"] + "), g(code, day) AS (SELECT code, MIN(date) FROM px WHERE date < DATE '1996-01-01' GROUP BY 1 UNION ALL SELECT code, day FROM (SELECT g.code, (SELECT MIN(p.date) FROM px p WHERE p.code = g.code AND p.date >= g.day + 30 AND p.date < DATE '1996-01-01') AS day FROM g) WHERE day IS NOT NULL) SELECT code, day AS analysis_date FROM g")
-def gap_dedupe_fold(spark, d):
-    rows = T.prices(spark, d).where("date < DATE '1996-01-01'").select("code", F.col("date").alias("analysis_date"))
-    return asof.spaced_events(rows, 30)
+_NEXT_30 = "nx AS MATERIALIZED (SELECT a.code, a.date, b.date AS after FROM px a ASOF JOIN px b ON a.code = b.code AND a.date + 30 <= b.date)"
 
 
-@query()
-def gap_dedupe_whole(spark, d):
-    """gap_dedupe_fold without the end that its SQL sets: the bars of all years."""
+@query(f"WITH RECURSIVE px AS MATERIALIZED ({O.TABLES['px']}), {_NEXT_30}, g(code, day) AS (SELECT code, MIN(date) FROM px GROUP BY 1 UNION ALL SELECT g.code, nx.after FROM g JOIN nx ON nx.code = g.code AND nx.date = g.day) SELECT code, day AS analysis_date FROM g")
+def gap_dedupe_fold(spark, d):
     return asof.spaced_events(T.prices(spark, d).select("code", F.col("date").alias("analysis_date")), 30)
 
 
@@ -479,15 +499,35 @@ def signals(spark, d) -> DataFrame:
     return rows.join(ends, F.col("date") == F.col("signal_date")).select("signal_date", "code", (-F.col("return_6m")).alias("score")).where("score IS NOT NULL")
 
 
-@query()
+_SIGNALS = """sig AS MATERIALIZED (SELECT date AS signal_date, code, -return_6m AS score FROM roll WHERE session_no >= 30 AND return_6m IS NOT NULL AND date IN (SELECT MAX(date) FROM px GROUP BY date_trunc('month', date))),
+    reb AS MATERIALIZED (SELECT signal_date, row_number() OVER (ORDER BY signal_date) AS i, lead(signal_date) OVER (ORDER BY signal_date) AS next_signal FROM (SELECT DISTINCT signal_date FROM sig)),
+    pick AS MATERIALIZED (SELECT i, s.signal_date, next_signal, s.code, p.close AS price, COALESCE(q.close, 0) AS next_price, COUNT(*) OVER (PARTITION BY i) AS size FROM (SELECT *, row_number() OVER (PARTITION BY signal_date ORDER BY score DESC, code) AS n FROM sig) s JOIN reb USING (signal_date)
+        JOIN px p ON p.code = s.code AND p.date = s.signal_date LEFT JOIN px q ON q.code = s.code AND q.date = next_signal WHERE n <= 6 AND p.close > 0),
+    val(i, value) AS (SELECT CAST(1 AS BIGINT), 3000000.0e0 UNION ALL SELECT val.i + 1, (SELECT val.value - COALESCE(SUM(floor(val.value / size * 0.999e0 / price) * price * 1.001e0), 0) + COALESCE(SUM(floor(val.value / size * 0.999e0 / price) * next_price), 0) * 0.999e0 FROM pick WHERE pick.i = val.i) FROM val WHERE val.i < (SELECT MAX(i) FROM reb)),
+    lots AS MATERIALIZED (SELECT pick.*, floor(value / size * 0.999e0 / price) AS quantity, value FROM pick JOIN val USING (i)),
+    held AS MATERIALIZED (SELECT reb.signal_date, next_signal, val.value - COALESCE((SELECT SUM(quantity * price * 1.001e0) FROM lots WHERE lots.i = reb.i), 0) AS cash FROM reb JOIN val USING (i)),
+    days AS MATERIALIZED (SELECT d.date, h.signal_date, COALESCE(cash, 3000000.0e0) AS cash FROM (SELECT DISTINCT date FROM px) d ASOF LEFT JOIN held h ON d.date >= h.signal_date),
+    worth AS MATERIALIZED (SELECT days.date, ANY_VALUE(days.cash) AS cash, ANY_VALUE(days.cash) + COALESCE(SUM(quantity * px.close), 0) AS equity FROM days LEFT JOIN lots ON lots.signal_date = days.signal_date LEFT JOIN px ON px.code = lots.code AND px.date = days.date GROUP BY 1),
+    curve AS MATERIALIZED (SELECT date, equity, cash, COALESCE(equity / lag(equity) OVER (ORDER BY date) - 1, 0) AS daily_return, equity / MAX(equity) OVER (ORDER BY date) - 1 AS drawdown FROM worth)"""
+
+
+def _curve_sql(select: str) -> str:
+    return sql("@", "roll", "px").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n@", f",\n{_SIGNALS}\n{select}")
+
+
+@query(_curve_sql(f"SELECT date, {', '.join(r(c) for c in ('equity', 'cash', 'daily_return', 'drawdown'))} FROM curve"))
 def signal_backtest(spark, d):
     df = portfolio.backtest_curve(signals(spark, d), T.prices(spark, d))
     return df.select("date", *rounded(df, "equity", "cash", "daily_return", "drawdown"))
 
 
-@query()
+METRICS = ("final_equity", "total_return", "cagr", "annualized_volatility", "max_drawdown", "sharpe")
+
+
+@query(_curve_sql(f"SELECT {', '.join(r(c) for c in METRICS)} FROM (SELECT arg_max(equity, date) AS final_equity, arg_max(equity, date) / 3e6 - 1 AS total_return, pow(arg_max(equity, date) / 3e6, 1 / greatest((MAX(date) - MIN(date)) / 365.25e0, 1 / 365.25e0)) - 1 AS cagr, stddev_samp(daily_return) * sqrt(252.0e0) AS annualized_volatility, MIN(drawdown) AS max_drawdown, AVG(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(252.0e0) AS sharpe FROM curve)"))
 def backtest_metrics(spark, d):
-    return portfolio.backtest_metrics(portfolio.backtest_curve(signals(spark, d), T.prices(spark, d)))
+    df = portfolio.backtest_metrics(portfolio.backtest_curve(signals(spark, d), T.prices(spark, d)))
+    return df.select(*rounded(df, *METRICS))
 
 
 @query()
@@ -501,11 +541,25 @@ def company_search(spark, d):
     return search.search_companies(T.companies(spark, d).select("code", "name"), "supplier#00000001")
 
 
-@query()
-def rule_learning(spark, d):
+CURRENT = {"equity ratio": 0.3, "margin": 0.02, "drawdown": -0.2, "score": 40.0}
+_TRIED = " UNION ALL ".join(
+    f"SELECT '{x.name}' AS rule, CAST({t!r} AS DOUBLE) AS threshold, part, ret FROM ev9 WHERE {({'quantitative_score': 'qscore'}).get(x.column, x.column)} {x.direction} {t!r}{f' OR {x.column} IS NULL' if x.null_passes else ''}"
+    for x in learning.RULES if x.name in CURRENT for t in learning.candidates(x, CURRENT[x.name])
+)
+_JUDGED = "SELECT *, CASE WHEN date_diff('day', DATE '1970-01-01', as_of) <= quantile_cont(date_diff('day', DATE '1970-01-01', as_of), 0.7) OVER () THEN 'train' ELSE 'check' END AS part FROM (SELECT sel.*, r90 AS ret FROM sel JOIN ret ON ret.as_of = sel.as_of AND ret.code = sel.code WHERE r90 IS NOT NULL)"
+_RESULTS = f"SELECT rule, threshold, part, COUNT(*) AS n, {r('AVG(ret)', 'mean')}, {r('AVG(CASE WHEN ret > 0 THEN 1.0e0 ELSE 0 END)', 'positive_share')} FROM (WITH ev9 AS MATERIALIZED ({_JUDGED}) {_TRIED}) GROUP BY 1, 2, 3"
+
+
+def rule_results(spark, d) -> DataFrame:
     rows = asof.forward_returns(screened(spark, d).withColumn("entry_price", F.col("close")), T.prices(spark, d), (90,))
     events = rows.withColumn("analysis_date", F.col("as_of")).withColumn("outcome", F.col("return_90d"))
-    return learning.evaluate_rules(events, {"equity ratio": 0.3, "margin": 0.02, "drawdown": -0.2, "score": 40.0})
+    return learning.evaluate_rules(events, CURRENT)
+
+
+@query(sql(_RESULTS))
+def rule_learning(spark, d):
+    df = rule_results(spark, d)
+    return df.select("rule", "threshold", "part", "n", *rounded(df, "mean", "positive_share"))
 
 
 @query(sql("SELECT date, COUNT(*) AS n FROM px GROUP BY 1"))
@@ -527,3 +581,6 @@ def scalar_functions(spark, d):
 @query(sql("SELECT code, date FROM px ORDER BY code, date LIMIT 50 OFFSET 100"))
 def page_slice(spark, d):
     return T.prices(spark, d).select("code", "date").orderBy("code", "date").offset(100).limit(50)
+
+
+from hinode import view_queries  # noqa: E402, F401  further queries, registered by the import

@@ -187,3 +187,103 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 def stored_flags(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumns({n: coerce_flag(F.col(n)) for n in names})
+
+
+def normalize_index(raw: DataFrame) -> DataFrame:
+    """date and index_close of the market's index, both known, one row per date: the last loaded where `loaded` tells, else the highest."""
+    rows = raw.select(F.to_date(first_present(raw, ["Date", "date"])).alias("date"), finite(first_present(raw, ["C", "close"])).alias("index_close"), first_present(raw, ["loaded"]).cast("long").alias("loaded"))
+    return keep_last(rows.where("date IS NOT NULL AND index_close IS NOT NULL"), ["date"], [F.desc_nulls_last("loaded"), F.desc("index_close")]).drop("loaded")
+
+
+def normalize_earnings(raw: DataFrame) -> DataFrame:
+    """The calendar of earnings: date, code, name, fiscal_year, quarter and market as text, of rows with a date."""
+    text = lambda c: F.coalesce(first_present(raw, [c]).cast("string"), F.lit(""))
+    rows = raw.select(F.to_date(first_present(raw, ["Date"])).alias("date"), normalize_code(text("Code")).alias("code"), text("CoName").alias("name"), text("FY").alias("fiscal_year"), text("FQ").alias("quarter"), text("Section").alias("market"))
+    return rows.where("date IS NOT NULL")
+
+
+#: Fixed names of the vendor's disclosure columns.
+DISCLOSURE = {"Code": "code", "DiscDate": "published_date", "DiscTime": "published_time", "DiscNo": "document_id", "Title": "title"}
+
+
+def normalize_disclosures(raw: DataFrame) -> DataFrame:
+    """Disclosures with the library's names; other columns stay."""
+    rows = raw.withColumnsRenamed({k: v for k, v in DISCLOSURE.items() if k in raw.columns})
+    if "code" in rows.columns:
+        rows = rows.withColumn("code", normalize_code(F.col("code")))
+    return rows.withColumn("published_date", F.to_date("published_date")) if "published_date" in rows.columns else rows
+
+
+#: Fixed headers of a broker's export that stand for each column.
+BROKER_HEADERS = {
+    "code": ("銘柄コード", "コード", "証券コード", "code", "ticker"), "name": ("銘柄名", "会社名", "名称", "name"), "market": ("市場", "市場区分", "market"), "price": ("現在値", "株価", "終値", "price", "close"),
+    "per": ("PER", "予想PER", "per"), "pbr": ("PBR", "実績PBR", "pbr"), "equity_ratio": ("自己資本比率", "自己資本比率(%)", "equity_ratio"), "sales_growth": ("売上高成長率", "売上成長率", "sales_growth"), "op_growth": ("営業利益成長率", "営業増益率", "op_growth"),
+}
+
+
+def _header(name: str) -> str:
+    return "".join(c for c in name.lower() if not c.isspace() and c not in "_()%％・/-")
+
+
+def read_broker_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Exports of a broker's screen: UTF-8 or cp932, headers by their aliases, one row per code of a file.
+
+    A file is decoded by one task, in batches of rows; a file without a column of codes is an error.
+    """
+    names = list(BROKER_HEADERS)
+
+    def rows(batches):
+        import csv
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                for encoding in ("utf-8-sig", "cp932"):
+                    try:
+                        text = bytes(content).decode(encoding)
+                        break
+                    except UnicodeDecodeError:
+                        text = bytes(content).decode("utf-8", errors="replace")
+                lines = csv.reader(io.StringIO(text))
+                found = {_header(h): k for k, h in reversed(list(enumerate(next(lines, []))))}
+                at = {n: next((found[_header(a)] for a in BROKER_HEADERS[n] if _header(a) in found), None) for n in names}
+                if at["code"] is None:
+                    raise ContractError("no column of codes")
+                some = [[line[k] if k is not None and k < len(line) else None for k in at.values()] for line in lines]
+                yield pd.DataFrame(some, columns=names)
+
+    read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ", ".join(f"{n} string" for n in names))
+    known = read.withColumn("code", normalize_code(F.col("code"))).where("length(code) >= 4")
+    return known.dropDuplicates(["code"]).withColumns({n: finite(F.col(n)) for n in names[3:]})
+
+
+def join_master(imported: DataFrame, master: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Imported rows with the master's name and sector, and whether they are among the candidates."""
+    known = master.select("code", F.col("name").alias("master_name"), "sector").dropDuplicates(["code"])
+    flags = candidates.select("code").distinct().withColumn("is_candidate", F.lit(True))
+    rows = imported.join(known, "code", "left").join(flags, "code", "left")
+    return rows.withColumn("name", F.coalesce("name", "master_name")).withColumn("is_candidate", F.coalesce("is_candidate", F.lit(False))).drop("master_name")
+
+
+def write_snapshot(df: DataFrame, root: str, day: str, data_as_of: str) -> bool:
+    """Writes an analysis day, replacing it if there; a new day that says what the day before said is not written.
+
+    True if the day was written. Days are compared by an order-free fingerprint of their rows and by data_as_of.
+    """
+    from hinode.operators.history import same_rows
+
+    spark = df.sparkSession
+    rows = df.withColumn("data_as_of", F.lit(data_as_of).cast("date"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        old = spark.read.parquet(root).where(F.col("analysis_date") < F.lit(day).cast("date"))
+        last = old.agg(F.max("analysis_date")).first()[0]
+        names = sorted(rows.columns)
+        if last is not None:
+            before = old.where(F.col("analysis_date") == F.lit(last))
+            if set(names) <= set(before.columns) and same_rows(before.select(*names), rows.select(*names), names):
+                return False
+    write_day(rows, root, "analysis_date", day)
+    return True

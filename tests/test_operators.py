@@ -164,7 +164,7 @@ def test_gap_dedupe_and_signals_cover_all_years(spark):
         if code not in last or (date - last[code]).days >= 30:
             last[code] = date
             kept.append((code, date))
-    assert sorted((r.code, r.analysis_date) for r in QUERIES["gap_dedupe_whole"](spark, root).collect()) == kept
+    assert sorted((r.code, r.analysis_date) for r in QUERIES["gap_dedupe_fold"](spark, root).collect()) == kept
     years = {r.y for r in signals(spark, root).selectExpr("year(signal_date) AS y").distinct().collect()}
     assert years >= {d.year for _, d in bars if d.year > 1996}
 
@@ -225,13 +225,13 @@ def test_streaming_transitions(spark, tmp_path):
     assert sorted(r.evaluation_date for r in spark.table("stars").collect()) == [day(1), day(5)]
 
 
-def test_entry_points_without_llm():
+def test_entry_points():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 90
 
 
-QUICK = ("rolling_feature_store", "financial_last3", "forecast_revision", "event_strength_argmax", "trend_state", "calendar_forward_return", "star_events", "evaluation_pivot", "gap_dedupe_fold", "invalidation_rules", "scalar_functions")
+QUICK = ("rolling_feature_store", "financial_last3", "forecast_revision", "event_strength_argmax", "trend_state", "calendar_forward_return", "star_events", "evaluation_pivot", "gap_dedupe_fold", "invalidation_rules", "scalar_functions", "matched_controls", "demo_screen", "star_rule_comparison", "evaluation_summary", "inferred_status", "detail_filings", "order_preview", "sector_reference", "signal_backtest", "news_items")
 
 
 @pytest.mark.parametrize("name", QUICK)
