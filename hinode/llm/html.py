@@ -2,12 +2,12 @@
 
 A page is cut into blocks of text at its block-level tags. A logistic classifier gives each block the cost of calling it
 content and the cost of calling it boilerplate; these are the capacities of its edges to the two terminals. Blocks next
-to each other, and blocks that share a parent in the tree, are joined by smoothness edges. The minimum cut, found by
-maximum flow, is the labelling of least total cost; the content side is the text.
+to each other are joined by smoothness edges, the stronger the nearer they are in the tree, and so are the blocks of one
+parent. The minimum cut, found by maximum flow, is the labelling of least total cost; the content side is the text.
 
-The classifier's weights for the shape of a block (its length, links, punctuation, place) are fitted on a bounded sample
-of pages whose own markup tells content from boilerplate; the markup itself (tags, class and id words) adds fixed
-evidence on top.
+The classifier sees a block's shape (its length, links, punctuation, place) and what the markup around it says (tags, and
+words of class and id, as five flags). Each half is fitted on a bounded sample of pages whose labels the other half gives:
+the shape's weights where the markup speaks, the markup's weights where links, length and the page's title speak.
 
 Defined results: a null, empty or text-free page gives the empty text and 0 characters; unclosed and misnested tags
 close as their parents do; repeated rows give repeated results; a null page_id or url is carried through; an empty table
@@ -20,15 +20,15 @@ import html as entities
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the classifier is fitted on, in expectation; a hash of the id chooses them.
-SAMPLE_PAGES = 400
+#: Pages that the classifier is fitted on at most; a hash of id and html chooses them. Of each at most SAMPLE_BLOCKS blocks.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 400, 200
 
 #: Fixed tag sets.
 DROPPED = frozenset("script style noscript template head title svg math iframe object textarea select option button canvas video audio datalist".split())
@@ -55,40 +55,44 @@ _ABOUT_LAYOUT = re.compile(r"(?:has|with|no|without|is|js)[-_]", re.I)
 
 @dataclass
 class Block:
-    """Text between block-level tags, with what the labelling needs to know of it."""
+    """Text between block-level tags, with what the labelling needs to know of it: the elements it is in, from the root
+    on, and the flags of the markup around it."""
 
     text: str
     linked: int
     tag: str
-    parent: int
-    evidence: float
-    label: float = field(default=0.0)
+    path: tuple[int, ...]
+    markup: int
 
 
-def _evidence(tag: str, attributes: str, in_content: bool) -> float:
-    """What one element's markup says: above 0 for content, below for boilerplate."""
-    score = 0.0
+#: Flags of the markup around a block.
+CONTENT_TAG, BOILER_TAG, CONTENT_WORD, BOILER_WORD, HIDDEN = 1, 2, 4, 8, 16
+
+
+def _markup(tag: str, attributes: str, in_content: bool) -> int:
+    """The flags of one element's tag and attributes."""
+    flags = 0
     if tag in BOILER_TAGS or tag == "header" and not in_content:
-        score -= 4.0
+        flags |= BOILER_TAG
     if tag in CONTENT_TAGS:
-        score += 3.0
+        flags |= CONTENT_TAG
     if attributes and tag not in ("html", "body"):
         names = [x for m in _ATTRIBUTE.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").split() if not _ABOUT_LAYOUT.match(x)]
         words = {w.lower() for x in names for w in _WORDS.findall(x)}
         if words & BOILER_WORDS:
-            score -= 4.0
+            flags |= BOILER_WORD
         elif words & CONTENT_WORDS:
-            score += 2.0
+            flags |= CONTENT_WORD
         if _HIDDEN.search(attributes):
-            score -= 6.0
-    return score
+            flags |= HIDDEN
+    return flags
 
 
 def page_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. An element's evidence holds for all in it, the strongest against content first."""
+    """The blocks of a page in order. An element's flags hold for all that is in it."""
     blocks: list[Block] = []
-    # open elements: tag, its number, least and greatest evidence, dropped, inside content
-    stack: list[tuple[str, int, float, float, bool]] = [("", 0, 0.0, 0.0, False)]
+    # open elements: tag, its number, flags, dropped
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     number, at, links = 0, 0, 0
     parts: list[str] = []
     linked: list[str] = []
@@ -97,13 +101,13 @@ def page_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                tag, parent, low, high, _ = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-                blocks.append(Block(text, len(" ".join(entities.unescape(" ".join(linked)).split())), tag, parent, low if low < 0 else high))
+                around = [e for e in stack if e[0] not in INLINE]
+                blocks.append(Block(text, len(" ".join(entities.unescape(" ".join(linked)).split())), around[-1][0], tuple(e[1] for e in around), around[-1][2]))
             parts.clear()
             linked.clear()
 
     def say(text: str) -> None:
-        if text and not stack[-1][4]:
+        if text and not stack[-1][3]:
             parts.append(text)
             if links:
                 linked.append(text)
@@ -151,44 +155,74 @@ def page_blocks(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         number += 1
-        _, _, low, high, dropped = stack[-1]
-        said = _evidence(tag, m[3], high > 0) if tag not in INLINE or m[3] else 0.0
-        stack.append((tag, number, min(low, said), max(high, said), dropped or tag in DROPPED))
+        _, _, flags, dropped = stack[-1]
+        said = _markup(tag, m[3], bool(flags & (CONTENT_TAG | CONTENT_WORD))) if tag not in INLINE or m[3] else 0
+        stack.append((tag, number, flags | said, dropped or tag in DROPPED))
         links += tag == "a"
     flush()
     return blocks
 
 
-FEATURES = 8
+SHAPE, MARKUP = 8, 5
+_AGAINST = BOILER_TAG | BOILER_WORD | HIDDEN
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
-    """[blocks, FEATURES] numbers of each block's shape."""
+    """[blocks, SHAPE + MARKUP] numbers of each block: its shape, and the flags, of which those for content count only
+    where none is against it."""
     rows = []
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         density = b.linked / max(1, len(b.text))
         near = blocks[max(0, k - 1) : k + 2]
-        rows.append((1.0, min(words, 80) / 80, min(words, 12) / 12, density, float(b.text[-1] in ".!?:;\"'»…"), float(b.tag in ("h1", "h2", "h3", "h4")), float(b.tag in ("li", "td", "dd")), sum(x.linked for x in near) / max(1, sum(len(x.text) for x in near))))
-    return np.array(rows, dtype=np.float64).reshape(len(rows), FEATURES)
+        shape = (1.0, min(words, 80) / 80, min(words, 12) / 12, density, float(b.text[-1] in ".!?:;\"'»…"), float(b.tag in ("h1", "h2", "h3", "h4")), float(b.tag in ("li", "td", "dd")), sum(x.linked for x in near) / max(1, sum(len(x.text) for x in near)))
+        flags = b.markup if b.markup & _AGAINST == 0 else b.markup & _AGAINST
+        rows.append((*shape, *(float(bool(flags & f)) for f in (CONTENT_TAG, BOILER_TAG, CONTENT_WORD, BOILER_WORD, HIDDEN))))
+    return np.array(rows, dtype=np.float64).reshape(len(rows), SHAPE + MARKUP)
 
 
-#: Weights in use until enough pages whose markup speaks have been seen.
-DEFAULT_WEIGHTS = np.array([-1.0, 2.0, 1.5, -3.0, 0.5, 0.5, -0.5, -1.0])
+#: Weights in use until enough pages have been seen, and those that fitted ones are drawn to: shape, then flags.
+DEFAULT_WEIGHTS = np.array([-1.0, 2.0, 1.5, -3.0, 0.5, 0.5, -0.5, -1.0, 4.0, -6.0, 3.0, -6.0, -8.0])
 
 
-def fit_block_classifier(features: np.ndarray, labels: np.ndarray, steps: int = 200, penalty: float = 1.0) -> np.ndarray:
-    """Logistic regression towards DEFAULT_WEIGHTS, both classes weighing the same."""
+def fit_logistic(features: np.ndarray, labels: np.ndarray, start: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Logistic regression towards `start`, both classes weighing the same."""
     if not len(labels) or labels.min() == labels.max():
-        return DEFAULT_WEIGHTS.copy()
+        return start.copy()
     weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum())) * min(len(labels), 1000)
-    w = DEFAULT_WEIGHTS.copy()
+    w = start.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        g = features.T @ ((p - labels) * weight) + penalty * (w - DEFAULT_WEIGHTS)
+        g = features.T @ ((p - labels) * weight) + penalty * (w - start)
         h = (features * (p * (1 - p) * weight)[:, None]).T @ features + penalty * np.eye(len(w))
         w -= np.clip(np.linalg.solve(h, g), -2, 2)
-    return np.clip(w, -6, 6)
+    return np.clip(w, -8, 8)
+
+
+def fit_block_classifier(features: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Weights from blocks' features and seeds (1 content, 0 boilerplate, -1 unknown): each half on the other's labels."""
+    shape, flags = features[:, :SHAPE], features[:, SHAPE:]
+    told = flags.any(axis=1)
+    by_markup = (flags[:, [0, 2]].any(axis=1)).astype(float)
+    seen = seeds >= 0
+    return np.concatenate((fit_logistic(shape[told], by_markup[told], DEFAULT_WEIGHTS[:SHAPE]), fit_logistic(flags[seen], seeds[seen].astype(float), DEFAULT_WEIGHTS[SHAPE:])))
+
+
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
+
+
+def block_seeds(page: str, blocks: list[Block]) -> list[int]:
+    """What links, length and the title tell of blocks without any look at the markup around them."""
+    found = _TITLE.search(page)
+    title = set(entities.unescape(found[1]).lower().split()) if found else set()
+    out = []
+    for b in blocks:
+        words = b.text.lower().split()
+        if 2 * b.linked > len(b.text):
+            out.append(0)
+        else:
+            out.append(1 if len(words) >= 20 and not b.linked and len(title.intersection(words)) * 3 >= max(1, len(title)) else -1)
+    return out
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -252,24 +286,39 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
     return [bool(x) for x in side]
 
 
-ADJACENT, SAME_PARENT = 0.4, 0.8
+#: Capacity of the edge of neighbours whose elements are one, and of blocks of one parent with others between them.
+ADJACENT, SAME_PARENT = 1.2, 0.6
+
+
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges of neighbours, weaker by each element that lies between them in the tree, and of the nearest of one parent."""
+    edges, last = [], {}
+    for k, b in enumerate(blocks):
+        if k:
+            a = blocks[k - 1].path
+            shared = next((i for i, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
+            # the two blocks' own elements are siblings at most: one step each
+            apart = max(0, len(a) - shared - 1) + max(0, len(b.path) - shared - 1)
+            edges.append((k - 1, k, ADJACENT / (1 + apart) ** 2))
+        home = b.path[:-1]
+        if last.get(home, k) < k - 1:
+            edges.append((last[home], k, SAME_PARENT))
+        last[home] = k
+    return edges
+
+
+def block_costs(blocks: list[Block], weights: np.ndarray) -> np.ndarray:
+    """The classifier's log-odds of content."""
+    return np.clip(block_features(blocks) @ weights, -12, 12)
 
 
 def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are content."""
     if not blocks:
         return []
-    z = block_features(blocks) @ weights + np.array([b.evidence for b in blocks]) * 1.5
-    z = np.clip(z, -12, 12)
+    z = block_costs(blocks, weights)
     as_boiler, as_content = np.logaddexp(0, z), np.logaddexp(0, -z)  # -log of the probability of the label
-    edges, last = [], {}
-    for k, b in enumerate(blocks):
-        if k and (b.evidence < 0) == (blocks[k - 1].evidence < 0):
-            edges.append((k - 1, k, ADJACENT))
-        if b.parent in last:
-            edges.append((last[b.parent], k, SAME_PARENT))
-        last[b.parent] = k
-    return minimum_cut(as_boiler.tolist(), as_content.tolist(), edges)
+    return minimum_cut(as_boiler.tolist(), as_content.tolist(), smoothness(blocks))
 
 
 def extract_text(page: str, weights: np.ndarray = DEFAULT_WEIGHTS) -> str:
@@ -279,27 +328,26 @@ def extract_text(page: str, weights: np.ndarray = DEFAULT_WEIGHTS) -> str:
 
 
 def train_block_classifier(pages: DataFrame, sample: int = SAMPLE_PAGES, html: str = "html", key: str = "page_id") -> np.ndarray:
-    """Weights fitted on the blocks, of about `sample` pages, whose own markup tells their label. To the driver come
-    these blocks' numbers, at most 200 a page."""
+    """Weights fitted on the blocks of at most `sample` pages. To the driver come these blocks' numbers, at most
+    SAMPLE_BLOCKS a page, whatever ids are null or repeat."""
     total = pages.count()
-    chance = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    order = F.xxhash64(key, html)
+    chance = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, labels = [], []
             for page in batch.column(0).to_pylist():
-                blocks = page_blocks(page or "")[:200]
-                f = block_features(blocks)
-                for k, b in enumerate(blocks):
-                    if b.evidence:
-                        rows.append(f[k].tolist())
-                        labels.append(float(b.evidence > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], names=["x", "y"])
-
-    found = pages.where(F.coalesce(chance, F.lit(1.0)) < min(1.0, sample / max(1, total))).select(html).mapInArrow(run, "x array<double>, y double").toArrow()
+                blocks = page_blocks(page)
+                rows += block_features(blocks)[:SAMPLE_BLOCKS].tolist()
+                labels += block_seeds(page, blocks)[:SAMPLE_BLOCKS]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["x", "y"])
+
+    some = pages.where(F.col(html).isNotNull() & (chance < min(1.0, 2 * sample / max(1, total)))).select(F.col(html).alias("html"), order.alias("order"))
+    found = some.orderBy("order").limit(sample).select("html").mapInArrow(run, "x array<double>, y int").toArrow()
     x, y = found.column("x").to_pylist(), found.column("y").to_pylist()
-    order = sorted(range(len(y)), key=lambda k: (y[k], x[k]))
-    return fit_block_classifier(np.array([x[k] for k in order]).reshape(-1, FEATURES), np.array([y[k] for k in order]))
+    order_ = sorted(range(len(y)), key=lambda k: (y[k], x[k]))
+    return fit_block_classifier(np.array([x[k] for k in order_]).reshape(-1, SHAPE + MARKUP), np.array([y[k] for k in order_], dtype=np.int64))
 
 
 def extract_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
