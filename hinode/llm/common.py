@@ -107,15 +107,23 @@ def may_be_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 #: Rows of one key that meet it in one task; a key with more is dealt over several.
 KEY_ROWS = 20_000
+#: The most keys that are treated as frequent: only so many can have more than this share of all rows.
+FREQUENT_KEYS = 100_000
+
+
+def frequent_keys(keys: DataFrame, on: list[str], total: int, rows: int = KEY_ROWS) -> DataFrame:
+    """The keys with more than `rows` of `total` rows (column places), and in how many parts to deal them; at most
+    FREQUENT_KEYS, so they may be broadcast."""
+    most = max(rows, total // FREQUENT_KEYS)
+    return F.broadcast(keys.where(F.col("places") > most).select(*on, F.ceil(F.col("places") / most).cast("int").alias("parts")))
 
 
 def join_dealt(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """rows joined with keys, which has one row for each value of `on` and `places`, how many rows have it. The rows of a
-    frequent key are dealt by a hash of `by`, so that none has to be in one task whole."""
-    parts = F.ceil(F.col("places") / KEY_ROWS).cast("int")
-    heavy = keys.where(F.col("places") > KEY_ROWS).select(*on, parts.alias("parts"))
+    """rows joined with keys, a stored table with one row for each value of `on` and `places`, how many rows have it. The
+    rows of a frequent key are dealt by a hash of `by`, so that none has to be in one task whole."""
+    heavy = frequent_keys(keys, on, keys.agg(F.sum("places")).first()[0] or 0, KEY_ROWS)
     dealt = rows.join(heavy, on, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-    wide = keys.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("places")
+    wide = keys.join(heavy, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("places", "parts")
     return dealt.join(wide, [*on, "part"]).drop("part")
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, may_be_among, mix64, shingle_hashes, text_bytes, word_hashes
+from .common import Scratch, chunks, frequent_keys, may_be_among, mix64, shingle_hashes, text_bytes, word_hashes
 from .graph import connected_components
 
 SHINGLE = 5
@@ -47,8 +47,10 @@ ROUNDS = ("hub", "best", "all")
 BLOCK = 4096
 #: Pairs of one node that meet its sketch in one task; a node with more is dealt over several keys.
 SPREAD = 1024
-#: Nodes of each side whose full sets are held at once to confirm the pairs among them.
+#: Nodes of each side whose full sets are held at once to confirm the pairs of a block.
 TILE = 64
+#: A hub's members are confirmed in a group for each so many shingles of theirs, SPREAD at most in each.
+TILE_SHINGLES = 1000
 
 _FACTORS = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 _NO_ID = (1 << 63) - 1
@@ -140,22 +142,26 @@ def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(buckets.where("low <> high").select("bucket", "members", "hub"), "bucket")
 
 
-def _with_facts(pairs: DataFrame, side: str, facts: DataFrame) -> DataFrame:
-    """Pairs (a, b, ..) with what facts (id, ..) say of one side, as {name}_{side}."""
-    other = "b" if side == "a" else "a"
-    heavy = pairs.groupBy(side).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1")
-    dealt = pairs.join(heavy, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+def _with_facts(pairs: DataFrame, side: str, facts: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Pairs (a, b, ..) with what facts (id, ..) say of one side, as {name}_{side}, and the part_{side} that the pair is in."""
+    other, part = "b" if side == "a" else "a", f"part_{side}"
+    dealt = pairs.join(heavy, side, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     named = facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in facts.columns if c != "id"])
-    named = named.join(heavy, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(named, [side, "part"]).drop("part")
+    named = named.join(heavy, side, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(named, [side, part])
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """The pairs a, b whose sizes and sketches allow a link."""
-    facts = nodes.select("id", "n_shingles", "filled", "sketch")
-    both = _with_facts(_with_facts(pairs.select("a", "b"), "b", facts), "a", facts)
+    """The stored pairs a, b whose sizes and sketches allow a link, with the group g in which they are confirmed: some of
+    the members of a hub a, the fewer the longer they are."""
+    total = pairs.count()
+    both = pairs
+    for side in "ba":
+        counts = pairs.groupBy(side).agg(F.count("*").alias("places"))
+        both = _with_facts(both, side, nodes.select("id", "n_shingles", "filled", "sketch"), frequent_keys(counts, [side], total, SPREAD))
     size = [F.col(f"n_shingles_{s}") for s in "ab"]
-    both = both.where(100 * F.least(*size) >= share * F.greatest(*size))
+    tile = F.pmod(F.xxhash64("b"), F.ceil(F.col("n_shingles_b") / TILE_SHINGLES))
+    both = both.where(100 * F.least(*size) >= share * F.greatest(*size)).withColumn("g", F.xxhash64("a", "part_a", tile))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +169,9 @@ def _passing(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
             one, two = (np.frombuffer(b"".join(batch.column(f"sketch_{s}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for s in "ab")
             odd = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
             _, ok = likely(get("n_shingles_a"), get("n_shingles_b"), get("filled_a"), get("filled_b"), odd, share)
-            yield pa.RecordBatch.from_arrays([pa.array(get("a")[ok]), pa.array(get("b")[ok])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(get(c)[ok]) for c in ("g", "a", "b")], names=["g", "a", "b"])
 
-    return both.select("a", "b", *[f"{c}_{s}" for c in ("n_shingles", "filled", "sketch") for s in "ab"]).mapInArrow(run, "a long, b long")
+    return both.select("g", "a", "b", *[f"{c}_{s}" for c in ("n_shingles", "filled", "sketch") for s in "ab"]).mapInArrow(run, "g long, a long, b long")
 
 
 def likely(size_a: np.ndarray, size_b: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, odd: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,13 +185,6 @@ def _hub_pairs(live: DataFrame) -> DataFrame:
     return live.where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _tiled(pairs: DataFrame) -> DataFrame:
-    """Hub pairs with the group g, of a hub and at most about TILE members, in which they are confirmed."""
-    tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    tile = F.coalesce(F.pmod(F.xxhash64("b"), F.col("tiles")), F.lit(0))
-    return pairs.join(tiles, "a", "left").select(F.xxhash64("a", tile).alias("g"), "a", "b")
-
-
 def _compare(rows: dict[str, np.ndarray], share: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block that are likely by size and sketch and differ in component: the best one of each member outside
     of the largest component, or all that have no earlier band in common."""
@@ -336,7 +335,12 @@ def _components(docs: DataFrame, text: str, doc_id: str, share: int, scratch: Sc
         members = live
         if live.isEmpty():
             break
-        pairs = scratch.keep(_tiled(_passing(_hub_pairs(live), nodes, share)) if kind == "hub" else _block_pairs(live, nodes, share, kind == "best"), "pairs")
+        if kind == "hub":
+            hubs = scratch.keep(_hub_pairs(live), "hubs")
+            pairs = scratch.keep(_passing(hubs, nodes, share), "pairs")
+            scratch.drop(hubs)
+        else:
+            pairs = scratch.keep(_block_pairs(live, nodes, share, kind == "best"), "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = scratch.keep(nodes.select("id", "lead.text_id").join(ids, "id", "left_semi"), "wanted")
         sets = scratch.keep(_full_sets(docs, wanted, text), "sets")

@@ -279,9 +279,10 @@ def _sorted_groups(places: DataFrame, length: int) -> DataFrame:
     return places.repartition("gram").sortWithinPartitions("gram").select("gram", "k1", "k2", "first", "data", "rel").mapInArrow(run, _SPAN)
 
 
-def _counted_windows(windows: DataFrame, length: int) -> DataFrame:
+def _counted_windows(windows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Spans of the windows of large groups whose two hashes occur again."""
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1")
+    windows = scratch.keep(windows, "windows")
+    again = scratch.keep(windows.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1"), "again")
     return join_dealt(windows, again, ["w1", "w2"], ["k1", "k2", "start"]).select("k1", "k2", "start", (F.col("start") + length).cast("int").alias("stop"))
 
 
@@ -329,7 +330,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     small = _sorted_groups(texts.mapInArrow(cut, "gram long, k1 long, k2 long, first int, data binary, rel int"), length)
     has_large = F.exists("asked", lambda p: p["large"])
-    large = _counted_windows(texts.where(has_large).mapInArrow(hash_windows, "w1 long, w2 long, k1 long, k2 long, start int"), length)
+    large = _counted_windows(texts.where(has_large).mapInArrow(hash_windows, "w1 long, w2 long, k1 long, k2 long, start int"), length, scratch)
     spans = small.unionByName(large).groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
