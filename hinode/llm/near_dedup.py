@@ -47,8 +47,8 @@ ROUNDS = ("hub", "best", "all")
 BLOCK = 4096
 #: Pairs of one node that meet its sketch in one task; a node with more is dealt over several keys.
 SPREAD = 1024
-#: Nodes of each side whose full sets are held at once to confirm the pairs of a block.
-TILE = 64
+#: Shingles of the full sets of a block that are held at once to confirm its pairs; a block with more is dealt in tiles.
+SET_SHINGLES = 1_000_000
 #: A hub's members are confirmed in a group for each so many shingles of theirs, SPREAD at most in each.
 TILE_SHINGLES = 1000
 
@@ -151,6 +151,22 @@ def _with_facts(pairs: DataFrame, side: str, facts: DataFrame, heavy: DataFrame)
     return dealt.join(named, [side, part])
 
 
+_PACKED = "g long, id long, partners array<long>"
+
+
+def _packed(g: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs to confirm in groups g: a row without partners for each node that a group needs, and one for each of its
+    nodes a with all partners, so rows grow with the nodes and not with the pairs."""
+    ends = np.unique(np.stack((np.concatenate((g, g)), np.concatenate((a, b)))), axis=1)
+    order = np.lexsort((b, a, g))
+    g, a, b = g[order], a[order], b[order]
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), (g[1:] != g[:-1]) | (a[1:] != a[:-1]))))
+    none = ends.shape[1]
+    offsets = np.concatenate((np.full(none, None), head, [len(b)]))
+    partners = pa.ListArray.from_arrays(pa.array(offsets.tolist(), pa.int32()), pa.array(b))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((ends[0], g[head]))), pa.array(np.concatenate((ends[1], a[head]))), partners], names=["g", "id", "partners"])
+
+
 def _passing(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     """The stored pairs a, b whose sizes and sketches allow a link, with the group g in which they are confirmed: some of
     the members of a hub a, the fewer the longer they are."""
@@ -169,9 +185,9 @@ def _passing(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
             one, two = (np.frombuffer(b"".join(batch.column(f"sketch_{s}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for s in "ab")
             odd = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
             _, ok = likely(get("n_shingles_a"), get("n_shingles_b"), get("filled_a"), get("filled_b"), odd, share)
-            yield pa.RecordBatch.from_arrays([pa.array(get(c)[ok]) for c in ("g", "a", "b")], names=["g", "a", "b"])
+            yield _packed(*(get(c)[ok] for c in ("g", "a", "b")))
 
-    return both.select("g", "a", "b", *[f"{c}_{s}" for c in ("n_shingles", "filled", "sketch") for s in "ab"]).mapInArrow(run, "g long, a long, b long")
+    return both.select("g", "a", "b", *[f"{c}_{s}" for c in ("n_shingles", "filled", "sketch") for s in "ab"]).mapInArrow(run, _PACKED)
 
 
 def likely(size_a: np.ndarray, size_b: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, odd: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +202,8 @@ def _hub_pairs(live: DataFrame) -> DataFrame:
 
 
 def _compare(rows: dict[str, np.ndarray], share: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block that are likely by size and sketch and differ in component: the best one of each member outside
-    of the largest component, or all that have no earlier band in common."""
+    """Pairs of a block that are likely by size and sketch, differ in component and have no earlier band in common: all,
+    or the best one of each member outside of the largest component."""
     size, filled, sketch, part, short = rows["n_shingles"], rows["filled"], rows["sketch"], rows["component"], rows["short"]
     cross = rows["i"][0] != rows["j"][0]
     left = np.flatnonzero(rows["own"] == rows["i"][0])
@@ -212,20 +228,21 @@ def _compare(rows: dict[str, np.ndarray], share: int, best: bool) -> tuple[np.nd
                 odd += np.bitwise_count(sketch[p, w] ^ sketch[q, w])
             guess, passed = likely(size[p], size[q], filled[p], filled[q], odd, share)
             p, q, guess = p[passed], q[passed], guess[passed]
+            first = (short[p] == short[q]).argmax(axis=1) == rows["band"][0]
+            p, q, guess = p[first], q[first], guess[first]
             if best:
                 order = np.lexsort((q, -guess, p))
                 p, q = p[order], q[order]
-                first = np.concatenate((np.ones(min(1, len(p)), bool), p[1:] != p[:-1]))
-            else:
-                first = (short[p] == short[q]).argmax(axis=1) == rows["band"][0]
-            out.append(np.stack((p[first], q[first])))
+                lead = np.concatenate((np.ones(min(1, len(p)), bool), p[1:] != p[:-1]))
+                p, q = p[lead], q[lead]
+            out.append(np.stack((p, q)))
     found = np.concatenate(out, axis=1)
     return found[0], found[1]
 
 
 def _block_pairs(live: DataFrame, nodes: DataFrame, share: int, best: bool) -> DataFrame:
-    """Distinct pairs a < b of live members of one bucket that are likely and differ in component (see _compare), and the
-    group g, of at most about TILE nodes of each side, in which they are confirmed."""
+    """Pairs of live members of one bucket that are likely and differ in component (see _compare), packed for the groups
+    g, of bounded size, in which they are confirmed."""
     dealt = live.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -248,12 +265,12 @@ def _block_pairs(live: DataFrame, nodes: DataFrame, share: int, best: bool) -> D
                     some = {k: v[s:e] for k, v in flat.items()}
                     p, q = _compare(some, share, best)
                     x, y = np.minimum(some["id"][p], some["id"][q]), np.maximum(some["id"][p], some["id"][q])
-                    tiles = np.uint64(-(-len(some["id"]) // TILE))
+                    tiles = np.uint64(max(1, -(-int(some["n_shingles"].sum()) // SET_SHINGLES)))
                     at = [mix64(v.view(np.uint64)) % tiles for v in (x, y)]
                     left.append(x)
                     right.append(y)
                     where.append(mix64(mix64(some["bucket"][p].view(np.uint64) + np.minimum(*at)) + np.maximum(*at)).view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (where, left, right)], names=["g", "a", "b"])
+            return _packed(*(np.concatenate(v) for v in (where, left, right)))
 
         for batch in batches:
             if not batch.num_rows:
@@ -271,15 +288,15 @@ def _block_pairs(live: DataFrame, nodes: DataFrame, share: int, best: bool) -> D
         if held:
             yield close(pa.Table.from_batches(held))
 
-    return rows.select(*group, *names, "sketch", "short").mapInArrow(run, "g long, a long, b long").groupBy("a", "b").agg(F.min("g").alias("g"))
+    return rows.select(*group, *names, "sketch", "short").mapInArrow(run, _PACKED)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (g, a, b) whose full sets are similar enough. A set is sent once to each group that needs it and not once
+    """The packed pairs whose full sets are similar enough. A set is sent once to each group that needs it and not once
     a pair, so what is sent grows with the nodes of a group of near misses and not with its pairs."""
-    ends = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
-    none = F.lit(None)
-    rows = ends.select("g", F.lit(0).alias("kind"), "id", none.cast("long").alias("b"), "shingles").unionByName(pairs.select("g", F.lit(1).alias("kind"), F.col("a").alias("id"), "b", none.cast("array<long>").alias("shingles")))
+    ends = pairs.where("partners IS NULL").select("g", "id").distinct().join(sets, "id")
+    none = F.lit(None).cast("array<long>")
+    rows = ends.select("g", F.lit(0).alias("kind"), "id", none.alias("partners"), "shingles").unionByName(pairs.where("partners IS NOT NULL").select("g", F.lit(1).alias("kind"), "id", "partners", none.alias("shingles")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
@@ -287,13 +304,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
             found = []
             sets = batch.column("shingles")
             values, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
-            for k, (g, kind, one, two) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "kind", "id", "b")), strict=True)):
+            for k, (g, kind, one, partners) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "kind", "id", "partners")), strict=True)):
                 if g != group:
                     group, held = g, {}
                 if kind == 0:
                     held[one] = values[offsets[k] : offsets[k + 1]].copy()
-                else:
-                    x, y = held[one], held[two]
+                    continue
+                x = held[one]
+                for two in partners:
+                    y = held[two]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= share * (len(x) + len(y) - both):
                         found.append((one, two))
@@ -341,7 +360,7 @@ def _components(docs: DataFrame, text: str, doc_id: str, share: int, scratch: Sc
             scratch.drop(hubs)
         else:
             pairs = scratch.keep(_block_pairs(live, nodes, share, kind == "best"), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ids = pairs.where("partners IS NULL").select("id").distinct()
         wanted = scratch.keep(nodes.select("id", "lead.text_id").join(ids, "id", "left_semi"), "wanted")
         sets = scratch.keep(_full_sets(docs, wanted, text), "sets")
         links = scratch.keep(_confirm(pairs, sets, share), "links")
