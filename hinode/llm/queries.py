@@ -13,6 +13,7 @@ from .html import extract_pages
 from .langid import identify_languages
 from .licenses import scan_licenses
 from .near_dedup import near_duplicates
+from .oracles import NEAR_DUPLICATES, REPEATED_BYTES
 from .packing import best_fit_pack
 from .secrets import find_secrets, secret_digest
 from .suffixes import remove_repeats
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_minhash_near_dedup": NEAR_DUPLICATES, "op10_suffix_dedup": REPEATED_BYTES}
