@@ -15,6 +15,7 @@ left alone. Texts of any length are tokenised whole; only documents longer than
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -41,6 +42,19 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+def _drops_white_space(tokenizer) -> bool:
+    """Whether the tokenizer is one that WordEncoder can take apart: composed lower case, white space dropped, word ends."""
+    made = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+    splits = [x for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return (
+        made["model"].get("end_of_word_suffix") == "</w>"
+        and steps == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    )
+
+
 class WordEncoder:
     """Token ids of texts as little-endian bytes, by white-space words, each encoded once.
 
@@ -57,6 +71,7 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _drops_white_space(self.tokenizer)
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         self.memo: dict[bytes, bytes] = {}
@@ -73,9 +88,13 @@ class WordEncoder:
         return cls._known[path]
 
     def _apart(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
         joined = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
         ids = np.array([i for e in self.letters.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype="<u4")
         ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
@@ -112,7 +131,9 @@ class WordEncoder:
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Token ids of each text of a string column without nulls."""
+        """Token ids of each text of a string column without nulls; a tokenizer of another make gets whole texts."""
+        if not self.by_words:
+            return self._apart(texts.to_pylist())
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words, memo = coded.dictionary.cast(pa.binary()).to_pylist(), self.memo
