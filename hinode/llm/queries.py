@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import decode_documents, encode_documents, token_digest
 from .common import read_table
 from .decontaminate import find_contamination
 from .fingerprints import fingerprint_documents
@@ -13,11 +14,13 @@ from .html import extract_pages
 from .langid import identify_languages
 from .licenses import scan_licenses
 from .near_dedup import near_duplicates
-from .oracles import NEAR_DUPLICATES, REPEATED_BYTES
+from .oracles import NEAR_DUPLICATES, REPEATED_BYTES, SPELLINGS
 from .packing import best_fit_pack
 from .secrets import find_secrets, secret_digest
+from .spelling import group_spellings
 from .suffixes import remove_repeats
 from .toxicity import score_toxicity
+from .whitening import whiten_embeddings
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -66,7 +69,37 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_best_fit_packing, op2_document_fingerprints, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dedup, op6_html_extraction, op7_language_id, op8_toxicity, op9_secret_scan, op10_suffix_dedup)
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return token_digest(decode_documents(encoded, path, public_tokenizers.PATTERN))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(read_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (
+    op1_best_fit_packing,
+    op2_document_fingerprints,
+    op3_benchmark_decontamination,
+    op4_license_scan,
+    op5_minhash_near_dedup,
+    op6_html_extraction,
+    op7_language_id,
+    op8_toxicity,
+    op9_secret_scan,
+    op10_suffix_dedup,
+    op11_byte_bpe,
+    op12_spelling_variants,
+    op13_embedding_whitening,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,4 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": NEAR_DUPLICATES, "op10_suffix_dedup": REPEATED_BYTES}
+    return {
+        "op5_minhash_near_dedup": NEAR_DUPLICATES,
+        "op10_suffix_dedup": REPEATED_BYTES,
+        "op12_spelling_variants": SPELLINGS,
+    }
