@@ -31,6 +31,11 @@ READINESS = (
 )
 CORE = ("sales", "margin", "equity", "ocf", "forecast", "payout", "div_change", "trend")
 STRUCTURAL = ("cash_quality", "margin_stability", "forecast_revision", "sector_relative")
+#: Fixed: the checks whose failure alone stops, and the scores from which a security is considered or researched.
+HARD = ("equity", "ocf", "cash_quality", "margin_stability", "forecast_revision", "sector_relative", "forecast", "margin", "trend")
+CONSIDER, RESEARCH = 75, 55
+#: Fixed: the sources of a market comparison that count as one.
+BENCHMARKS = ("index", "proxy")
 
 
 def _within(x: Column, bounds: tuple) -> Column:
@@ -43,28 +48,44 @@ def _within(x: Column, bounds: tuple) -> Column:
     return ok
 
 
-def readiness(rows: DataFrame) -> DataFrame:
-    """checks (array of key, status, weight), evidence_score (0-100, half to even), level.
+def readiness(rows: DataFrame, quote: Column | None = None) -> DataFrame:
+    """checks (array of key, status, weight), evidence_score (0-100, half to even), failures and level.
 
-    A check whose column is absent or null is unknown and has no weight. The level is `stop` where a core check fails or
-    three do, `consider` from 70 points on without a failure, else `research`.
+    A check whose column is absent or null is unknown and has no weight. So is the comparison with the market where
+    benchmark_source names none. The level is `stop` where a hard check fails; else `consider` from 75 points on with a
+    quote at hand (`quote`, true unless given); else `research` from 55 on, and `stop` below. Other failures only cost
+    points.
     """
     for _, name, *_ in READINESS:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("double"))
+    compared = F.lit(True)
+    if "benchmark_source" in rows.columns:
+        source = F.coalesce("benchmark_source", F.lit(""))
+        compared = (source == "") | source.isin(*BENCHMARKS)
     checks = []
     for key, name, weight, good, fair in READINESS:
         x = F.col(name).cast("double")
-        status = F.when(x.isNull(), "unknown").when(_within(x, good), "pass").when(_within(x, fair), "warn").otherwise("fail")
+        unknown = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+        if key == "relative":
+            unknown = unknown | ~compared
+        status = F.when(unknown, "unknown").when(_within(x, good), "pass").when(_within(x, fair), "warn").otherwise("fail")
         checks.append(F.struct(F.lit(key).alias("key"), status.alias("status"), F.lit(weight).alias("weight")))
     rows = rows.withColumn("checks", F.array(*checks))
     known = F.aggregate("checks", F.lit(0.0), lambda a, c: a + F.when(c["status"] != "unknown", c["weight"]).otherwise(0))
-    won = F.aggregate("checks", F.lit(0.0), lambda a, c: a + F.when(c["status"] == "pass", c["weight"]).when(c["status"] == "warn", c["weight"] * 0.5).otherwise(0.0))
-    rows = rows.withColumn("evidence_score", F.coalesce(F.bround(100.0 * won / F.nullif(known, F.lit(0.0))), F.lit(0.0)).cast("int"))
+    points = lambda c: F.when(c["status"] == "pass", c["weight"]).when(c["status"] == "warn", c["weight"] * 0.5).otherwise(0.0)
+    won = F.aggregate("checks", F.lit(0.0), lambda a, c: a + points(c))
+    score = F.coalesce(F.bround(100.0 * won / F.nullif(known, F.lit(0.0))), F.lit(0.0)).cast("int")
     failed = F.filter("checks", lambda c: c["status"] == "fail")
-    core_failed = F.exists(failed, lambda c: c["key"].isin(*CORE))
-    rows = rows.withColumn("failures", F.size(failed))
-    return rows.withColumn("level", F.when(core_failed | (F.col("failures") >= 3), "stop").when((F.col("evidence_score") >= 70) & (F.col("failures") == 0), "consider").otherwise("research"))
+    rows = rows.withColumns({"evidence_score": score, "failures": F.size(failed), "hard_failed": F.exists(failed, lambda c: c["key"].isin(*HARD))})
+    quoted = F.lit(True) if quote is None else passes(quote)
+    level = (
+        F.when(F.col("hard_failed"), "stop")
+        .when((F.col("evidence_score") >= CONSIDER) & quoted, "consider")
+        .when(F.col("evidence_score") >= RESEARCH, "research")
+        .otherwise("stop")
+    )
+    return rows.withColumn("level", level).drop("hard_failed")
 
 
 def badge(rows: DataFrame) -> DataFrame:

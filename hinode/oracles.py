@@ -131,7 +131,9 @@ TABLES["now"] = "SELECT as_of, code, date AS bar, trend_score AS t_score, sma20,
 TABLES["trd"] = "SELECT now.*, b.trend_score AS score_before FROM now LEFT JOIN tr b ON b.code = now.code AND b.date <= bar - 90 AND b.next_date > bar - 90"
 TABLES["chk"] = "SELECT *, " + ", ".join(f"CASE WHEN {x} IS NULL THEN 'unknown' WHEN {_bounded(x, good)} THEN 'pass' WHEN {_bounded(x, fair)} THEN 'warn' ELSE 'fail' END AS c_{k}" for k, x, _, good, fair in CHECKS) + " FROM sel LEFT JOIN trd USING (as_of, code)"
 TABLES["pts"] = "SELECT *, " + " + ".join(f"CASE WHEN c_{k} = 'unknown' THEN 0.0e0 ELSE {w} END" for k, _, w, *_ in CHECKS) + " AS known_points, " + " + ".join(f"CASE c_{k} WHEN 'pass' THEN {w} WHEN 'warn' THEN {w} * 0.5e0 ELSE 0.0e0 END" for k, _, w, *_ in CHECKS) + " AS won_points, " + " + ".join(f"CASE WHEN c_{k} = 'fail' THEN 1 ELSE 0 END" for k, *_ in CHECKS) + " AS failures FROM chk"
-TABLES["rd"] = f"SELECT *, CASE WHEN NOT {_all(_CORE, chr(60) + chr(62) + ' ' + repr('fail'))} OR failures >= 3 THEN 'stop' WHEN evidence_score >= 70 AND failures = 0 THEN 'consider' ELSE 'research' END AS level FROM (SELECT *, CAST(COALESCE(round_even(100.0e0 * won_points / nullif(known_points, 0), 0), 0) AS INTEGER) AS evidence_score FROM pts)"
+_HARD = ("equity", "ocf", "cash_quality", "margin_stability", "forecast_revision", "sector_relative", "forecast", "margin", "trend")
+TABLES["rd"] = f"""SELECT *, CASE WHEN {" OR ".join(f"c_{k} = 'fail'" for k in _HARD)} THEN 'stop' WHEN evidence_score >= 75 THEN 'consider' WHEN evidence_score >= 55 THEN 'research' ELSE 'stop' END AS level
+    FROM (SELECT *, CAST(COALESCE(round_even(100.0e0 * won_points / nullif(known_points, 0), 0), 0) AS INTEGER) AS evidence_score FROM pts)"""
 _PASS, _SOFT = "= 'pass'", "IN ('pass', 'unknown')"
 TABLES["bd"] = f"""SELECT *, CASE WHEN strong AND reversal_star THEN '◎☆' WHEN strong THEN '◎' WHEN level = 'consider' THEN '○' WHEN level = 'research' THEN '△' ELSE '×' END AS badge FROM (SELECT *, level = 'consider' AND evidence_score >= 75 AND (escaped_downtrend OR COALESCE(t_score >= 2, false)) AS strong,
     legacy_star AND COALESCE(t_score >= 5, false) AND COALESCE(return_20d >= 0, false) AND COALESCE(close > sma20, false) AND COALESCE(sma20_rising, false) AND COALESCE(sma20 > sma50, false) AS reversal_star FROM (SELECT *, COALESCE(score_before <= -2 AND t_score >= 0, false) AS escaped_downtrend,
