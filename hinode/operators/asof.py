@@ -1,4 +1,4 @@
-"""As-of joins and forward returns by session numbers."""
+"""As-of joins by one ordered pass, and forward returns by session numbers or calendar days."""
 
 from __future__ import annotations
 
@@ -6,16 +6,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of_backward(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str) -> DataFrame:
-    """Each row of left with the newest row of right of its key at or before its date (right's columns end in _r).
-
-    Right's rows are turned into spans until the next one, so the join gives one row and needs no aggregation.
+def as_of_merge(
+    left: DataFrame,
+    right: DataFrame,
+    key: list[str],
+    left_time: str,
+    right_time: str,
+    forward: bool = False,
+    bucket: str | None = None,
+    name: str = "_found",
+) -> DataFrame:
+    """Each row of left with `name`, a struct of the nearest row of right of its key at or before its time (at or after,
+    if forward); null where there is none.
+
+    Both tables go through one ordering by (key, time), and the last row of right is carried along it: the work is linear
+    in their rows, whatever the number of rows that stand before each. With `bucket` (a unit of date_trunc) a key's rows
+    are dealt by time as well, so that a hot key isn't in one task; what a bucket leaves is carried on from bucket to
+    bucket, in a table with a row for each key and bucket.
+
+    Of rows of right with equal key and time, the greatest by all its columns counts. Rows of left without a key or time
+    find nothing and are kept; such rows of right are never found. Left's columns may have any names but `name`.
     """
-    w = Window.partitionBy(key).orderBy(right_date)
-    spans = right.withColumn("until", F.lead(right_date).over(w))
-    spans = spans.select(F.col(key).alias("join_key"), *[F.col(c).alias(f"{c}_r") for c in right.columns if c != key], "until")
-    on = (F.col(key) == F.col("join_key")) & (F.col(f"{right_date}_r") <= F.col(left_date)) & (F.col("until").isNull() | (F.col("until") > F.col(left_date)))
-    return left.join(spans, on, "left").drop("join_key", "until")
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]
+    names = [f"_k{i}" for i in range(len(key))]
+    known = lambda df, time: ~F.exists(F.array(*[F.col(c).isNull() for c in [*key, time]]), lambda x: x)
+    mine, theirs = F.struct(*[F.col(c) for c in left.columns]), F.struct(*[F.col(c) for c in right.columns])
+    rights = right.where(known(right, right_time)).select(*keys, F.col(right_time).cast("timestamp").alias("_t"), theirs.alias("_r"))
+    lefts = left.where(known(left, left_time)).select(*keys, F.col(left_time).cast("timestamp").alias("_t"), mine.alias("_l"))
+    rest = left.where(~known(left, left_time)).select(mine.alias("_l"))
+    rows = rights.withColumn("_l", F.lit(None).cast(lefts.schema["_l"].dataType)).unionByName(
+        lefts.withColumn("_r", F.lit(None).cast(rights.schema["_r"].dataType))
+    )
+    time = F.col("_t").desc() if forward else F.col("_t").asc()
+    # rows of right stand before the rows of left of their time, the greatest of them last
+    ordered = [time, F.col("_l").isNotNull(), F.col("_r").asc()]
+    near = F.last("_r", ignorenulls=True)
+    if bucket is None:
+        rows = rows.withColumn("found", near.over(Window.partitionBy(*names).orderBy(*ordered)))
+    else:
+        rows = rows.withColumn("_b", F.date_trunc(bucket, "_t"))
+        time_of = F.when(F.col("_r").isNotNull(), F.struct((-F.unix_micros("_t") if forward else F.unix_micros("_t")).alias("t"), "_r"))
+        left_over = rows.groupBy(*names, "_b").agg(F.max(time_of).alias("_last"))
+        chain = Window.partitionBy(*names).orderBy(F.col("_b").desc() if forward else F.col("_b").asc())
+        before = F.last("_last", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1))
+        carried = left_over.select(*names, "_b", before.getField("_r").alias("_carried"))
+        within = near.over(Window.partitionBy(*names, "_b").orderBy(*ordered))
+        rows = rows.withColumn("found", within).where("_l IS NOT NULL").join(carried, [*names, "_b"])
+        rows = rows.withColumn("found", F.coalesce("found", "_carried"))
+    merged = rows.where("_l IS NOT NULL").select("_l", "found")
+    merged = merged.unionByName(rest.withColumn("found", F.lit(None).cast(merged.schema["found"].dataType)))
+    return merged.select("_l.*", F.col("found").alias(name))
+
+
+def as_of_backward(
+    left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, bucket: str | None = None
+) -> DataFrame:
+    """Each row of left with the newest row of right of its key at or before its date (right's columns end in _r)."""
+    merged = as_of_merge(left, right, [key], left_date, right_date, bucket=bucket)
+    found = [F.col(f"_found.{c}").alias(f"{c}_r") for c in right.columns if c != key]
+    return merged.select(*left.columns, *found)
 
 
 def sessions(prices: DataFrame) -> DataFrame:
@@ -26,43 +75,91 @@ def sessions(prices: DataFrame) -> DataFrame:
 
 def locate(anchors: DataFrame, numbered: DataFrame, date: str) -> DataFrame:
     """anchors with n0, the number of the last session at or before their date (0 before the first)."""
-    w = Window.partitionBy("code").orderBy("date")
-    spans = numbered.select(F.col("code").alias("k"), F.col("date").alias("d"), F.lead("date").over(w).alias("until"), F.col("session_no").alias("n0"))
-    on = (F.col("code") == F.col("k")) & (F.col("d") <= F.col(date)) & (F.col("until").isNull() | (F.col("until") > F.col(date)))
-    return anchors.join(spans, on, "left").drop("k", "d", "until").withColumn("n0", F.coalesce("n0", F.lit(0)))
+    merged = as_of_merge(anchors, numbered.select("code", "date", "session_no"), ["code"], date, "date")
+    return merged.withColumn("n0", F.coalesce("_found.session_no", F.lit(0))).drop("_found")
+
+
+def _suffix(delay: int) -> str:
+    return f"_entry_delay_{delay}d" if delay else ""
 
 
-def forward_returns(anchors: DataFrame, prices: DataFrame, horizons: tuple[int, ...], date: str = "as_of", entry: str = "entry_price", delay: int = 0, suffix: str = "") -> DataFrame:
-    """anchors with return_{h}d and actual_days_{h}d: the close of the h-th session strictly after the entry against it.
+def forward_outcomes(
+    anchors: DataFrame,
+    numbered: DataFrame,
+    horizons: tuple[int, ...],
+    delays: tuple[int, ...] = (0,),
+    date: str = "as_of",
+    entry: str = "entry_price",
+) -> DataFrame:
+    """anchors with return_{h}d and actual_days_{h}d for every horizon: the close of the h-th session strictly after the
+    entry against it; for a delay above 0 with the ending _entry_delay_{delay}d, and the close of the delay-th session
+    after the anchor as the entry.
 
-    With a delay the entry is the close of the delay-th session after the anchor, and horizons count from there. Returns
-    that are not complete yet, or have no valid entry, are null.
+    numbered: sessions(), stored if it is read more than once. All horizons and delays are found by one look-up of
+    session numbers. Returns that are not complete yet, or have no valid entry, are null.
     """
-    numbered = sessions(prices)
     rows = locate(anchors, numbered, date)
-    steps = [*([0] if delay else []), *horizons]
-    wanted = F.array(*[F.struct(F.lit(h).alias("h"), (F.col("n0") + delay + h).alias("n")) for h in steps])
-    needs = rows.select("code", "n0").distinct().select("code", "n0", F.explode(wanted).alias("w")).select("code", "n0", F.col("w.h").alias("h"), F.col("w.n").alias("session_no"))
-    found = needs.join(numbered, ["code", "session_no"]).groupBy("code", "n0").pivot("h", steps).agg(F.max("close").alias("close"), F.max("date").alias("date"))
-    joined = rows.join(found, ["code", "n0"], "left")
-    base = F.col("0_close") if delay else F.col(entry)
-    start = F.col("0_date") if delay else F.col(date)
-    ok = (base > 0) & ~F.isnan(base)
-    for h in horizons:
-        joined = joined.withColumn(f"return_{h}d{suffix}", F.when(ok, F.col(f"{h}_close") / base - 1.0)).withColumn(f"actual_days_{h}d{suffix}", F.when(ok, F.datediff(F.col(f"{h}_date"), start)))
-    return joined.select(*anchors.columns, *[f"{k}_{h}d{suffix}" for h in horizons for k in ("return", "actual_days")])
-
-
-def calendar_returns(anchors: DataFrame, prices: DataFrame, days: tuple[int, ...], date: str = "as_of", entry: str = "entry_price") -> DataFrame:
-    """anchors with calendar_return_{d}d: the first close at or after the date plus d calendar days against the entry."""
-    w = Window.partitionBy("code").orderBy("date")
-    spans = prices.where("close IS NOT NULL").select(F.col("code").alias("k"), F.col("date").alias("d"), F.col("close").alias("c"), F.lag("date").over(w).alias("before"))
-    out = anchors
+    steps = sorted({d + h for d in delays for h in horizons} | {d for d in delays if d})
+    wanted = F.explode(F.array(*[F.lit(s) for s in steps])).alias("step")
+    needs = rows.select("code", "n0").distinct().select("code", "n0", wanted).withColumn("session_no", F.col("n0") + F.col("step"))
+    at = needs.join(numbered.select("code", "session_no", "date", "close"), ["code", "session_no"])
+    at = at.groupBy("code", "n0").pivot("step", steps).agg(F.max("close").alias("close"), F.max("date").alias("date"))
+    joined = rows.join(at, ["code", "n0"], "left")
+    found = []
+    for d in delays:
+        base, start = (F.col(f"{d}_close"), F.col(f"{d}_date")) if d else (F.col(entry), F.col(date))
+        ok = (base > 0) & ~F.isnan(base)
+        for h in horizons:
+            found.append(F.when(ok, F.col(f"{d + h}_close") / base - 1.0).alias(f"return_{h}d{_suffix(d)}"))
+            found.append(F.when(ok, F.datediff(F.col(f"{d + h}_date"), start)).alias(f"actual_days_{h}d{_suffix(d)}"))
+    return joined.select(*anchors.columns, *found)
+
+
+def forward_returns(
+    anchors: DataFrame,
+    prices: DataFrame,
+    horizons: tuple[int, ...],
+    date: str = "as_of",
+    entry: str = "entry_price",
+    delay: int = 0,
+    suffix: str = "",
+) -> DataFrame:
+    """forward_outcomes of one delay over bars, with a suffix of the caller's."""
+    found = forward_outcomes(anchors, sessions(prices), horizons, (delay,), date, entry)
+    names = {f"{k}_{h}d{_suffix(delay)}": f"{k}_{h}d{suffix}" for h in horizons for k in ("return", "actual_days")}
+    return found.withColumnsRenamed(names)
+
+
+def calendar_outcomes(
+    anchors: DataFrame, prices: DataFrame, days: tuple[int, ...], date: str = "as_of", entry: str = "entry_price"
+) -> DataFrame:
+    """anchors with return_{d}d and outcome_date_{d}d: the first close at or after the date plus d calendar days against
+    the entry, and its date. Without a valid entry both are null.
+
+    The targets of all horizons go through one forward merge with the bars.
+    """
+    valid = prices.where("date IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)").select("code", "date", "close")
+    later = F.explode(F.array(*[F.struct(F.lit(d).alias("days"), F.date_add("_anchor", d).alias("target")) for d in days]))
+    targets = anchors.select("code", F.col(date).alias("_anchor")).where("code IS NOT NULL AND _anchor IS NOT NULL").distinct()
+    targets = targets.select("code", "_anchor", later.alias("t")).select("code", "_anchor", "t.days", "t.target")
+    merged = as_of_merge(targets, valid, ["code"], "target", "date", forward=True).where("_found IS NOT NULL")
+    at = merged.groupBy("code", "_anchor").pivot("days", list(days))
+    at = at.agg(F.max("_found.close").alias("close"), F.max("_found.date").alias("date")).withColumnRenamed("_anchor", date)
+    joined = anchors.join(at, ["code", date], "left")
+    ok = (F.col(entry) > 0) & ~F.isnan(F.col(entry))
+    found = []
     for d in days:
-        target = F.date_add(F.col(date), d)
-        on = (F.col("code") == F.col("k")) & (F.col("d") >= target) & (F.col("before").isNull() | (F.col("before") < target))
-        out = out.join(spans, on, "left").withColumn(f"calendar_return_{d}d", F.when(F.col(entry) > 0, F.col("c") / F.col(entry) - 1.0)).drop("k", "d", "c", "before")
-    return out
+        found.append(F.when(ok, F.col(f"{d}_close") / F.col(entry) - 1.0).alias(f"return_{d}d"))
+        found.append(F.when(ok, F.col(f"{d}_date")).alias(f"outcome_date_{d}d"))
+    return joined.select(*anchors.columns, *found)
+
+
+def calendar_returns(
+    anchors: DataFrame, prices: DataFrame, days: tuple[int, ...], date: str = "as_of", entry: str = "entry_price"
+) -> DataFrame:
+    """anchors with calendar_return_{d}d: the returns of calendar_outcomes."""
+    found = calendar_outcomes(anchors, prices, days, date, entry)
+    return found.select(*anchors.columns, *[F.col(f"return_{d}d").alias(f"calendar_return_{d}d") for d in days])
 
 
 def keep_last(rows: DataFrame, key: list[str], order: list) -> DataFrame:
