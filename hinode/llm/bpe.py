@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that a task looks up at once.
+ROWS = 2000
 #: Words whose ids a task remembers; the rest are encoded again when they come up again.
 MEMO_WORDS = 250_000
 #: Words of a text that are looked up at once, and tokens that are decoded at once.
@@ -43,6 +45,27 @@ QUERY_BYTES = 1 << 19
 #: Bytes of a block of a long run whose tokens depend on where it starts, and tokens at its end that the next one redoes.
 BLOCK_BYTES, REACH = 1 << 12, 16
 
+#: Each turn the tokens of each word become rows with their position, meet the merge table, and the leftmost pair of lowest
+#: rank is contracted; a word without a pair is done. `top` is the highest rank on the way.
+LEFTMOST = """
+WITH RECURSIVE state(word, ids, top, done) AS (
+  SELECT word, ids, -1, false FROM given
+  UNION ALL
+  SELECT state.word,
+    CASE WHEN best IS NULL THEN ids
+      ELSE ids[:best % 4294967296 - 1] || [CAST(best // 4294967296 AS INTEGER)] || ids[best % 4294967296 + 2:] END,
+    greatest(top, CAST(best // 4294967296 AS INTEGER)), best IS NULL
+  FROM state LEFT JOIN (
+    SELECT word, min(made * 4294967296 + place) AS best
+    FROM (
+      SELECT word, place, ids[place] AS first_id, ids[place + 1] AS second_id
+      FROM (SELECT word, ids, unnest(range(1, len(ids))) AS place FROM state WHERE NOT done)
+    ) JOIN merges USING (first_id, second_id)
+    GROUP BY word
+  ) lowest USING (word)
+  WHERE NOT done
+)
+"""
 #: Rows of the words that still have a pair, with the pair to their right and the lowest rank of their word.
 PAIRS = """
   SELECT near.*, merges.made, min(merges.made * 4294967296 + place) OVER (PARTITION BY near.word) AS best
@@ -51,19 +74,10 @@ PAIRS = """
     FROM state WINDOW here AS (PARTITION BY word ORDER BY place)
   ) near LEFT JOIN merges ON merges.first_id = near.id AND merges.second_id = near.next_id
 """
-#: Each turn contracts the leftmost pair of lowest rank of each word.
-LEFTMOST = f"""
-WITH RECURSIVE state(turn, word, place, id) AS (
-  SELECT 0, word, place, id FROM given
-  UNION ALL
-  SELECT turn + 1, word, place, CASE WHEN made * 4294967296 + place = best THEN made ELSE id END
-  FROM ({PAIRS}) WHERE best IS NOT NULL AND last_place IS DISTINCT FROM best % 4294967296
-)
-"""
 #: Each turn contracts all pairs of the lowest rank of each word; of those that overlap, every other one from the left.
 ALL_LOWEST = f"""
 WITH RECURSIVE state(turn, word, place, id) AS (
-  SELECT 0, word, place, id FROM given
+  SELECT 0, word, place, id FROM (SELECT word, unnest(ids) AS id, unnest(range(len(ids))) AS place FROM given)
   UNION ALL
   SELECT turn + 1, word, place, CASE WHEN taken THEN made ELSE id END
   FROM (
@@ -83,18 +97,16 @@ WITH RECURSIVE state(turn, word, place, id) AS (
   WHERE NOT eaten
 )
 """
-#: The tokens of each word at its last turn.
-TOKENS = """
-SELECT word, id FROM (SELECT *, max(turn) OVER (PARTITION BY word) AS last_turn FROM state)
-WHERE turn = last_turn ORDER BY word, place
-"""
+#: The words' tokens, in order of word.
+TOKENS = {
+    LEFTMOST: "SELECT ids FROM state WHERE done ORDER BY word",
+    ALL_LOWEST: """
+SELECT list(id ORDER BY place) AS ids FROM (SELECT *, max(turn) OVER (PARTITION BY word) AS last_turn FROM state)
+WHERE turn = last_turn GROUP BY word ORDER BY word
+""",
+}
 #: Whether each word that ends as one token never had a token of a higher rank on its way.
-RISING = """
-SELECT coalesce(bool_and(top = id), true) FROM (
-  SELECT id, turn, max(turn) OVER w AS last_turn, max(id) OVER w AS top, count(*) OVER (PARTITION BY word, turn) AS held
-  FROM state WINDOW w AS (PARTITION BY word)
-) WHERE turn = last_turn AND held = 1
-"""
+RISING = "SELECT coalesce(bool_and(top = ids[1]), true) FROM state WHERE done AND len(ids) = 1 AND top >= 0"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,51 +138,87 @@ def _odd_characters() -> dict[int, str]:
     return odd
 
 
-class BytePairs:
-    """Encoder and decoder of one file of ranks and one pattern, with a DuckDB connection of its own."""
+class Vocabulary:
+    """Decoder of one file of ranks, with a DuckDB connection of its own."""
 
-    _known: dict[tuple[str, str], BytePairs] = {}
+    _known: dict[tuple, Vocabulary] = {}
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         import duckdb
-        import regex
 
         self.ranks = read_ranks(path)
-        self.split = regex.compile(pattern)
-        self.odd = _odd_characters()
-        self.odd_characters = set(map(chr, self.odd))
-        self._blocks_by: str | None = None
-        self.memo: dict[str, bytes] = {}
         ids = sorted(self.ranks.items(), key=lambda x: x[1])
         self.sizes = np.zeros(ids[-1][1] + 1, np.int64)
         self.sizes[[i for _, i in ids]] = [len(t) for t, _ in ids]
-        self.tokens = {i: t for t, i in ids}
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        get = self.ranks.get
-        splits = ((get(t[:k]), get(t[k:]), i) for t, i in ids for k in range(1, len(t)))
-        merges = np.array([x for x in splits if x[0] is not None and x[1] is not None], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        self._fill("merges", {"first_id": merges[:, 0], "second_id": merges[:, 1], "made": merges[:, 2]})
-        chars = [t.decode("latin-1") for t, _ in ids]
-        self._fill("vocabulary", {"id": np.array([i for _, i in ids]), "chars": chars})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        places = np.array([i for _, i in ids], np.int32)
+        self._fill("vocabulary", {"id": places, "chars": [t.decode("latin-1") for t, _ in ids]})
 
     def _fill(self, name: str, columns: dict) -> None:
-        self.db.register("rows", pa.table({k: pa.array(v) for k, v in columns.items()}))
+        self.db.register("rows", pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM rows")
         self.db.unregister("rows")
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> BytePairs:
-        """The process's encoder of this file, with what it remembers from earlier tasks."""
-        if (path, pattern) not in cls._known:
-            cls._known[path, pattern] = cls(path, pattern)
-        return cls._known[path, pattern]
+    def of(cls, *made_of: str):
+        """The process's own one of these parameters, with what it remembers from earlier tasks."""
+        if (cls, *made_of) not in cls._known:
+            cls._known[cls, *made_of] = cls(*made_of)
+        return cls._known[cls, *made_of]
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes that ids stand for; an id that isn't a token's fails."""
+        out = []
+        for at in range(0, len(ids), 4 * BLOCK):
+            out += self.decode_many([np.frombuffer(ids[at : at + 4 * BLOCK], "<u4").astype(np.int64)])
+        return b"".join(out)
+
+    def decode_many(self, lists: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each list of ids by one ordered aggregation."""
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        if len(flat) and (flat.max() >= len(self.sizes) or not self.sizes[flat].all()):
+            raise ValueError("an id stands for no token")
+        rows = {"text": np.repeat(np.arange(len(lists)), sizes), "place": np.arange(len(flat)), "id": flat}
+        self.db.register("placed", pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()}))
+        found = self.db.execute(
+            "SELECT text, string_agg(chars, '' ORDER BY place) FROM placed JOIN vocabulary USING (id) GROUP BY text"
+        ).fetchall()
+        self.db.unregister("placed")
+        out = [b""] * len(lists)
+        for n, chars in found:
+            out[n] = chars.encode("latin-1")
+        return out
+
+
+class BytePairs(Vocabulary):
+    """Encoder of one file of ranks and one pattern."""
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+
+        super().__init__(path)
+        self.split = regex.compile(pattern)
+        self.odd = _odd_characters()
+        self.odd_characters = set(map(chr, self.odd))
+        self._blocks_by: str | None = None
+        self.memo: dict[str, bytes] = {}
+        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        get = self.ranks.get
+        splits = ((get(t[:k]), get(t[k:]), i) for t, i in self.ranks.items() for k in range(1, len(t)))
+        merges = np.array([x for x in splits if x[0] is not None and x[1] is not None], np.int32).reshape(-1, 3)
+        made = {"first_id": merges[:, 0], "second_id": merges[:, 1], "made": merges[:, 2].astype(np.int64)}
+        self._fill("merges", made)
 
     def contract(self, words: list[bytes], sql: str = LEFTMOST) -> list[list[int]]:
         """The tokens of each word by contractions alone; equal words run once."""
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self._contract(words, sql)]
+
+    def _contract(self, words: list[bytes], sql: str = LEFTMOST) -> list[bytes]:
         own = list(dict.fromkeys(words))
         ends = np.cumsum([len(w) for w in own])
-        found: dict[bytes, list[int]] = {}
+        found: dict[bytes, bytes] = {}
         first = 0
         while first < len(own):
             before = ends[first - 1] if first else 0
@@ -180,19 +228,18 @@ class BytePairs:
         return [found[w] for w in words]
 
     def _give(self, words: list[bytes]) -> None:
-        """The words as token-position rows, one a byte."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        of = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self._fill("given", {"word": of, "place": place, "id": self.byte_ids[flat]})
-
-    def _query(self, words: list[bytes], sql: str) -> list[list[int]]:
+        """The words with their bytes as tokens."""
+        to = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
+        flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        ids = pa.ListArray.from_arrays(pa.array(to), pa.array(flat))
+        self._fill("given", {"word": np.arange(len(words), dtype=np.int32), "ids": ids})
+
+    def _query(self, words: list[bytes], sql: str) -> list[bytes]:
         self._give(words)
-        found = self.db.execute(sql + TOKENS).fetchnumpy()
-        ids = found["id"].tolist()
-        to = np.searchsorted(found["word"], np.arange(len(words) + 1)).tolist()
-        return [ids[a:b] for a, b in itertools.pairwise(to)]
+        lists = self.db.sql(sql + TOKENS[sql]).to_arrow_table().column(0).combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4
+        return [flat[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])]
 
     def _for_blocks(self) -> str:
         """The query for blocks. If no token is made by way of one of higher rank, then contracting a pair of the lowest rank
@@ -251,17 +298,15 @@ class BytePairs:
 
     def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of words as little-endian bytes."""
+        number = lambda ids: np.array(ids, "<u4").tobytes()
         coded = {w: w.encode() for w in words}
-        found = {w: [self.ranks[b]] for w, b in coded.items() if b in self.ranks}
-        short = [w for w, b in coded.items() if w not in found and len(b) <= LONG]
-        found |= zip(short, self.contract([coded[w] for w in short]), strict=True)
-        found |= {w: self._stitch(b) for w, b in coded.items() if w not in found}
-        fresh = {w: np.array(ids, "<u4").tobytes() for w, ids in found.items()}
-        for w, ids in fresh.items():
-            if len(self.memo) >= MEMO_WORDS:
-                break
-            if len(w) <= LONG:
-                self.memo[w] = ids
+        fresh = {w: number([self.ranks[b]]) for w, b in coded.items() if b in self.ranks}
+        short = [w for w, b in coded.items() if w not in fresh and len(b) <= LONG]
+        fresh |= zip(short, self._contract([coded[w] for w in short]), strict=True)
+        if len(fresh) < len(coded):
+            fresh |= {w: number(self._stitch(b)) for w, b in coded.items() if w not in fresh}
+        room = MEMO_WORDS - len(self.memo)
+        self.memo |= itertools.islice(((w, ids) for w, ids in fresh.items() if len(w) <= LONG), max(0, room))
         return fresh
 
     def _pieces(self, text: str) -> Iterator[str]:
@@ -302,30 +347,6 @@ class BytePairs:
                     parts[n].append(b"".join(map(memo.__getitem__, words)))
         return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that ids stand for; an id that isn't a token's fails."""
-        out = []
-        for at in range(0, len(ids), 4 * BLOCK):
-            out += self.decode_many([np.frombuffer(ids[at : at + 4 * BLOCK], "<u4").astype(np.int64)])
-        return b"".join(out)
-
-    def decode_many(self, lists: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids by one ordered aggregation."""
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        if len(flat) and (flat.max() >= len(self.sizes) or not self.sizes[flat].all()):
-            raise ValueError("an id stands for no token")
-        rows = {"text": np.repeat(np.arange(len(lists)), sizes), "place": np.arange(len(flat)), "id": flat}
-        self.db.register("placed", pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()}))
-        found = self.db.execute(
-            "SELECT text, string_agg(chars, '' ORDER BY place) FROM placed JOIN vocabulary USING (id) GROUP BY text"
-        ).fetchall()
-        self.db.unregister("placed")
-        out = [b""] * len(lists)
-        for n, chars in found:
-            out[n] = chars.encode("latin-1")
-        return out
-
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and ids, the text's token ids as little-endian unsigned 32-bit numbers in a binary."""
@@ -333,8 +354,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = BytePairs.of(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
                 ids = encoder.encode(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -346,7 +367,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
     """doc_id, ids and decoded, the bytes that the ids stand for; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = BytePairs.of(path, pattern)
+        decoder = Vocabulary.of(path)
         for batch in batches:
             coded = [x or b"" for x in batch.column(1).to_pylist()]
             out: list[bytes] = []
