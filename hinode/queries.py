@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -541,25 +542,77 @@ def company_search(spark, d):
     return search.search_companies(T.companies(spark, d).select("code", "name"), "supplier#00000001")
 
 
-CURRENT = {"equity ratio": 0.3, "margin": 0.02, "drawdown": -0.2, "score": 40.0}
-_TRIED = " UNION ALL ".join(
-    f"SELECT '{x.name}' AS rule, CAST({t!r} AS DOUBLE) AS threshold, part, ret FROM ev9 WHERE {({'quantitative_score': 'qscore'}).get(x.column, x.column)} {x.direction} {t!r}{f' OR {x.column} IS NULL' if x.null_passes else ''}"
-    for x in learning.RULES if x.name in CURRENT for t in learning.candidates(x, CURRENT[x.name])
-)
-_JUDGED = "SELECT *, CASE WHEN date_diff('day', DATE '1970-01-01', as_of) <= quantile_cont(date_diff('day', DATE '1970-01-01', as_of), 0.7) OVER () THEN 'train' ELSE 'check' END AS part FROM (SELECT sel.*, r90 AS ret FROM sel JOIN ret ON ret.as_of = sel.as_of AND ret.code = sel.code WHERE r90 IS NOT NULL)"
-_RESULTS = f"SELECT rule, threshold, part, COUNT(*) AS n, {r('AVG(ret)', 'mean')}, {r('AVG(CASE WHEN ret > 0 THEN 1.0e0 ELSE 0 END)', 'positive_share')} FROM (WITH ev9 AS MATERIALIZED ({_JUDGED}) {_TRIED}) GROUP BY 1, 2, 3"
+#: Analysis days for rule learning: four weeks apart, so that the gap of 30 days takes every other one.
+LEARN_DAYS = tuple(str(datetime.date(1998, 9, 1) + datetime.timedelta(days=28 * k)) for k in range(40))
+#: The driver's prices are noise, so the other horizons are let differ by as much as they do.
+LEARNING = learning.LearningConfig(enabled=True, gain=0.005, positive_gain=-0.05, decline=1.0)
+CURRENT = learning.current_thresholds(LOOSE)
 
 
-def rule_results(spark, d) -> DataFrame:
-    rows = asof.forward_returns(screened(spark, d).withColumn("entry_price", F.col("close")), T.prices(spark, d), (90,))
-    events = rows.withColumn("analysis_date", F.col("as_of")).withColumn("outcome", F.col("return_90d"))
-    return learning.evaluate_rules(events, CURRENT)
+def learning_analysis(spark, d) -> DataFrame:
+    """The screen of each analysis day, as the history that rules are learned from."""
+    rows = criteria.apply_criteria(universe(spark, d, LEARN_DAYS), LOOSE).withColumn("analysis_date", F.col("as_of"))
+    return rows.select("code", "analysis_date", "close", "selected", "fail_reasons", *[r.column for r in learning.RULES])
 
 
-@query(sql(_RESULTS))
+def learning_evaluations(spark, d) -> DataFrame:
+    events = stored(learning.mature_events(learning_analysis(spark, d), T.prices(spark, d), LEARNING), "mature-events")
+    return learning.evaluate_rules(events.where("NOT held_out"), CURRENT, LEARNING)
+
+
+_TRIED = ", ".join(
+    f"({i}, '{x.key}', {place}, {CURRENT[x.key]!r}e0, {t!r}e0)" for i, x in enumerate(learning.RULES) for place, t in enumerate(learning.candidates(x, CURRENT[x.key]))
+)
+_MEASURE = {"quantitative_score": "qscore"}
+_ELIGIBLE = " UNION ALL ".join(
+    f"SELECT {i} AS rule_no, as_of, r30, r90, r180, {_MEASURE.get(x.column, x.column)} AS v, {str(x.null_passes).lower()} AS soft, "
+    f"{1 if x.direction == '>=' else -1} AS way FROM mature WHERE selected OR (NOT p_{x.label} AND {' AND '.join(f'p_{c}' for c in FLAGS if c != x.label)})"
+    for i, x in enumerate(learning.RULES)
+)
+_FIGURES = ", ".join(
+    f"COUNT(r{h}) FILTER (train = {t} AND v_ok) AS {name}_n_{h}, AVG(r{h}) FILTER (train = {t} AND v_ok) AS {name}_mean_{h}, "
+    f"AVG(CASE WHEN r{h} > 0 THEN 1.0e0 WHEN r{h} IS NOT NULL THEN 0 END) FILTER (train = {t} AND v_ok) AS {name}_up_{h}, "
+    f"COUNT(r{h}) FILTER (train = {t} AND now_ok) AS now_{name}_n_{h}, AVG(r{h}) FILTER (train = {t} AND now_ok) AS now_{name}_mean_{h}, "
+    f"AVG(CASE WHEN r{h} > 0 THEN 1.0e0 WHEN r{h} IS NOT NULL THEN 0 END) FILTER (train = {t} AND now_ok) AS now_{name}_up_{h}"
+    for h in learning.HORIZONS
+    for name, t in (("train", "true"), ("check", "false"))
+)
+_WORSE = " OR ".join(
+    f"COALESCE(least(check_n_{h}, now_check_n_{h}) >= 5 AND check_mean_{h} < now_check_mean_{h} - {LEARNING.decline!r}e0, false)" for h in learning.CONFIRMED_BY
+)
+_LEARNED = f"""pairs AS MATERIALIZED (SELECT a.code, a.as_of, min(b.as_of) AS after FROM sel a LEFT JOIN sel b ON a.code = b.code AND b.as_of >= a.as_of + 30 GROUP BY 1, 2),
+    kept(code, as_of) AS (SELECT code, MIN(as_of) FROM sel GROUP BY 1 UNION ALL SELECT k.code, p.after FROM kept k JOIN pairs p ON p.code = k.code AND p.as_of = k.as_of WHERE p.after IS NOT NULL),
+    {", ".join(f"o{h} AS MATERIALIZED (SELECT k.code, k.as_of, p.close AS c{h}, p.date AS d{h} FROM kept k ASOF LEFT JOIN px p ON k.code = p.code AND k.as_of + {h} <= p.date)" for h in learning.HORIZONS)},
+    mature AS MATERIALIZED (SELECT sel.*, c30 / close - 1 AS r30, c90 / close - 1 AS r90, c180 / close - 1 AS r180 FROM sel JOIN kept USING (code, as_of) {" ".join(f"JOIN o{h} USING (code, as_of)" for h in learning.HORIZONS)}
+        WHERE c90 IS NOT NULL AND close > 0 AND d90 < (SELECT MIN(date) FROM (SELECT DISTINCT date FROM px ORDER BY date DESC LIMIT 60))),
+    eligible AS MATERIALIZED ({_ELIGIBLE}),
+    days AS (SELECT rule_no, as_of, row_number() OVER (PARTITION BY rule_no ORDER BY as_of) - 1 AS nth, COUNT(*) OVER (PARTITION BY rule_no) AS days FROM (SELECT DISTINCT rule_no, as_of FROM eligible)),
+    splits AS (SELECT rule_no, as_of AS split_day FROM days WHERE days >= 2 AND nth = least(greatest(floor(days * 0.7e0), 1), days - 1)),
+    tried AS (SELECT * FROM (VALUES {_TRIED}) t(rule_no, rule, place, current, candidate)),
+    figures AS (SELECT rule_no, rule, place, current, candidate, {_FIGURES} FROM (SELECT *, as_of < split_day AS train, CASE WHEN v IS NULL THEN soft ELSE way * v >= way * candidate END AS v_ok, CASE WHEN v IS NULL THEN soft ELSE way * v >= way * current END AS now_ok
+        FROM eligible JOIN splits USING (rule_no) JOIN tried USING (rule_no)) GROUP BY ALL),
+    judged AS MATERIALIZED (SELECT *, train_mean_90 - now_train_mean_90 AS train_gain, check_mean_90 - now_check_mean_90 AS check_gain, check_up_90 - now_check_up_90 AS positive_gain, check_n_90 / CAST(now_check_n_90 AS DOUBLE) AS retention, NOT ({_WORSE}) AS confirmed
+        FROM figures WHERE least(train_n_90, now_train_n_90) >= 20 AND least(check_n_90, now_check_n_90) >= 10),
+    scored AS MATERIALIZED (SELECT *, check_gain + 0.25e0 * positive_gain + 0.15e0 * train_gain AS score, candidate <> current AND retention >= 0.35e0 AND train_gain >= {LEARNING.gain / 2!r}e0 AND check_gain >= {LEARNING.gain!r}e0 AND positive_gain >= {LEARNING.positive_gain!r}e0 AND confirmed AS accepted FROM judged)"""
+
+
+def _learned_sql(select: str) -> str:
+    return sql("@", "sel", "px", dates=LEARN_DAYS).replace("WITH ", "WITH RECURSIVE ", 1).replace("\n@", f",\n{_LEARNED}\n{select}")
+
+
+_JUDGED = ("retention", "train_gain", "check_gain", "positive_gain", "score")
+
+
+@query(_learned_sql(f"SELECT rule, {r('current')}, {r('candidate')}, train_n_90 AS n_train, check_n_90 AS n_check, confirmed, accepted, {', '.join(r(c) for c in _JUDGED)} FROM scored"))
 def rule_learning(spark, d):
-    df = rule_results(spark, d)
-    return df.select("rule", "threshold", "part", "n", *rounded(df, "mean", "positive_share"))
+    df = learning_evaluations(spark, d)
+    return df.select("rule", *rounded(df, "current", "candidate"), "n_train", "n_check", "confirmed", "accepted", *rounded(df, *_JUDGED))
+
+
+@query(_learned_sql(f"SELECT rule, {r('current')}, {r('candidate')}, {r('check_gain')}, {r('score')} FROM scored WHERE accepted ORDER BY score DESC, rule_no, place LIMIT 1"))
+def rule_proposals(spark, d):
+    df = learning.best_proposal(learning_evaluations(spark, d))
+    return df.select("rule", *rounded(df, "current", "candidate", "check_gain", "score"))
 
 
 @query(sql("SELECT date, COUNT(*) AS n FROM px GROUP BY 1"))

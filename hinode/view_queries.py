@@ -10,7 +10,7 @@ from hinode.functions.scalars import half_up
 from hinode.operators import asof, criteria, fundamentals, history, learning, prices, review, walkforward
 from hinode.oracles import AS_OF, HORIZONS, r, sql
 from hinode.plans import screen
-from hinode.queries import CURRENT, LOOSE, PERFORMANCE, REASONS, STAR_RETURNS, STARS, dates, evaluations, performance_of, query, replay, rounded, rule_results, screened, star_outcomes_of, summary, summary_sql, universe
+from hinode.queries import LOOSE, PERFORMANCE, REASONS, STAR_RETURNS, STARS, dates, evaluations, performance_of, query, replay, rounded, screened, star_outcomes_of, summary, summary_sql, universe
 from hinode.sources import driver_tables as T
 from hinode.sources import readers
 
@@ -272,11 +272,6 @@ def rule_eligibility(spark, d):
     return rows.select("as_of", F.explode(every).alias("x")).groupBy("x.rule", "as_of").agg(F.count_if("x.ok").alias("n"))
 
 
-@query()
-def rule_proposals(spark, d):
-    return learning.propose(rule_results(spark, d), CURRENT, gain=0.0, least=1)
-
-
 # --- quotes, reviews, texts -----------------------------------------------------------------------------------------
 
 
