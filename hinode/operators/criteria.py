@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinode.functions.scalars import joined_reasons, passes
+from hinode.operators.ranking import percent_ranks, unpivot
 from hinode.operators.scoring import add_attribution, add_scores
+from hinode.sources.store import stored
+
+#: Fixed: the value of selection_strategy in stored rows that stands for the value screen.
+VALUE = "value_dislocation"
 
 
 @dataclass(frozen=True)
@@ -16,7 +21,7 @@ class ScreenConfig:
     """Thresholds of a screen; presets and learned overlays are `replace`d copies."""
 
     markets: tuple[str, ...] = ("Prime", "Standard", "Growth")
-    strategy: str = "value_dislocation"
+    strategy: str = VALUE
     min_turnover: float = 50_000_000.0
     min_price: float = 200.0
     min_equity_ratio: float = 0.30
@@ -72,15 +77,20 @@ CHECKS = (*FIRST_CHECKS, *FINANCE_CHECKS, *PRICE_CHECKS, "attribution", "forecas
 ACTIVE_CHECKS = (*FIRST_CHECKS, "volatility", "range", "activity")
 
 
+#: Fixed: the measures of activity and their parts.
+ACTIVITY = {"volatility_60d": 0.45, "average_intraday_range_20d": 0.35, "average_turnover_20d": 0.20}
+
+
 def activity_score(rows: DataFrame) -> DataFrame:
     """45/35/20 blend of percentile ranks of volatility, range and turnover; ties share their mean rank, null ranks 0."""
-    total = F.lit(0.0)
-    day = Window.partitionBy("as_of")
-    for name, part in (("volatility_60d", 0.45), ("average_intraday_range_20d", 0.35), ("average_turnover_20d", 0.20)):
-        ties = F.count(name).over(Window.partitionBy("as_of", name))
-        place = F.rank().over(Window.partitionBy("as_of").orderBy(F.col(name).asc_nulls_last()))
-        total = total + part * F.when(F.col(name).isNotNull(), (place + (ties - 1) / 2.0) / F.count(name).over(day)).otherwise(0.0)
-    return rows.withColumn("activity_score", 100.0 * total)
+    rows = stored(rows, "activity")
+    long = unpivot(rows, ["as_of", "code"], tuple(ACTIVITY))
+    ranks = percent_ranks(long, ["as_of", "measure"], "value")
+    ranked = long.join(ranks, ["as_of", "measure", "value"])
+    each = [F.max(F.when(F.col("measure") == m, F.col("percent_rank"))).alias(f"rank_{m}") for m in ACTIVITY]
+    joined = rows.join(ranked.groupBy("as_of", "code").agg(*each), ["as_of", "code"], "left")
+    total = sum((part * F.coalesce(f"rank_{m}", F.lit(0.0)) for m, part in ACTIVITY.items()), F.lit(0.0))
+    return joined.withColumn("activity_score", 100.0 * total).drop(*[f"rank_{m}" for m in ACTIVITY])
 
 
 def resolve_benchmark(rows: DataFrame, mode: str) -> DataFrame:
@@ -110,9 +120,11 @@ def apply_criteria(rows: DataFrame, config: ScreenConfig, min_attribution: Colum
     relative_on = F.lit(config.use_relative and config.benchmark_mode != "disabled") if use_relative is None else use_relative
     rows = resolve_benchmark(rows, config.benchmark_mode)
     rows = add_attribution(add_attribution(rows, config.attribution_method if method is None else method), name="external_shock_attribution_v2")
-    rows = activity_score(add_scores(rows, config.score_mode if score_mode is None else score_mode))
+    rows = add_scores(rows, config.score_mode if score_mode is None else score_mode)
     share = c("external_shock_attribution")
-    value = config.strategy == "value_dislocation"
+    value = config.strategy == VALUE
+    # ranks over all securities of a date are for the strategy that reads them
+    rows = rows.withColumn("activity_score", F.lit(None).cast("double")) if value else activity_score(rows)
     unknown = F.lit(config.attribution_when_missing == "skip")
     relative_ok = F.when(~relative_on, True).when(c("relative_return_6m").isNull(), F.lit(config.relative_when_missing == "skip")).otherwise(c("relative_return_6m") <= config.min_relative)
     missing_ok = lambda name, test: c(name).isNull() | test
@@ -178,7 +190,7 @@ ACTIVE_STAGES = (("all", ()), ("market, liquidity, price", FIRST_CHECKS), ("vola
 
 def funnel(table: DataFrame, config: ScreenConfig = ScreenConfig()) -> DataFrame:
     """How many are left after each stage, and how attribution treated those without a value: one aggregation."""
-    stages = STAGES if config.strategy == "value_dislocation" else ACTIVE_STAGES
+    stages = STAGES if config.strategy == VALUE else ACTIVE_STAGES
     counts = [F.count_if(F.forall(F.array(F.lit(True), *[F.col(f"pass_{k}") for k in names]), lambda x: x)).alias(f"s{i}") for i, (_, names) in enumerate(stages)]
     extra = () if stages is ACTIVE_STAGES else (("attribution below minimum", "attribution_below"), ("attribution unknown, failed", "attribution_missing_failed"), ("attribution unknown, passed", "attribution_skipped"))
     counts += [F.count_if(F.col(c)).alias(f"d{i}") for i, (_, c) in enumerate(extra)]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinode.functions.scalars import cagr, ratio
+from hinode.operators.ranking import group_quantiles, same_group, unpivot
+from hinode.sources.store import stored
 
 
 def financial_features(filings: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -86,20 +88,39 @@ def strongest_events(events: DataFrame, as_of: DataFrame, max_age_days: int = 36
 
 
 def add_valuation(rows: DataFrame) -> DataFrame:
-    """Market value, PER and PBR, and both against the sector's medians."""
-    sector = Window.partitionBy("as_of", "sector")
-    rows = rows.withColumn("market_cap", F.col("close") * F.col("shares_outstanding")).withColumn("per", ratio(F.col("close"), F.col("eps"))).withColumn("pbr", ratio(F.col("close"), F.col("book_value_per_share")))
-    for name in ("per", "pbr"):
-        median = F.median(name).over(sector)
-        rows = rows.withColumn(f"sector_{name}_median", median).withColumn(f"{name}_vs_sector", F.col(name) / F.nullif(F.col(f"sector_{name}_median"), F.lit(0.0)))
-    return rows
+    """Market value, PER and PBR."""
+    return rows.withColumns(
+        {
+            "market_cap": F.col("close") * F.col("shares_outstanding"),
+            "per": ratio(F.col("close"), F.col("eps")),
+            "pbr": ratio(F.col("close"), F.col("book_value_per_share")),
+        }
+    )
 
 
 SECTOR_PEERS = 5
+#: Measures that are set against the median of the sector.
+SECTOR_MEASURES = ("return_6m", "per", "pbr")
 
 
 def add_sector_context(rows: DataFrame) -> DataFrame:
-    """Peers and their median 6-month return; the relative return needs enough peers."""
-    sector = Window.partitionBy("as_of", "sector")
-    rows = rows.withColumn("sector_peer_count_6m", F.count("return_6m").over(sector)).withColumn("sector_return_6m_median", F.median("return_6m").over(sector))
-    return rows.withColumn("sector_relative_return_6m", F.when(F.col("sector_peer_count_6m") >= SECTOR_PEERS, F.col("return_6m") - F.col("sector_return_6m_median")))
+    """Peers of the sector with a 6-month return and their median, and PER and PBR against the sector's medians.
+
+    The relative return needs enough peers. The medians of a date's sectors come from distributed counts of values; rows
+    with them are a few for each date and sector.
+    """
+    rows = stored(rows, "features")
+    medians = group_quantiles(unpivot(rows, ["as_of", "sector"], SECTOR_MEASURES), ["as_of", "sector", "measure"], "value", (0.5,))
+    of = lambda name, column: F.max(F.when(F.col("measure") == name, F.col(column)))
+    context = medians.groupBy("as_of", "sector").agg(
+        of("return_6m", "total").alias("sector_peer_count_6m"),
+        of("return_6m", "q_0").alias("sector_return_6m_median"),
+        of("per", "q_0").alias("sector_per_median"),
+        of("pbr", "q_0").alias("sector_pbr_median"),
+    )
+    joined = same_group(rows, context, ["as_of", "sector"], "left")
+    joined = joined.withColumn("sector_peer_count_6m", F.coalesce("sector_peer_count_6m", F.lit(0)))
+    enough = F.col("sector_peer_count_6m") >= SECTOR_PEERS
+    against = {f"{n}_vs_sector": F.col(n) / F.nullif(F.col(f"sector_{n}_median"), F.lit(0.0)) for n in ("per", "pbr")}
+    relative = F.when(enough, F.col("return_6m") - F.col("sector_return_6m_median"))
+    return joined.withColumns({**against, "sector_relative_return_6m": relative})

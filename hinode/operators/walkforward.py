@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinode.functions.scalars import passes
+from hinode.operators.ranking import group_quantiles, unpivot
+from hinode.sources.store import stored
 
 REGIMES = ("falling", "flat", "rising", "unknown")
 
@@ -40,45 +42,115 @@ def cohort_audit(prices: DataFrame, filings: DataFrame, master: DataFrame, as_of
 MATCH_ON = ("market_cap", "drawdown_52w", "volatility_60d", "per_vs_sector", "pbr_vs_sector")
 
 
+#: Rows of a pool, and targets, that one task compares.
+POOL_ROWS, TARGET_ROWS = 4096, 1024
+
+
+def match_scales(pool: DataFrame) -> DataFrame:
+    """day_no and s_{measure}: the interquartile range of each measure of a pool, or its standard deviation; null if both
+    are 0. With fewer than four values it is their range."""
+    names = tuple(f"m_{c}" for c in MATCH_ON)
+    long = unpivot(pool, ["day_no"], names)
+    quartiles = group_quantiles(long, ["day_no", "measure"], "value", (0.0, 0.25, 0.75, 1.0))
+    spread = F.when(F.col("total") >= 4, F.col("q_2") - F.col("q_1")).otherwise(F.col("q_3") - F.col("q_0"))
+    spreads = quartiles.groupBy("day_no").agg(*[F.max(F.when(F.col("measure") == n, spread)).alias(f"i_{n[2:]}") for n in names])
+    deviations = pool.groupBy("day_no").agg(*[F.stddev_samp(n).alias(f"d_{n[2:]}") for n in names])
+    both = deviations.join(spreads, "day_no", "left")
+    scale = [F.when(F.col(f"i_{c}") > 0, F.col(f"i_{c}")).when(F.col(f"d_{c}") > 0, F.col(f"d_{c}")).alias(f"s_{c}") for c in MATCH_ON]
+    return both.select("day_no", *scale)
+
+
+def _distances(pool: pd.DataFrame, targets: pd.DataFrame) -> np.ndarray:
+    """A row for each target: its distance to each row of the pool, NaN where fewer than two measures are shared."""
+    total, seen = np.zeros((len(targets), len(pool))), np.zeros((len(targets), len(pool)), int)
+    for c in MATCH_ON:
+        scale = targets[f"s_{c}"].to_numpy(float)[:, None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gap = np.abs(pool[f"m_{c}"].to_numpy(float)[None, :] - targets[f"m_{c}"].to_numpy(float)[:, None]) / scale
+        known = ~np.isnan(gap) & (scale > 0)
+        total += np.where(known, gap, 0.0)
+        seen += known
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(seen >= 2, total / seen, np.nan)
+
+
+def _nearest(rows: pd.DataFrame, count: int) -> pd.DataFrame:
+    """Of one block of a pool and of targets: each target's first `count` by tier, distance and code."""
+    targets, pool = rows[rows["is_target"]], rows[~rows["is_target"]].sort_values("code", kind="stable")
+    found = []
+    for at in range(0, len(targets), 256):
+        some = targets.iloc[at : at + 256]
+        distance = _distances(pool, some)
+        alike = lambda c: some[c].notna().to_numpy()[:, None] & (some[c].to_numpy()[:, None] == pool[c].to_numpy()[None, :])
+        tier = np.where(alike("sector"), 1, np.where(alike("market"), 2, 3))
+        least = some["least_tier"].to_numpy()[:, None]
+        distance = np.where(tier < least, np.nan, distance)
+        # order by tier, then distance; equal ones stay in order of code
+        order = np.lexsort((distance, np.where(np.isnan(distance), 9, tier)), axis=1)[:, :count]
+        row, col = np.repeat(np.arange(len(some)), order.shape[1]), order.ravel()
+        ok = ~np.isnan(distance[row, col])
+        row, col = row[ok], col[ok]
+        found.append(
+            pd.DataFrame(
+                {
+                    "day_no": some["day_no"].to_numpy()[row],
+                    "target": some["code"].to_numpy()[row],
+                    "code": pool["code"].to_numpy()[col],
+                    "tier": tier[row, col],
+                    "distance": distance[row, col],
+                }
+            )
+        )
+    return pd.concat(found) if found else pd.DataFrame(columns=["day_no", "target", "code", "tier", "distance"])
+
+
+def _nearest_in_blocks(pool: DataFrame, targets: DataFrame, by: list[str], count: int) -> DataFrame:
+    """day_no, target, code, tier, distance: each target's nearest within the rows of equal `by`.
+
+    Both sides are dealt to blocks, and each block of targets meets each block of the pool in a task of its own, which hands
+    on `count` rows a target at most; only these are ranked together.
+    """
+    blocks = lambda df, rows, name: df.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    grid = blocks(pool, POOL_ROWS, "pool_blocks").join(blocks(targets, TARGET_ROWS, "target_blocks"), by)
+    block = lambda name: F.pmod(F.xxhash64("code"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    names = [*dict.fromkeys(["day_no", "code", "sector", "market", *by])]
+    measures = [f"m_{c}" for c in MATCH_ON]
+    none = [F.lit(None).cast("double").alias(f"s_{c}") for c in MATCH_ON]
+    pools = pool.join(grid, by).select(*names, *measures, *none, F.lit(1).alias("least_tier"), F.lit(False).alias("is_target"), block("pool_blocks").alias("pool_block"), every("target_blocks").alias("target_block"))
+    asked = targets.join(grid, by).select(*names, *measures, *[f"s_{c}" for c in MATCH_ON], "least_tier", F.lit(True).alias("is_target"), every("pool_blocks").alias("pool_block"), block("target_blocks").alias("target_block"))
+    schema = "day_no int, target string, code string, tier int, distance double"
+    near = pools.unionByName(asked).groupBy(*by, "pool_block", "target_block").applyInPandas(lambda pdf: _nearest(pdf, count), schema)
+    w = Window.partitionBy("day_no", "target").orderBy("tier", "distance", "code")
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= count)
+
+
 def matched_controls(table: DataFrame, count: int = 5) -> DataFrame:
     """For each selected row of a replay date its nearest non-selected ones: same sector first, then market, then rest.
 
     Distances are mean absolute differences in units of the pool's interquartile range, over the measures both have (two
-    at least). A target meets its own sector first; only targets that this leaves short go on to their market, and only
-    those still short to the rest of the date. The places are cut to `count` before the shuffle that ranks them.
+    at least). A target meets its own sector first; only targets that this leaves short go on, to the rest of the date.
+    Within a sector or a date, blocks of bounded size are compared, each of which keeps `count` rows a target.
     """
     value = {c: F.when(F.col(c).isNotNull(), F.log1p(F.greatest(c, F.lit(0.0)))) if c == "market_cap" else F.col(c) for c in MATCH_ON}
-    rows = table.select("as_of", "code", "sector", "market", "selected", *[value[c].alias(f"m_{c}") for c in MATCH_ON])
-    pool = rows.where(~passes(F.col("selected"))).drop("selected")
-    spread = []
-    for c in MATCH_ON:
-        x = F.col(f"m_{c}")
-        n = F.count(x)
-        iqr = F.when(n >= 4, F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).otherwise(F.max(x) - F.min(x))
-        sd = F.stddev_samp(x)
-        spread.append(F.when(iqr > 0, iqr).when(sd > 0, sd).alias(f"s_{c}"))
-    scales = pool.groupBy("as_of").agg(*spread)
-    targets = rows.where("selected").select("as_of", F.col("code").alias("target"), F.col("sector").alias("t_sector"), F.col("market").alias("t_market"), *[F.col(f"m_{c}").alias(f"t_{c}") for c in MATCH_ON]).join(scales, "as_of")
-    gap = {c: F.when(F.col(f"s_{c}") > 0, F.abs(F.col(f"m_{c}") - F.col(f"t_{c}")) / F.col(f"s_{c}")) for c in MATCH_ON}
-    total = sum((F.coalesce(g, F.lit(0.0)) for g in gap.values()), F.lit(0.0))
-    seen = sum((F.when(g.isNotNull(), 1).otherwise(0) for g in gap.values()), F.lit(0))
-    w = Window.partitionBy("as_of", "target").orderBy("distance", "code")
-    same_sector, same_market = passes(F.col("sector") == F.col("t_sector")), passes(F.col("market") == F.col("t_market"))
-
-    def tier(asking: DataFrame, number: int, on: dict[str, str], rest) -> DataFrame:
-        """The nearest of one tier, for targets (with `taken`, how many places are filled already)."""
-        keyed = asking.withColumns({k: F.col(t) for k, t in on.items()})
-        pairs = pool.join(keyed, ["as_of", *on]).where(rest)
-        near = pairs.select("as_of", "target", "code", "taken", F.when(seen >= 2, total / seen).alias("distance")).where("distance IS NOT NULL")
-        near = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= count).where(F.col("taken") + F.col("n") <= count)
-        return near.select("as_of", "target", "code", F.lit(number).alias("tier"), (F.col("taken") + F.col("n")).alias("place"), "distance")
-
-    found = tier(targets.withColumn("taken", F.lit(0)), 1, {"sector": "t_sector"}, F.lit(True))
-    for number, on, rest in ((2, {"market": "t_market"}, ~same_sector), (3, {}, ~same_sector & ~same_market)):
-        taken = found.groupBy("as_of", "target").agg(F.count("*").cast("int").alias("taken"))
-        short = targets.join(taken, ["as_of", "target"], "left").na.fill(0, ["taken"]).where(F.col("taken") < count)
-        found = found.unionByName(tier(short, number, on, rest))
-    return found
+    day_no = F.row_number().over(Window.orderBy("as_of")).cast("int")  # replay dates, times variants
+    days = table.select("as_of").distinct().withColumn("day_no", day_no)
+    rows = table.select("as_of", "code", "sector", "market", "selected", *[value[c].cast("double").alias(f"m_{c}") for c in MATCH_ON])
+    rows = stored(rows.join(F.broadcast(days), "as_of").drop("as_of"), "matching")
+    days = stored(days, "matching-days")
+    chosen = passes(F.col("selected"))
+    pool = rows.where(~chosen).drop("selected")
+    targets = rows.where(chosen).drop("selected").join(match_scales(pool), "day_no")
+    own = _nearest_in_blocks(pool.where("sector IS NOT NULL"), targets.where("sector IS NOT NULL").withColumn("least_tier", F.lit(1)), ["day_no", "sector"], count)
+    own = stored(own, "same-sector")
+    taken = own.groupBy("day_no", F.col("target").alias("code")).agg(F.count("*").cast("int").alias("taken"))
+    short = targets.join(taken, ["day_no", "code"], "left").na.fill(0, ["taken"]).where(F.col("taken") < count)
+    short = short.withColumn("least_tier", F.lit(2))
+    more = _nearest_in_blocks(pool, short, ["day_no"], count)
+    more = more.join(short.select("day_no", F.col("code").alias("target"), "taken"), ["day_no", "target"])
+    more = more.withColumn("place", F.col("place") + F.col("taken")).where(F.col("place") <= count).drop("taken")
+    found = own.unionByName(more).join(F.broadcast(days), "day_no")
+    return found.select("as_of", "target", "code", "tier", "place", "distance")
 
 
 def add_episodes(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -43,7 +43,7 @@ def prepare_universe(companies: DataFrame, prices: DataFrame, filings: DataFrame
     """Threshold-free features per (as_of, code): computed once, screened as often as wished."""
     dates = as_of.select("as_of")
     rows = price_features(prices, dates, index, least).join(financial_features(filings, dates), ["as_of", "code"]).join(companies, "code")
-    return add_valuation(add_sector_context(rows))
+    return add_sector_context(add_valuation(rows))
 
 
 def with_trend(table: DataFrame, prices: DataFrame, as_of: DataFrame, days: int = 90) -> DataFrame:
