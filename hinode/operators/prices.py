@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinode.functions.scalars import ratio
+from hinode.operators.asof import as_of_merge
 
 SESSIONS_52W, SESSIONS_6M = 252, 126
 LEAST_SESSIONS = 30
@@ -54,7 +55,8 @@ def pick_as_of(rows: DataFrame, as_of: DataFrame) -> DataFrame:
 
 
 def price_features(prices: DataFrame, as_of: DataFrame, index: DataFrame | None = None, least: int = LEAST_SESSIONS) -> DataFrame:
-    """One row per (as_of, code) with at least `least` sessions up to then."""
+    """One row per (as_of, code) with at least `least` sessions up to then. Bars after the last date aren't read."""
+    prices = prices.where(F.col("date") <= as_of.agg(F.max("as_of").alias("last")).scalar())
     return pick_as_of(rolling_features(prices, index), as_of).where(F.col("session_no") >= least)
 
 
@@ -102,9 +104,9 @@ def trend_indicators(prices: DataFrame) -> DataFrame:
 def trend_transition(indicators: DataFrame, as_of: DataFrame, days: int = 90) -> DataFrame:
     """Trend now and about `days` calendar days before the security's last bar, with the change of score."""
     now = pick_as_of(indicators, as_of).select("as_of", "code", F.col("date").alias("now_date"), F.col("trend_score").alias("score_now"), F.col("trend_state").alias("state_now"))
-    then = indicators.select(F.col("code").alias("k"), "date", "next_date", F.col("trend_score").alias("score_before"), F.col("trend_state").alias("state_before"))
-    target = F.date_sub(F.col("now_date"), days)
-    joined = now.join(then, (F.col("code") == F.col("k")) & (F.col("date") <= target) & (F.col("next_date") > target), "left")
+    then = indicators.select("code", "date", F.col("trend_score").alias("score_before"), F.col("trend_state").alias("state_before"))
+    now = now.withColumn("target", F.date_sub(F.col("now_date"), days))
+    joined = as_of_merge(now, then, ["code"], "target", "date").select("*", "_found.date", "_found.score_before", "_found.state_before")
     change = F.col("score_now") - F.col("score_before")
     kind = F.when(change.isNull(), "unknown").when(change >= 3, "improving").when(change <= -3, "worsening").otherwise("steady")
     return joined.select("as_of", "code", "now_date", "score_now", "state_now", F.col("date").alias("before_date"), "score_before", "state_before", change.alias("score_change"), kind.alias("transition"))

@@ -214,26 +214,33 @@ def bootstrap_edges(events: DataFrame, horizons: tuple[int, ...], samples: int =
     return counts.join(edges, "horizon").select("horizon", "n", enough(F.col("p")[0]).alias("low"), enough(F.col("p")[1]).alias("high"), enough(F.col("none")).alias("nonpositive_share"))
 
 
-def cohort_summary(events: DataFrame, horizon: int) -> DataFrame:
-    """Nested cohorts: all selected, those with the legacy star, those whose reversal is confirmed."""
+def _by_horizon(rows: DataFrame, horizons: tuple[int, ...], by: list[str], ending: str = "") -> DataFrame:
+    """by, horizon and r: a row for each horizon's return."""
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}d{ending}").alias("r")) for h in horizons])
+    return rows.select(*by, F.explode(each).alias("x")).select(*by, "x.horizon", "x.r")
+
+
+def cohort_summary(events: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """Per horizon nested cohorts: all selected, those with the legacy star, those whose reversal is confirmed."""
     stages = F.array_compact(F.array(F.lit("all"), F.when(passes(F.col("legacy_star")), "legacy star"), F.when(passes(F.col("reversal_star")), "reversal star")))
     once = first_of_episode(events).withColumn("cohort", F.explode(stages))
-    return once.groupBy("cohort").agg(F.count("*").alias("members"), *_stats(f"return_{horizon}d"))
+    return _by_horizon(once, horizons, ["cohort"]).groupBy("horizon", "cohort").agg(F.count("*").alias("members"), *_stats("r"))
 
 
-def timing_summary(events: DataFrame, horizon: int, delays: tuple[int, ...] = (3, 5)) -> DataFrame:
-    """Entry at the selection's close or some sessions later."""
-    names = [(0, f"return_{horizon}d"), *[(d, f"return_{horizon}d_entry_delay_{d}d") for d in delays]]
-    parts = F.array(*[F.struct(F.lit(d).alias("delay"), F.col(c).alias("r")) for d, c in names])
-    return first_of_episode(events).select(F.explode(parts).alias("x")).select("x.*").groupBy("delay").agg(*_stats("r"))
+def timing_summary(events: DataFrame, horizons: tuple[int, ...], delays: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """Per horizon, entry at the selection's close or some sessions later."""
+    names = [(F.lit(h), F.lit(d), F.col(f"return_{h}d" + (f"_entry_delay_{d}d" if d else ""))) for h in horizons for d in (0, *delays)]
+    parts = F.array(*[F.struct(h.alias("horizon"), d.alias("delay"), r.alias("r")) for h, d, r in names])
+    rows = first_of_episode(events).select(F.explode(parts).alias("x")).select("x.*")
+    return rows.groupBy("horizon", "delay").agg(*_stats("r"))
 
 
-def attribution_bands(events: DataFrame, horizon: int) -> DataFrame:
-    """Outcomes by how much of the fall was explained, in bands closed on the right."""
+def attribution_bands(events: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """Per horizon, outcomes by how much of the fall was explained, in bands closed on the right."""
     s = F.col("external_shock_attribution") * 100.0
     band = F.when(s <= 25, "0-25").when(s <= 50, "25-50").when(s <= 75, "50-75").otherwise("75-100")
-    rows = first_of_episode(events).where(s.isNotNull() & F.col(f"return_{horizon}d").isNotNull())
-    return rows.groupBy(band.alias("band")).agg(*_stats(f"return_{horizon}d"))
+    rows = first_of_episode(events).where(s.isNotNull()).withColumn("band", band)
+    return _by_horizon(rows, horizons, ["band"]).where("r IS NOT NULL").groupBy("horizon", "band").agg(*_stats("r"))
 
 
 def replay_readiness(prices: DataFrame, horizons: tuple[int, ...], snapshots: int = 8, spacing: int = 20, history: int = 252, delay: int = 5) -> DataFrame:

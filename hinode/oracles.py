@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 AS_OF = ("1998-12-31", "1999-06-30", "2000-06-30")
-HORIZONS = (10, 30, 90)
+#: Fixed: sessions after which outcomes are taken.
+HORIZONS = (10, 20, 30, 60, 90, 180)
 
 #: Common tables, each using only earlier ones.
 TABLES = {
@@ -128,7 +129,7 @@ def _all(keys: tuple, test: str) -> str:
 _CORE = ("sales", "margin", "equity", "ocf", "forecast", "payout", "div_change", "trend")
 _STRUCTURAL = ("cash_quality", "margin_stability", "forecast_revision", "sector_relative")
 TABLES["now"] = "SELECT as_of, code, date AS bar, trend_score AS t_score, sma20, sma50, COALESCE(sma20 > sma20_before, false) AS sma20_rising, low20, return_20d, rsi14, volume_ratio_20d FROM tr JOIN dates ON date <= as_of AND (next_date IS NULL OR next_date > as_of)"
-TABLES["trd"] = "SELECT now.*, b.trend_score AS score_before FROM now LEFT JOIN tr b ON b.code = now.code AND b.date <= bar - 90 AND b.next_date > bar - 90"
+TABLES["trd"] = "SELECT now.*, b.trend_score AS score_before FROM now ASOF LEFT JOIN tr b ON b.code = now.code AND b.date <= bar - 90"
 TABLES["chk"] = "SELECT *, " + ", ".join(f"CASE WHEN {x} IS NULL THEN 'unknown' WHEN {_bounded(x, good)} THEN 'pass' WHEN {_bounded(x, fair)} THEN 'warn' ELSE 'fail' END AS c_{k}" for k, x, _, good, fair in CHECKS) + " FROM sel LEFT JOIN trd USING (as_of, code)"
 TABLES["pts"] = "SELECT *, " + " + ".join(f"CASE WHEN c_{k} = 'unknown' THEN 0.0e0 ELSE {w} END" for k, _, w, *_ in CHECKS) + " AS known_points, " + " + ".join(f"CASE c_{k} WHEN 'pass' THEN {w} WHEN 'warn' THEN {w} * 0.5e0 ELSE 0.0e0 END" for k, _, w, *_ in CHECKS) + " AS won_points, " + " + ".join(f"CASE WHEN c_{k} = 'fail' THEN 1 ELSE 0 END" for k, *_ in CHECKS) + " AS failures FROM chk"
 _HARD = ("equity", "ocf", "cash_quality", "margin_stability", "forecast_revision", "sector_relative", "forecast", "margin", "trend")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinode.functions.scalars import passes
-from hinode.operators.asof import forward_returns
+from hinode.operators.asof import as_of_merge, forward_outcomes, forward_returns, sessions
 from hinode.operators.criteria import ScreenConfig, apply_criteria
 from hinode.operators.decision import badge, readiness
 from hinode.operators.fundamentals import add_sector_context, add_valuation, financial_features, strongest_events
@@ -49,13 +49,12 @@ def prepare_universe(companies: DataFrame, prices: DataFrame, filings: DataFrame
 def with_trend(table: DataFrame, prices: DataFrame, as_of: DataFrame, days: int = 90) -> DataFrame:
     """Rows with the trend of their date and the score about `days` days before it."""
     indicators = trend_indicators(prices)
-    dates = as_of.select("as_of")
     names = ("trend_score", "trend_state", "sma20", "sma50", "sma20_rising", "low20", "low60", "return_20d", "rsi14", "volume_ratio_20d")
-    now = pick_as_of(indicators, dates).select("as_of", "code", F.col("date").alias("bar"), *names)
-    spans = indicators.select(F.col("code").alias("k"), F.col("date").alias("d"), F.col("next_date").alias("until"), F.col("trend_score").alias("score_before"))
-    target = F.date_sub("bar", days)
-    now = now.join(spans, (F.col("code") == F.col("k")) & (F.col("d") <= target) & (F.col("until") > target), "left").drop("k", "d", "until", "bar")
-    return table.join(now, ["as_of", "code"], "left")
+    rows = as_of_merge(table, indicators.select("code", "date", *names), ["code"], "as_of", "date", name="_now")
+    rows = rows.withColumn("_then", F.date_sub("_now.date", days))
+    rows = as_of_merge(rows, indicators.select("code", "date", "trend_score"), ["code"], "_then", "date", name="_before")
+    found = [F.col(f"_now.{n}").alias(n) for n in names]
+    return rows.select(*table.columns, *found, F.col("_before.trend_score").alias("score_before"))
 
 
 def decide(table: DataFrame, prices: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -73,15 +72,15 @@ def walk_forward(companies: DataFrame, prices: DataFrame, filings: DataFrame, in
     chosen = add_episodes(chosen).select("as_of", "snapshot_no", "code", "sector", "market", "episode_id", F.col("close").alias("entry_price"), "quantitative_score", "external_shock_attribution", "index_return_6m", "badge", "legacy_star", "reversal_star")
     chosen = chosen.withColumn("market_regime", market_regime(F.col("index_return_6m")))
     chosen = stored(chosen, "selected")
-    events = forward_returns(chosen, prices, horizons)
-    for d in delays:
-        late = forward_returns(chosen.select("as_of", "code", "entry_price"), prices, horizons, delay=d, suffix=f"_entry_delay_{d}d")
-        events = events.join(late.drop("entry_price"), ["as_of", "code"])
-    pool = matched_controls(table, controls).select("as_of", F.col("target").alias("for_code"), "code")
-    closes = table.select("as_of", "code", F.col("close").alias("entry_price"))
-    found = forward_returns(stored(pool.join(closes, ["as_of", "code"]), "controls"), prices, horizons)
-    means = found.groupBy("as_of", F.col("for_code").alias("code")).agg(*[F.avg(f"return_{h}d").alias(f"control_return_{h}d") for h in horizons], F.sort_array(F.collect_set("code")).alias("control_codes"))
-    events = events.join(means, ["as_of", "code"], "left")
+    pool = stored(matched_controls(table, controls).select("as_of", F.col("target").alias("for_code"), "code"), "controls")
+    # one look-up of session numbers for selected securities and controls, all horizons and delays
+    wanted = chosen.select("as_of", "code").union(pool.select("as_of", "code")).distinct()
+    wanted = wanted.join(table.select("as_of", "code", F.col("close").alias("entry_price")), ["as_of", "code"])
+    found = stored(forward_outcomes(wanted, stored(sessions(prices), "sessions"), horizons, (0, *delays)), "outcomes")
+    events = chosen.join(found.drop("entry_price"), ["as_of", "code"])
+    means = [F.avg(f"return_{h}d").alias(f"control_return_{h}d") for h in horizons]
+    named = pool.join(found, ["as_of", "code"]).groupBy("as_of", F.col("for_code").alias("code"))
+    events = events.join(named.agg(*means, F.sort_array(F.collect_set("code")).alias("control_codes")), ["as_of", "code"], "left")
     return events.withColumns({f"selection_edge_{h}d": F.col(f"return_{h}d") - F.col(f"control_return_{h}d") for h in horizons})
 
 

@@ -204,7 +204,7 @@ def trend_state(spark, d):
     return df.select("as_of", "code", F.col("trend_score").cast("long").alias("trend_score"), "trend_state")
 
 
-@query(sql("SELECT a.as_of, a.code, a.date AS now_date, CAST(a.trend_score AS BIGINT) AS score_now, b.date AS before_date, CAST(b.trend_score AS BIGINT) AS score_before, CAST(a.trend_score - b.trend_score AS BIGINT) AS score_change FROM (SELECT * FROM tr JOIN dates ON date <= as_of AND (next_date IS NULL OR next_date > as_of)) a LEFT JOIN tr b ON a.code = b.code AND b.date <= a.date - 90 AND b.next_date > a.date - 90"))
+@query(sql("SELECT a.as_of, a.code, a.date AS now_date, CAST(a.trend_score AS BIGINT) AS score_now, b.date AS before_date, CAST(b.trend_score AS BIGINT) AS score_before, CAST(a.trend_score - b.trend_score AS BIGINT) AS score_change FROM (SELECT * FROM tr JOIN dates ON date <= as_of AND (next_date IS NULL OR next_date > as_of)) a ASOF LEFT JOIN tr b ON a.code = b.code AND b.date <= a.date - 90"))
 def trend_transition_90d(spark, d):
     df = prices.trend_transition(prices.trend_indicators(T.prices(spark, d)), dates(spark).select("as_of"))
     return df.select("as_of", "code", "now_date", F.col("score_now").cast("long").alias("score_now"), "before_date", F.col("score_before").cast("long").alias("score_before"), F.col("score_change").cast("long").alias("score_change"))
@@ -325,7 +325,6 @@ def matched_controls(spark, d):
 
 
 _EVENTS = f"SELECT *, CASE WHEN index_return_6m IS NULL THEN 'unknown' WHEN index_return_6m <= -0.05e0 THEN 'falling' WHEN index_return_6m >= 0.05e0 THEN 'rising' ELSE 'flat' END AS regime, code || ':' || MIN(snapshot_no) OVER (PARTITION BY code, island) AS episode_id FROM (SELECT s.as_of, snapshot_no, s.code, v2, index_return_6m, snapshot_no - row_number() OVER (PARTITION BY s.code ORDER BY snapshot_no) AS island, h.close / s.close - 1 AS ret FROM sel s JOIN dates USING (as_of) JOIN anc ON anc.as_of = s.as_of AND anc.code = s.code LEFT JOIN ses h ON h.code = s.code AND h.no = n0 + 30 WHERE selected)"
-_FIRST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY as_of) AS first_no FROM ({_EVENTS})) WHERE first_no = 1"
 
 
 @query(sql(f"SELECT as_of, code, episode_id, {r('ret', 'return_30d')} FROM ({_EVENTS})"))
@@ -370,22 +369,37 @@ STATS = ("mean_return", "median_return", "positive_share", "loss_share")
 _COHORTS = "SELECT w.*, unnest(['all'] || CASE WHEN legacy_star THEN ['legacy star'] ELSE [] END || CASE WHEN reversal_star THEN ['reversal star'] ELSE [] END) AS cohort FROM wev w JOIN (SELECT as_of, code, legacy_star, reversal_star FROM bd) USING (as_of, code) WHERE variant = 'plain' AND nth = 1"
 
 
-@query(sql(f"SELECT cohort, COUNT(*) AS members, {_stats_sql('r30')} FROM ({_COHORTS}) GROUP BY 1"))
+def _each_horizon(select: str, rest: str) -> str:
+    """One SELECT for each horizon, with {h} as its sessions."""
+    return sql(" UNION ALL ".join(f"SELECT CAST({h} AS BIGINT) AS horizon, {select.replace('{h}', str(h))} {rest.replace('{h}', str(h))}" for h in HORIZONS))
+
+
+def horizon():
+    return F.col("horizon").cast("long").alias("horizon")
+
+
+@query(_each_horizon(f"cohort, COUNT(*) AS members, {_stats_sql('r{h}')}", f"FROM ({_COHORTS}) GROUP BY cohort"))
 def wf_cohort(spark, d):
-    df = walkforward.cohort_summary(replay(spark, d), 30)
-    return df.select("cohort", "members", "n", *rounded(df, *STATS))
+    df = walkforward.cohort_summary(replay(spark, d), HORIZONS)
+    return df.select(horizon(), "cohort", "members", "n", *rounded(df, *STATS))
 
 
-@query(sql(f"SELECT CAST(delay AS BIGINT) AS delay, {_stats_sql('r')} FROM (" + " UNION ALL ".join(f"SELECT {k} AS delay, {x} AS r FROM wev WHERE variant = 'plain' AND nth = 1" for k, x in ((0, "r30"), (3, "r30_3"), (5, "r30_5"))) + ") GROUP BY 1"))
+_DELAYED = " UNION ALL ".join(f"SELECT {k} AS delay, {x} AS r FROM wev WHERE variant = 'plain' AND nth = 1" for k, x in ((0, "r{h}"), (3, "r{h}_3"), (5, "r{h}_5")))
+
+
+@query(_each_horizon(f"CAST(delay AS BIGINT) AS delay, {_stats_sql('r')}", f"FROM ({_DELAYED}) GROUP BY delay"))
 def wf_timing(spark, d):
-    df = walkforward.timing_summary(replay(spark, d), 30)
-    return df.select(F.col("delay").cast("long").alias("delay"), "n", *rounded(df, *STATS))
+    df = walkforward.timing_summary(replay(spark, d), HORIZONS)
+    return df.select(horizon(), F.col("delay").cast("long").alias("delay"), "n", *rounded(df, *STATS))
+
+
+_BAND = "CASE WHEN v2 <= 0.25e0 THEN '0-25' WHEN v2 <= 0.5e0 THEN '25-50' WHEN v2 <= 0.75e0 THEN '50-75' ELSE '75-100' END"
 
 
-@query(sql(f"SELECT CASE WHEN v2 <= 0.25e0 THEN '0-25' WHEN v2 <= 0.5e0 THEN '25-50' WHEN v2 <= 0.75e0 THEN '50-75' ELSE '75-100' END AS band, COUNT(*) AS n, {r('AVG(ret)', 'mean_return')} FROM ({_FIRST}) WHERE v2 IS NOT NULL AND ret IS NOT NULL GROUP BY 1"))
+@query(_each_horizon(f"{_BAND} AS band, {_stats_sql('r{h}')}", f"FROM wev WHERE variant = 'plain' AND nth = 1 AND v2 IS NOT NULL AND r{{h}} IS NOT NULL GROUP BY {_BAND}"))
 def attribution_bands(spark, d):
-    df = walkforward.attribution_bands(replay(spark, d), 30)
-    return df.select("band", "n", half_up(F.col("mean_return")).alias("mean_return"))
+    df = walkforward.attribution_bands(replay(spark, d), HORIZONS)
+    return df.select(horizon(), "band", "n", *rounded(df, *STATS))
 
 
 def evaluations(spark, d) -> DataFrame:

@@ -71,7 +71,7 @@ def wf_score_modes(spark, d):
     return df.select("variant", F.col("horizon").cast("long").alias("horizon"), "matured", "episodes", *rounded(df, "edge", "positive_share"))
 
 
-@query(sql("SELECT n AS available_sessions, n - 257 AS maximum_horizon, array_to_string(list_filter([10, 30, 90], lambda h: h <= n - 257), ' ') AS supported, 90 + 5 + 252 + 1 AS sessions_for_one, 348 + 140 AS sessions_for_all, CAST(least(8, floor((n - 95 - 252) / 20) + 1) AS BIGINT) AS usable_replays FROM (SELECT CAST(COUNT(DISTINCT date) AS BIGINT) AS n FROM px)"))
+@query(sql("SELECT n AS available_sessions, n - 257 AS maximum_horizon, array_to_string(list_filter([10, 20, 30, 60, 90, 180], lambda h: h <= n - 257), ' ') AS supported, 180 + 5 + 252 + 1 AS sessions_for_one, 438 + 140 AS sessions_for_all, CAST(least(8, floor((n - 185 - 252) / 20) + 1) AS BIGINT) AS usable_replays FROM (SELECT CAST(COUNT(DISTINCT date) AS BIGINT) AS n FROM px)"))
 def replay_readiness(spark, d):
     df = walkforward.replay_readiness(T.prices(spark, d), HORIZONS)
     whole = lambda c: F.col(c).cast("long").alias(c)
@@ -185,7 +185,7 @@ def star_view(spark, d):
     return history.stars_only(evaluations(spark, d)).select("code", "evaluation_date")
 
 
-@query(sql(f"SELECT s.code, evaluation_date AS star_date, 'sessions' AS basis, {r('CASE WHEN month(evaluation_date) > 6 THEN h30.close / latest_price - 1 END', 'return_30d')} FROM ({STARS}) s JOIN ses a ON a.code = s.code AND a.date = evaluation_date LEFT JOIN ses h30 ON h30.code = s.code AND h30.no = a.no + 30"))
+@query(sql(f"SELECT s.code, evaluation_date AS star_date, 'sessions' AS basis, {r('CASE WHEN month(evaluation_date) > 6 THEN later / latest_price - 1 END', 'return_30d')} FROM ({STARS}) s JOIN (SELECT code, date, lead(close, 30) OVER (PARTITION BY code ORDER BY date) AS later FROM px) f ON f.code = s.code AND f.date = evaluation_date"))
 def star_basis(spark, d):
     rows = star_outcomes_of(spark, d).withColumn("basis", F.when(F.month("star_date") > 6, "sessions").otherwise("calendar days"))
     df = history.same_basis_only(rows, "sessions", HORIZONS)
