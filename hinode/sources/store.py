@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 
 def shared_dir(spark) -> str:
     """spark.checkpoint.dir, which all executors share; a local master without one gets a temporary folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -20,8 +21,13 @@ def shared_dir(spark) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: features are computed once, whatever is asked of them."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
