@@ -45,6 +45,8 @@ SAMPLES = BITS = 1024
 ROUNDS = ("hub", "best", "all")
 #: Members of a band's bucket that the later rounds compare in one go; larger buckets are dealt in blocks of this size.
 BLOCK = 4096
+#: Pairs of a block that are held at once.
+PAIRS = 1 << 18
 #: Pairs of one node that meet its sketch in one task; a node with more is dealt over several keys.
 SPREAD = 1024
 #: Shingles of the full sets of a block that are held at once to confirm its pairs; a block with more is dealt in tiles.
@@ -214,7 +216,7 @@ def _compare(rows: dict[str, np.ndarray], share: int, best: bool) -> tuple[np.nd
     todo = [(left[minor[left]], right)] + ([(right[minor[right]], left[~minor[left]])] if cross else [])
     out = [np.zeros((2, 0), np.int64)]
     for one, two in todo:
-        tile = max(1, (1 << 20) // max(1, len(two)))
+        tile = max(1, PAIRS // max(1, len(two)))
         for at in range(0, len(one), tile):
             a = one[at : at + tile]
             big, small = np.maximum(size[a][:, None], size[two]), np.minimum(size[a][:, None], size[two])
