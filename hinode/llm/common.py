@@ -228,3 +228,28 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = 5) -> tupl
 def crc_mod(column: str, parts: int = 5) -> F.Column:
     """crc32 of the id as text, modulo `parts`; 0 marks the held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+#: Bytes of a text up to which it may be in a sample that a model is fitted on.
+SAMPLE_TEXT_BYTES = 1 << 17
+
+
+def bounded_sample(rows: DataFrame, label: str, counts: dict, most: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """label, order, id and text of at most `most` rows of each label: those of the least hash of key and text, each once.
+
+    counts: rows of each label. Rows that repeat count once, however many there are, and texts of more than
+    SAMPLE_TEXT_BYTES take no part, so what comes out is bounded in rows and bytes for any table.
+    """
+    order = F.xxhash64(F.col(key).cast("string"), text)
+    chance = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    parts = []
+    for value, n in sorted(counts.items()):
+        some = rows.where((F.col(label) == F.lit(value)) & (F.octet_length(text) <= SAMPLE_TEXT_BYTES))
+        some = some.where(chance < min(1.0, 2 * most / max(1, n)))
+        once = some.select(label, order.alias("order"), F.col(key).alias("id"), F.col(text).alias("text"))
+        once = once.groupBy(label, "order").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+        parts.append(once.orderBy("order").limit(most))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, mix64
+from .common import bounded_sample, crc_mod, mix64
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 14
-#: Rows of each language that the weights are fitted on, in expectation; a hash of the id chooses them.
+#: The most rows of each language that the weights are fitted on; a hash of id and text chooses them.
 SAMPLE_PER_LANGUAGE = 1200
 #: Code points counted at once in a task, and texts.
 CHUNK, CHUNK_TEXTS = 1 << 18, 64
@@ -155,8 +155,8 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train_language_model(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, dimensions: int = DIMENSIONS) -> LanguageModel | None:
     """Fit on the columns doc_id, text and lang of labelled rows; None if there are none.
 
-    To the driver come a count per language, a document frequency per dimension, and the n-gram counts of about
-    `per_language` rows of each language.
+    To the driver come a count per language, a document frequency per dimension, and the n-gram counts of at most
+    `per_language` rows of each language, whatever ids repeat.
     """
     rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -178,9 +178,8 @@ def train_language_model(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     df[[r["dimension"] for r in found]] = [r["n"] for r in found]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    shares = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(chance < shares[F.col("lang")]).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).alias("fold"))
+    chosen = bounded_sample(rows, "lang", counts, per_language)
+    chosen = chosen.select("text", "lang", F.pmod(F.xxhash64("order", F.lit(1)), F.lit(5)).alias("fold"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64, text_bytes
+from .common import bounded_sample, crc_mod, mix64, text_bytes
 
 BUCKETS = 1 << 19
 DIMENSIONS = 8
@@ -32,7 +32,7 @@ WINDOW = 8
 LEAST_FOUND = 5
 #: One in so many sample texts is kept from the embeddings, for the last logistic fit.
 CALIBRATION = 4
-#: Labelled rows of each class that the model is fitted on, in expectation; a hash of the id chooses them.
+#: The most labelled rows of each class that the model is fitted on; a hash of id and text chooses them.
 SAMPLE_PER_CLASS = 2000
 
 
@@ -220,15 +220,19 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, d
 
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
-    """Fit on the texts of labelled rows; to the driver come about `per_class` texts of each class."""
-    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in wanted.groupBy("toxic").count().collect()}
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, counts.get(0, 0)))))
-    sample = F.broadcast(wanted.where(chance < share))  # about per_class rows of each class, whatever the corpus
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    texts = [t or "" for t in rows.column("text").to_pylist()]
-    return fit_toxicity(texts, np.array(rows.column("toxic").to_pylist(), dtype=np.float64))
+    """Fit on the texts of labelled rows; to the driver come at most `per_class` texts of each class, whatever ids repeat."""
+    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
+    ids = None
+    for toxic in (0, 1):  # the ids of least hash, each once: so many rows to send to the documents
+        some = wanted.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        ids = some if ids is None else ids.unionByName(some)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("text IS NOT NULL")
+    labelled = texts.join(F.broadcast(ids), "doc_id")  # at most per_class ids of each class
+    counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    if not counts:
+        return fit_toxicity([], np.zeros(0))
+    rows = bounded_sample(labelled, "toxic", counts, per_class).toArrow().sort_by([("id", "ascending"), ("order", "ascending"), ("toxic", "ascending")])
+    return fit_toxicity(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), dtype=np.float64))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
