@@ -11,8 +11,14 @@ from hinode.sources.store import stored
 
 
 def financial_features(filings: DataFrame, as_of: DataFrame) -> DataFrame:
-    """One row per (as_of, code): the last three fiscal years, the newest filing, guidance and dividends known by then."""
-    known = filings.join(F.broadcast(as_of), F.col("disclosure_date") <= F.col("as_of"))  # replay dates: a dozen rows
+    """One row per (as_of, code): the last three fiscal years, the newest filing, guidance and dividends known by then.
+
+    as_of holds dates for all securities, or with a column code a date for each.
+    """
+    if "code" in as_of.columns:
+        known = filings.join(as_of.select("code", "as_of"), "code").where(F.col("disclosure_date") <= F.col("as_of"))
+    else:
+        known = filings.join(F.broadcast(as_of), F.col("disclosure_date") <= F.col("as_of"))  # replay dates: a dozen rows
     key = ["as_of", "code"]
     order = F.struct("disclosure_date", "statement_type")
 

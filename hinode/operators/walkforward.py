@@ -5,8 +5,6 @@ The replay date is a column (as_of) throughout, so a replay of many dates is one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -187,31 +185,50 @@ def horizon_summary(events: DataFrame, horizons: tuple[int, ...], by: list[str]
     return long(events).groupBy(*by, "horizon").agg(F.count("r").alias("events")).join(once, [*by, "horizon"], "left").na.fill(0, ["episodes"])
 
 
+#: Modulus, multipliers and shifts of the mixing of row and sample numbers; products stay within a long.
+_PRIME, _MIX = (1 << 31) - 1, ((15, 48271), (13, 69621), (16, 16807))
+
+
+def _poisson_weight(row: F.Column, sample: F.Column, seed: int) -> F.Column:
+    """A weight of Poisson(1) for a row (a number below 2^31) in a sample, by the inverse distribution of a mixed number."""
+    x = F.pmod(row + sample * F.lit(1_000_003) + F.lit(seed), F.lit(_PRIME))
+    for shift, factor in _MIX:
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor), F.lit(_PRIME))
+    u = (x + 0.5) / float(_PRIME)
+    weight, chance, total = F.when(u < np.exp(-1.0), 0), np.exp(-1.0), np.exp(-1.0)
+    for k in range(1, 12):
+        chance /= k
+        total += chance
+        weight = weight.when(u < float(total), k)
+    return weight.otherwise(12)
+
+
 def bootstrap_edges(events: DataFrame, horizons: tuple[int, ...], samples: int = 2000, seed: int = 20261019) -> DataFrame:
     """horizon, n, low, high, nonpositive_share: a bootstrap interval of the mean edge of first events.
 
-    A Poisson bootstrap: in each resample an event has a weight of its own, drawn from the seed and a hash of the event,
-    so partitions sum their events' weights by themselves and only `samples` sums of each horizon are shuffled.
+    A Poisson bootstrap: in each resample an event has a weight of its own, drawn from the seed, the resample's number and
+    a hash of the event, so tasks sum their events' weights by themselves and only `samples` rows of each task are
+    shuffled. Fewer than two events have no interval.
     """
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for key, h, e in zip(pdf["key"], pdf["horizon"], pdf["e"], strict=True):
-                weights = np.random.Generator(np.random.Philox(key=[seed, int(key) & ((1 << 64) - 1)])).poisson(1.0, samples)
-                sums.setdefault(int(h), np.zeros((2, samples)))
-                sums[int(h)] += (weights * float(e), weights)
-        for h, (total, weight) in sums.items():
-            yield pd.DataFrame({"horizon": h, "sample": np.arange(samples), "total": total, "weight": weight})
-
-    parts = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"selection_edge_{h}d").alias("e")) for h in horizons])
-    rows = first_of_episode(events).select(F.xxhash64("as_of", "code").alias("key"), F.explode(parts).alias("x")).select("key", "x.*").where("e IS NOT NULL")
-    counts = rows.groupBy("horizon").agg(F.count("*").alias("n"))
-    sums = rows.mapInPandas(draw, "horizon int, sample int, total double, weight double").groupBy("horizon", "sample").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
-    mean = F.when(F.col("weight") > 0, F.col("total") / F.col("weight"))
-    edges = sums.select("horizon", mean.alias("m")).groupBy("horizon").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.avg(F.when(F.col("m") <= 0, 1.0).when(F.col("m") > 0, 0.0)).alias("none"))
+    once = first_of_episode(events)
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("code"), F.col("as_of").cast("string"))), 1, 7), 16, 10).cast("long")
+    edges = [F.col(f"selection_edge_{h}d").alias(f"e_{h}") for h in horizons]
+    known = F.exists(F.array(*[F.col(f"selection_edge_{h}d").isNotNull() for h in horizons]), lambda x: x)
+    rows = once.where(known).select(row.alias("row"), *edges)
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    drawn = drawn.withColumn("w", _poisson_weight(F.col("row"), F.col("sample").cast("long"), seed)).where("w > 0")
+    sums = [F.sum(F.col("w") * F.col(f"e_{h}")).alias(f"t_{h}") for h in horizons]
+    sums += [F.sum(F.when(F.col(f"e_{h}").isNotNull(), F.col("w"))).alias(f"w_{h}") for h in horizons]
+    resampled = drawn.groupBy("sample").agg(*sums)
+    means = F.array(*[F.struct(F.lit(h).alias("horizon"), (F.col(f"t_{h}") / F.col(f"w_{h}")).alias("m")) for h in horizons])
+    found = resampled.select(F.explode(means).alias("x")).select("x.*").where("m IS NOT NULL")  # samples times horizons
+    nothing = F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)).alias("none")
+    found = found.groupBy("horizon").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), nothing)
+    counts = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"n_{h}").alias("n")) for h in horizons])
+    counted = rows.agg(*[F.count(f"e_{h}").alias(f"n_{h}") for h in horizons]).select(F.explode(counts).alias("x")).select("x.*")
     enough = lambda c: F.when(F.col("n") >= 2, c)
-    return counts.join(edges, "horizon").select("horizon", "n", enough(F.col("p")[0]).alias("low"), enough(F.col("p")[1]).alias("high"), enough(F.col("none")).alias("nonpositive_share"))
+    both = counted.where("n > 0").join(found, "horizon")
+    return both.select("horizon", "n", enough(F.col("p")[0]).alias("low"), enough(F.col("p")[1]).alias("high"), enough(F.col("none")).alias("nonpositive_share"))
 
 
 def _by_horizon(rows: DataFrame, horizons: tuple[int, ...], by: list[str], ending: str = "") -> DataFrame:

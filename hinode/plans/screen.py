@@ -13,7 +13,7 @@ from hinode.operators.asof import as_of_merge, forward_outcomes, forward_returns
 from hinode.operators.criteria import ScreenConfig, apply_criteria
 from hinode.operators.decision import badge, readiness
 from hinode.operators.fundamentals import add_sector_context, add_valuation, financial_features, strongest_events
-from hinode.operators.prices import pick_as_of, price_features, trend_indicators
+from hinode.operators.prices import pick_as_of, price_features, rolling_features, trend_indicators
 from hinode.operators.scoring import add_scores
 from hinode.operators.walkforward import MATCH_ON, add_episodes, market_regime, matched_controls
 from hinode.sources.store import stored
@@ -46,6 +46,13 @@ def prepare_universe(companies: DataFrame, prices: DataFrame, filings: DataFrame
     return add_sector_context(add_valuation(rows))
 
 
+def with_proxy(rows: DataFrame, prices: DataFrame, as_of: DataFrame, proxy: DataFrame) -> DataFrame:
+    """Rows with proxy_return_6m, the return of a fund (date, proxy_close) over the same sessions as the security's own."""
+    series = proxy.select("date", F.col("proxy_close").alias("index_close"))
+    picked = pick_as_of(rolling_features(prices, series), as_of.select("as_of"))
+    return rows.join(picked.select("as_of", "code", F.col("index_return_6m").alias("proxy_return_6m")), ["as_of", "code"], "left")
+
+
 def with_trend(table: DataFrame, prices: DataFrame, as_of: DataFrame, days: int = 90) -> DataFrame:
     """Rows with the trend of their date and the score about `days` days before it."""
     indicators = trend_indicators(prices)

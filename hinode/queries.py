@@ -283,22 +283,6 @@ def asof_backward_filing(spark, d):
     return df.select("code", "event_date", F.col("disclosure_date_r").alias("disclosure_date"), F.col("fiscal_year_r").cast("long").alias("years"))
 
 
-_MASTERS = "SELECT code, sector, md AS master_date FROM comp, (VALUES (DATE '1998-01-01'), (DATE '1999-02-01'), (DATE '2000-06-30')) m(md) WHERE CAST(code AS BIGINT) % 7 <> month(md) % 7"
-
-
-@query(sql(f"SELECT as_of, m.master_date, m.code, m.sector FROM ({_MASTERS}) m JOIN (SELECT as_of, MAX(md) AS master_date FROM dates, (VALUES (DATE '1998-01-01'), (DATE '1999-02-01'), (DATE '2000-06-30')) t(md) WHERE md <= as_of GROUP BY 1) USING (master_date)", "comp", "dates"))
-def asof_master(spark, d):
-    days = spark.createDataFrame([("1998-01-01",), ("1999-02-01",), ("2000-06-30",)], "s string").select(F.to_date("s").alias("master_date"))
-    masters = T.companies(spark, d).select("code", "sector").join(F.broadcast(days), F.col("code").cast("long") % 7 != F.month("master_date") % 7)
-    return readers.master_as_of(masters, dates(spark).select("as_of")).select("as_of", "master_date", "code", "sector")
-
-
-@query(sql("SELECT as_of, COUNT(*) AS observable, count_if(m.code IS NOT NULL) AS covered, count_if(m.code IS NULL) AS missing FROM (SELECT DISTINCT as_of, px.code FROM px JOIN dates ON date <= as_of WHERE EXISTS (SELECT 1 FROM fin WHERE fin.code = px.code AND disclosure_date <= as_of)) o LEFT JOIN (SELECT code FROM comp WHERE CAST(code AS BIGINT) % 5 <> 0) m USING (code) GROUP BY 1"))
-def master_coverage(spark, d):
-    master = T.companies(spark, d).where(F.col("code").cast("long") % 5 != 0)
-    return walkforward.cohort_audit(T.prices(spark, d), T.financials(spark, d), master, dates(spark))
-
-
 @query(sql("SELECT date AS as_of, row_number() OVER (ORDER BY date) AS snapshot_no FROM (SELECT date, row_number() OVER (ORDER BY date) AS no, COUNT(*) OVER () AS total FROM (SELECT DISTINCT date FROM px)) WHERE no >= 252 AND total - 200 - no >= 0 AND (total - 200 - no) % 40 = 0 AND total - 200 - no < 320"))
 def replay_schedule(spark, d):
     df = walkforward.replay_dates(T.prices(spark, d), 8, 40, 252, 200)
@@ -355,11 +339,6 @@ def wf_regime(spark, d):
     return summary(walkforward.horizon_summary(replay(spark, d), HORIZONS, ["market_regime"]), "market_regime")
 
 
-@query()
-def wf_bootstrap(spark, d):
-    return walkforward.bootstrap_edges(replay(spark, d), HORIZONS)
-
-
 def _stats_sql(x: str) -> str:
     parts = {"mean_return": f"AVG({x})", "median_return": f"median({x})", "positive_share": f"AVG(CASE WHEN {x} > 0 THEN 1.0e0 WHEN {x} IS NOT NULL THEN 0 END)", "loss_share": f"AVG(CASE WHEN {x} <= -0.05e0 THEN 1.0e0 WHEN {x} IS NOT NULL THEN 0 END)"}
     return f"COUNT({x}) AS n, " + ", ".join(r(v, k) for k, v in parts.items())
@@ -467,10 +446,12 @@ def symbol_counts(spark, d):
     return df.select(F.col("place").cast("long").alias("place"), "symbol", "n")
 
 
-@query(sql(f"SELECT code, evaluation_date, {r('latest_price')}, note FROM (SELECT code, evaluation_date, latest_price * 2 AS latest_price, 'new' AS note FROM ev8 WHERE CAST(code AS BIGINT) % 2 = 0 UNION ALL SELECT code, evaluation_date, latest_price, NULL FROM ev8 WHERE CAST(code AS BIGINT) % 2 <> 0)"))
+@query(sql(f"SELECT code, evaluation_date, {r('latest_price')}, note FROM (SELECT code, evaluation_date, latest_price * 2 AS latest_price, 'new' AS note FROM ev8 WHERE status = 'unassessed' UNION ALL SELECT code, evaluation_date, latest_price, NULL FROM ev8 WHERE status <> 'unassessed')"))
 def keep_last_upsert(spark, d):
-    old = evaluations(spark, d).select("code", "evaluation_date", "latest_price").withColumn("stamp", F.lit(1))
-    new = old.where(F.col("code").cast("long") % 2 == 0).withColumn("latest_price", F.col("latest_price") * 2).withColumn("note", F.lit("new"))
+    """Evaluations that were unassessed come again with another price; the rest stays."""
+    made = evaluations(spark, d).select("code", "evaluation_date", "latest_price", "status").withColumn("stamp", F.lit(1))
+    new = made.where("status = 'unassessed'").drop("status").withColumn("latest_price", F.col("latest_price") * 2).withColumn("note", F.lit("new"))
+    old = made.drop("status")
     df = history.upsert(old, new, ["evaluation_date", "code"], "stamp")
     return df.select("code", "evaluation_date", half_up(F.col("latest_price")).alias("latest_price"), "note")
 
@@ -650,4 +631,4 @@ def page_slice(spark, d):
     return T.prices(spark, d).select("code", "date").orderBy("code", "date").offset(100).limit(50)
 
 
-from hinode import view_queries  # noqa: E402, F401  further queries, registered by the import
+from hinode import store_queries, view_queries  # noqa: E402, F401  further queries, registered by the import

@@ -1,7 +1,7 @@
 """Stores of several tables with atomic commits.
 
 A commit writes its tables to folders of its own and then publishes one pointer: a small file with the commit's number, a
-path for each table (for a dated table one for each day) and what the caller notes. Readers take the pointer of the
+path for each table (for a dated table one for each day) and the caller's notes. Readers take the pointer of the
 highest number, so they see all of a commit or nothing of it, and a writer that is lost before its pointer leaves the
 store as it was. A pointer is made under another name and renamed, which fails if its number exists: of two writers that
 start from one version, one is refused. Tables that a commit doesn't name keep the path that they had.
@@ -135,13 +135,20 @@ class Store:
         return {day: held["print"] for day, held in (version or self.version()).dated.get(name, {}).items()}
 
     def read_days(self, name: str, start: str | None = None, end: str | None = None, version: Version | None = None) -> DataFrame | None:
-        """The days of a dated table from start to end; only their folders are read."""
+        """The days of a dated table from start to end, each from the commit that wrote it last; columns that it lacked are
+        null."""
         days = (version or self.version()).dated.get(name, {})
-        wanted = [held["path"] for day, held in sorted(days.items()) if (start is None or day >= start) and (end is None or day <= end)]
-        if not wanted:
-            return None
-        # folders of several versions may differ in columns
-        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{p}" for p in wanted])
+        folders: dict[str, list[str]] = {}
+        for day, held in sorted(days.items()):
+            if (start is None or day >= start) and (end is None or day <= end):
+                folders.setdefault(held["path"], []).append(day)
+        out = None
+        for path, kept in folders.items():
+            # a folder is sorted by day, so that the days' bounds leave out most of a file that isn't wanted
+            df = self.spark.read.parquet(f"{self.root}/{path}")
+            df = df.where(F.col("_day").between(kept[0], kept[-1]) & F.col("_day").isin(*kept)).drop("_day")
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return out
 
     def commit_days(self, name: str, rows: DataFrame, day: str, ignore: tuple[str, ...] = (), notes: dict | None = None) -> list[str]:
         """Writes the days of rows that differ from what is stored, publishes them together, and returns these days.
@@ -162,8 +169,9 @@ class Store:
             return []
         path = f"{name}/{uuid.uuid4().hex}"
         fresh = rows.where(text.isin(*changed)) if len(changed) < len(prints) else rows
-        fresh.withColumn("_day", text).repartition("_day").write.partitionBy("_day").option("compression", "zstd").parquet(f"{self.root}/{path}")
-        new = {d: {"path": f"{path}/_day={d}", "print": prints[d], "columns": columns} for d in changed}
+        dealt = fresh.withColumn("_day", text).repartitionByRange("_day").sortWithinPartitions("_day")
+        dealt.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        new = {d: {"path": path, "print": prints[d], "columns": columns} for d in changed}
         self._publish(Version(base.number + 1, base.tables, base.dated | {name: held | new}, notes or {}))
         return changed
 
@@ -181,7 +189,7 @@ class Store:
         for number in known[-keep:]:
             version = self.version(number)
             used |= {t["path"] for t in version.tables.values()}
-            used |= {"/".join(d["path"].split("/")[:2]) for days in version.dated.values() for d in days.values()}
+            used |= {d["path"] for days in version.dated.values() for d in days.values()}
         gone = 0
         for table in self._fs.listStatus(self._path(self.root)):
             name = table.getPath().getName()

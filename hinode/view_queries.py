@@ -353,10 +353,3 @@ def earnings_normalised(spark, d):
 def import_master(spark, d):
     imported = T.companies(spark, d).select("code", F.lit(None).cast("string").alias("name"))
     return readers.join_master(imported, T.companies(spark, d), screened(spark, d).where("selected")).select("code", "name", "sector", "is_candidate")
-
-
-@query(sql("SELECT DISTINCT date FROM px"))
-def distinct_days(spark, d):
-    """Days that differ from the day before; here all do."""
-    rows = T.prices(spark, d).select("date", "code", "close", "low")
-    return history.collapse_repeats(rows, "date", ["code", "close", "low"]).select("date").distinct()
