@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hinode.functions.scalars import clip, joined_reasons, scale
+from hinode.functions.scalars import clip, joined_reasons, passes, scale
 
 #: Fixed parts of the scores: column, low, high, points, inverse.
 QUALITY = (("sales_cagr_3y", -0.05, 0.10, 8, False), ("operating_margin", 0.0, 0.15, 8, False), ("operating_cf_positive_ratio_3y", 0.34, 1.0, 8, False), ("equity_ratio", 0.20, 0.60, 8, False), ("forecast_op_growth", -0.15, 0.20, 8, False))
@@ -27,11 +27,14 @@ def add_scores(rows: DataFrame, mode: Column | str = "legacy_depth", missing: st
     """Quality, valuation, dislocation, external and penalty parts, the quantitative score (0-85) and the total (0-100).
 
     mode: a name or a column of names, so that both modes can be a dimension of one plan. Columns of events may be absent.
+    A blank source costs points, and so does a table without sources; a null, where no event was joined, doesn't.
     """
     mode = F.lit(mode) if isinstance(mode, str) else mode
-    for name, kind in (("externality", "double"), ("temporary_probability", "double"), ("catalyst_probability", "double"), ("review_status", "string"), ("source_url", "string"), ("external_shock_attribution_v2", "double")):
+    for name, kind in (("externality", "double"), ("temporary_probability", "double"), ("catalyst_probability", "double"), ("review_status", "string"), ("external_shock_attribution_v2", "double")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
+    if "source_url" not in rows.columns:
+        rows = rows.withColumn("source_url", F.lit(""))
     weight = F.when(mode == "external_explained", clip(F.coalesce("external_shock_attribution_v2", F.lit(0.5 if missing == "half" else 0.0)), 0.0, 1.0)).otherwise(1.0)
     fall = lambda c: -F.coalesce(c, F.lit(0.0)) * weight
     rows = (
@@ -45,7 +48,7 @@ def add_scores(rows: DataFrame, mode: Column | str = "legacy_depth", missing: st
         ("guidance down by a fifth", F.col("forecast_op_growth") < -0.20, 10.0),
         ("equity under a fifth", F.col("equity_ratio") < 0.20, 10.0),
     )
-    review = (("event not approved", ~F.col("review_status").eqNullSafe("approved"), 20.0), ("no source", F.trim(F.coalesce("source_url", F.lit(""))) == "", 8.0))
+    review = (("event not approved", ~F.col("review_status").eqNullSafe("approved"), 20.0), ("no source", passes(F.trim("source_url") == ""), 8.0))
     points = lambda some: sum((F.when(c, p).otherwise(0.0) for _, c, p in some), F.lit(0.0))
     core = F.col("quality_score") + F.col("valuation_score") + F.col("dislocation_score")
     return (

@@ -113,7 +113,7 @@ def demo_screen(universe: DataFrame, events: DataFrame, as_of: DataFrame, config
     """The event-driven screen: features with each security's strongest event, scored, with the flags eligible, approved,
     candidate and in_review. A missing forecast is not eligible; an event that is missing, not approved or too weak puts
     a fallen security into the review queue."""
-    found = strongest_events(events, as_of.select("as_of"), config.max_event_age).select("as_of", "code", "category", "event_date", "externality", "temporary_probability", "catalyst_probability", "review_status")
+    found = strongest_events(events, as_of.select("as_of"), config.max_event_age).select("as_of", "code", "category", "event_date", "externality", "temporary_probability", "catalyst_probability", "review_status", *[c for c in ("source_url",) if c in events.columns])
     rows = add_scores(universe.join(found, ["as_of", "code"], "left"))
     c = F.col
     fallen = (c("drawdown_52w") <= config.max_drawdown) & (c("relative_return_6m") <= config.max_relative)

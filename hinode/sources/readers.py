@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hinode.functions.scalars import coerce_flag, finite, normalize_code
+from hinode.functions.scalars import coerce_flag, finite, normalize_code, passes
 from hinode.operators.asof import keep_last
 
 
@@ -175,14 +175,22 @@ def master_as_of(masters: DataFrame, as_of: DataFrame) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Review documents with their structured conditions; probabilities out of [0, 1] make a document invalid."""
+    """Review documents with their structured conditions, and `valid`: known version and state, a source and an assessment,
+    and measures from 0 to 1 (0.5 where missing)."""
+    measures = ("external_factor_degree", "temporariness_probability", "catalyst_probability", "structural_risk")
     schema = (
-        "schema_version int, code string, approval_status string, invalidation_conditions string, assessment struct<external_factor_degree:double,temporariness_probability:double,catalyst_probability:double>, "
+        "schema_version string, code string, approval_status string, invalidation_conditions string, "
+        "primary_source struct<document_id:string,published_at:string,location:string,summary:string>, "
+        f"assessment struct<{','.join(f'{m}:double' for m in measures)}>, "
         "structured_invalidation_conditions array<struct<metric:string,operator:string,threshold:double,unit:string,enabled:boolean,note:string>>"
     )
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    sound = [F.coalesce(F.col(f"assessment.{c}").between(0, 1), F.lit(False)) for c in ("external_factor_degree", "temporariness_probability", "catalyst_probability")]
-    return rows.withColumn("code", normalize_code(F.col("code"))).withColumn("valid", sound[0] & sound[1] & sound[2] & F.col("approval_status").isin("draft", "approved", "rejected"))
+    sound = [F.coalesce(F.col(f"assessment.{m}"), F.lit(0.5)).between(0, 1) for m in measures]
+    # Fixed: the version and the states of a review
+    known = (F.col("schema_version") == "1.0") & F.coalesce("approval_status", F.lit("pending")).isin("approved", "pending", "rejected")
+    whole = F.col("primary_source").isNotNull() & F.col("assessment").isNotNull()
+    valid = passes(F.forall(F.array(known, whole, *sound), lambda x: x))
+    return rows.withColumn("code", normalize_code(F.col("code"))).withColumn("valid", valid)
 
 
 def stored_flags(rows: DataFrame, names: list[str]) -> DataFrame:
