@@ -1,10 +1,13 @@
 """License scans by conditional compression.
 
-The words around a license keyword, on either side as many as the longest template has and may differ by, are a candidate
-region, whatever its lines. In a region every template is aligned with the words at the least exact difference in
-wording: the words of the template that the text lacks and the words it puts between them. A place is confirmed if these
-are few, all its numbers and versions agree, and zstandard with the template as a raw dictionary compresses the place
-better than alone.
+A candidate block is the words around those that tell a template, on either side as many as the longest template has and
+may differ by, whatever its lines; a longer one is read in overlapping parts. Each template tells itself by as many of its
+longest words as it may lack, and one more, so that no place within the allowed difference is without one of them.
+
+A block is compressed alone and with each template as a raw dictionary of zstandard. The templates are ranked by the bytes
+that they save, and gone down as long as they save any. Each is confirmed by the exact differences in wording at its best
+places: the words of the template that the text lacks and the words that it puts between them. A place stands if these
+are few, all its numbers and versions agree, and the template saves bytes of the place itself.
 
 Defined results: null and empty texts hold nothing; of confirmed places that overlap, the one with the most words of its
 template stands, then the one with fewer differences, the one that saves more, the first by name; all others are
@@ -15,6 +18,7 @@ a null doc_id is carried through, an empty table gives no rows, other columns ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,16 +53,39 @@ TEMPLATES = {
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-KEYWORDS = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"spdx")
 #: Share of a template's words that may differ, one word at least.
 DIFFERENCE = 0.1
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
-_KEYWORD = re.compile("|".join(k.decode() for k in KEYWORDS), re.I)
 _MARKS = re.compile(r"[^\w\s]*")
 _OUT = "doc_id long, start long, end long, license string, saved double, missing array<string>, added array<string>, exact boolean"
 
 
+#: Characters of blocks whose places a task remembers.
+MEMO = 1 << 22
+
+
+class Places:
+    """Intervals that don't overlap."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, at: int) -> bool:
+        k = bisect_right(self.starts, at)
+        return k > 0 and at < self.ends[k - 1]
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes an interval unless it overlaps one that is held."""
+        k = bisect_right(self.starts, start)
+        if k and start < self.ends[k - 1] or k < len(self.starts) and self.starts[k] < end:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 class Templates:
     """Compressors with one template each as raw dictionary, and the templates' words."""
 
@@ -71,15 +98,26 @@ class Templates:
         self.words = {k: _WORD.findall(t.lower()) for k, t in templates.items()}
         self.most = {k: int(max(1, DIFFERENCE * len(w))) for k, w in self.words.items()}
         self.reach = max((len(w) + self.most[k] for k, w in self.words.items()), default=0)
+        # of each template as many of its longest words as it may lack, and one more
+        order = {k: sorted(set(w), key=lambda x: (-len(x), x))[: self.most[k] + 1] for k, w in self.words.items()}
+        self.telling = frozenset(w for some in order.values() for w in some)
+        self.prefilter = [w.encode() for w in sorted(self.telling)]
 
     @staticmethod
     def _plain(text: str) -> str:
         return " ".join(text.lower().split())
 
-    def saved(self, block: str, name: str) -> float:
-        """Share of the block's compressed size that the template as dictionary saves."""
+    def bytes_saved(self, block: str, names: list[str] | None = None) -> dict[str, tuple[int, float]]:
+        """(bytes, share) of the block's compressed size that each template saves as a dictionary."""
         data = self._plain(block).encode()
-        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+        alone = len(self.alone.compress(data))
+        sizes = {k: len(self.given[k].compress(data)) for k in (names or self.given)}
+        return {k: (alone - n, 1 - n / alone) for k, n in sizes.items()}
+
+    def ranked(self, block: str) -> list[str]:
+        """The templates that save bytes of a block, those that save most first."""
+        saved = self.bytes_saved(block)
+        return sorted((k for k in saved if saved[k][0] > 0), key=lambda k: (-saved[k][0], k))
 
     def places(self, found: list[str], name: str) -> Iterator[tuple[int, int, list[str], list[str]]]:
         """(first word, end, missing, added) of the places in the words that differ little enough from the template."""
@@ -96,8 +134,10 @@ class Templates:
             row[1:] = np.where(text == numbers.get(w, -1), np.minimum(row[1:], cost[i - 1, :-1]), row[1:])
             cost[i] = np.minimum.accumulate(row - at) + at
         ends = np.flatnonzero(cost[-1] <= most)
-        taken: list[tuple[int, int]] = []
+        taken = Places()
         for end in ends[np.argsort(cost[-1, ends], kind="stable")].tolist():
+            if taken.holds(end - 1):
+                continue
             i, j, missing, added = len(template), end, [], []
             while i:
                 if j and found[j - 1] == template[i - 1] and cost[i, j] == cost[i - 1, j - 1]:
@@ -109,24 +149,32 @@ class Templates:
                     j -= 1
                     added.append(found[j])
             telling = any(c.isdigit() or c == "-" for w in (*missing, *added) for c in w)
-            if j < end and not telling and not any(a < end and j < b for a, b in taken):
-                taken.append((j, end))
+            if j < end and not telling and taken.add(j, end):
                 yield j, end, missing[::-1], added[::-1]
 
-    def confirm(self, block: str) -> list[tuple[int, int, str, float, list[str], list[str]]]:
-        """(start, end, template, saved, missing, added) of all confirmed places of a block, none overlapping."""
+    def confirm(self, block: str, names: list[str] | None = None) -> list[tuple[int, int, str, float, list[str], list[str]]]:
+        """(start, end, template, saved, missing, added) of all confirmed places of a block, none overlapping; of the ranked
+        templates, or of the named ones."""
         spots = list(_WORD.finditer(block))
         found = [m.group().lower() for m in spots]
         every = []
-        for name in self.words:
-            for first, end, missing, added in self.places(found, name):
-                start, stop = spots[first].start(), spots[end - 1].end()
-                saved = self.saved(block[start:stop], name)
-                if saved > 0:
-                    every.append((len(missing) - len(self.words[name]), len(missing) + len(added), -saved, name, start, stop, missing, added))
+        part = 4 * self.reach
+        for at in range(0, max(1, len(found)), part - self.reach):
+            words = found[at : at + part]
+            if not words or at and len(words) <= self.reach:  # the part before has it whole
+                continue
+            within = block[spots[at].start() : spots[at + len(words) - 1].end()]
+            for name in self.ranked(within) if names is None else names:
+                for first, end, missing, added in self.places(words, name):
+                    start, stop = spots[at + first].start(), spots[at + end - 1].end()
+                    saved, share = self.bytes_saved(block[start:stop], [name])[name]
+                    if saved > 0:
+                        worth = (len(missing) - len(self.words[name]), len(missing) + len(added), -share)
+                        every.append((*worth, name, start, stop, missing, added))
         out: list[tuple[int, int, str, float, list[str], list[str]]] = []
+        taken = Places()
         for _, _, less, name, start, stop, missing, added in sorted(every):
-            if not any(a < stop and start < b for a, b, *_ in out):
+            if taken.add(start, stop):
                 out.append((start, stop, name, -less, missing, added))
         marks = [(*self._marked(block, o[0], o[1]), *o[2:]) for o in out]
         return sorted(marks)
@@ -137,10 +185,10 @@ class Templates:
         return start, _MARKS.match(block, stop).end()
 
 
-def candidate_regions(text: str, reach: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of the runs of words within reach of a keyword."""
+def candidate_regions(text: str, reach: int, telling: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of words within reach of a telling one."""
     spots = list(_WORD.finditer(text))
-    held = [i for i, m in enumerate(spots) if _KEYWORD.search(m.group())]
+    held = [i for i, m in enumerate(spots) if m.group().lower() in telling]
     first = end = -1
     for i in [*held, None]:
         if first >= 0 and (i is None or i - reach > end):
@@ -157,20 +205,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     chosen = dict(templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = Templates(chosen), {}
+        known, memo, held = Templates(chosen), {}, 0
         for batch in batches:
             rows: list[tuple] = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 low = (data or b"").lower()
-                if not any(k in low for k in KEYWORDS):
+                if not any(k in low for k in known.prefilter):
                     continue
                 whole = data.decode()
-                for start, end in candidate_regions(whole, known.reach):
+                for start, end in candidate_regions(whole, known.reach, known.telling):
                     block = whole[start:end]
                     if block not in memo:
-                        if len(memo) > 5000:
+                        if held > MEMO:
                             memo.clear()
-                        memo[block] = known.confirm(block)
+                            held = 0
+                        memo[block], held = known.confirm(block), held + len(block)
                     rows += [(key, start + a, start + b, name, saved, missing, added, not missing and not added) for a, b, name, saved, missing, added in memo[block]]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _OUT.split(", ")])
