@@ -46,7 +46,10 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article articlebody content contents main maincontent post postbody entry story body text page prose".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: Elements deeper than this are read as if they stood in the last one that isn't, as browsers do.
+DEEPEST = 256
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+_QUOTE_OR_END = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -88,11 +91,78 @@ def _markup(tag: str, attributes: str, in_content: bool) -> int:
     return flags
 
 
+class Tokens:
+    """Comments, declarations, CDATA sections and tags of a page, one after another.
+
+    What a search didn't find isn't sought again, and an attempt that meets one that failed fails with it, so the time
+    grows with the page, however it is malformed.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.absent: dict[str, int] = {}
+        self.mark = (0, -1)
+        self.failed: set[int] = set()
+
+    def find(self, needle: str, at: int) -> int:
+        """Where needle stands from `at` on, -1 if nowhere."""
+        if at >= self.absent.get(needle, len(self.page) + 1):
+            return -1
+        found = self.page.find(needle, at)
+        if found < 0:
+            self.absent[needle] = at
+        return found
+
+    def next_mark(self, at: int) -> int:
+        """The next quote or >, the page's length if there is none."""
+        first, found = self.mark
+        if not first <= at <= found:
+            m = _QUOTE_OR_END.search(self.page, at)
+            found = m.start() if m else len(self.page)
+            self.mark = (at, found)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The > that ends a tag whose attributes begin at `at`, outside of quotes; -1 if there is none."""
+        passed = []
+        while at not in self.failed:
+            passed.append(at)
+            mark = self.next_mark(at)
+            if mark == len(self.page):
+                break
+            if self.page[mark] == ">":
+                return mark
+            close = self.find(self.page[mark], mark + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(passed)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, kind, name, attributes) of the next token; kind is open, close, cdata or other."""
+        page = self.page
+        while (at := self.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, "other", "", ""
+            if page.startswith("<![CDATA[", at) and (end := self.find("]]>", at + 9)) >= 0:
+                return at, end + 3, "cdata", "", ""
+            if page[at + 1 : at + 2] in ("!", "?"):
+                if (end := self.find(">", at + 2)) >= 0:
+                    return at, end + 1, "other", "", ""
+            elif (m := _TAG.match(page, at)) and (end := self.tag_end(m.end())) >= 0:
+                return at, end + 1, "close" if m[1] else "open", m[2].lower(), page[m.end() : end]
+            at += 1
+        return None
+
+
 def page_blocks(page: str) -> list[Block]:
     """The blocks of a page in order. An element's flags hold for all that is in it."""
     blocks: list[Block] = []
     # open elements: tag, its number, flags, dropped
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    tokens = Tokens(page)
     number, at, links = 0, 0, 0
     parts: list[str] = []
     linked: list[str] = []
@@ -113,21 +183,21 @@ def page_blocks(page: str) -> list[Block]:
                 linked.append(text)
 
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
+        token = tokens.after(at)
+        if token is None:
             rest = page[at:]
             # an unfinished tag at the end is no text
-            say(rest[: rest.rfind("<")] if re.search(r"<[A-Za-z/!][^>]*\Z", rest) else rest)
+            unfinished = re.search(r"<[A-Za-z/!]", rest[rest.rfind(">") + 1 :])
+            say(rest[: rest.rfind("<")] if unfinished else rest)
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:-3])
+        start, end, kind, tag, attributes = token
+        say(page[at:start])
+        at = end
+        if kind in ("cdata", "other"):
+            if kind == "cdata":
+                say(page[start + 9 : end - 3])
             continue
-        tag = tag.lower()
-        if m[1]:
+        if kind == "close":
             if tag not in INLINE:
                 flush()
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
@@ -148,15 +218,17 @@ def page_blocks(page: str) -> list[Block]:
             closes = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}.get(tag)
             if stack[-1][0] == closes or stack[-1][0] == "p" and tag not in VOID:
                 stack.pop()
-        if tag in VOID or m[3] == "/" or m[3].endswith(" /"):
+        if tag in VOID or attributes == "/" or attributes.endswith(" /"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            closing = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+            at = closing.end() if closing else len(page)
+            continue
+        if len(stack) >= DEEPEST:
             continue
         number += 1
         _, _, flags, dropped = stack[-1]
-        said = _markup(tag, m[3], bool(flags & (CONTENT_TAG | CONTENT_WORD))) if tag not in INLINE or m[3] else 0
+        said = _markup(tag, attributes, bool(flags & (CONTENT_TAG | CONTENT_WORD))) if tag not in INLINE or attributes else 0
         stack.append((tag, number, flags | said, dropped or tag in DROPPED))
         links += tag == "a"
     flush()
