@@ -615,9 +615,12 @@ def day_counts(spark, d):
     return history.day_fingerprints(T.prices(spark, d), "date", ["code", "close"]).select("date", "n")
 
 
-@query(sql("SELECT CAST(d AS DATE) AS date FROM range(DATE '2000-01-01', DATE '2000-03-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5"))
+@query("SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(range(MIN(o_orderdate), MAX(o_orderdate) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM orders) WHERE isodow(d) <= 5")
 def request_dates(spark, d):
-    return readers.request_dates(spark, "2000-01-01", "2000-02-29")
+    """The week days from the first order to the last."""
+    day = F.col("o_orderdate").cast("date").cast("string")
+    first, last = T.table(spark, d, "orders").agg(F.min(day), F.max(day)).first()
+    return readers.request_dates(spark, first, last)
 
 
 @query(sql("SELECT code, CASE WHEN length(code) = 4 THEN code || '0' ELSE code END AS normal, CASE WHEN length(code) = 5 AND code LIKE '%0' THEN substr(code, 1, 4) ELSE code END AS shown, CAST(c_custkey % 2 = 0 AS BOOLEAN) AS flag FROM (SELECT CAST(c_custkey AS VARCHAR) AS code, c_custkey FROM customer)"))
