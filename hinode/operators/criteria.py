@@ -83,12 +83,12 @@ ACTIVITY = {"volatility_60d": 0.45, "average_intraday_range_20d": 0.35, "average
 
 def activity_score(rows: DataFrame) -> DataFrame:
     """45/35/20 blend of percentile ranks of volatility, range and turnover; ties share their mean rank, null ranks 0."""
-    rows = stored(rows, "activity")
-    long = unpivot(rows, ["as_of", "code"], tuple(ACTIVITY))
+    rows = stored(rows.withColumn("activity_row", F.monotonically_increasing_id()), "activity")  # numbers are kept as written
+    long = unpivot(rows, ["as_of", "activity_row"], tuple(ACTIVITY))
     ranks = percent_ranks(long, ["as_of", "measure"], "value")
     ranked = long.join(ranks, ["as_of", "measure", "value"])
     each = [F.max(F.when(F.col("measure") == m, F.col("percent_rank"))).alias(f"rank_{m}") for m in ACTIVITY]
-    joined = rows.join(ranked.groupBy("as_of", "code").agg(*each), ["as_of", "code"], "left")
+    joined = rows.join(ranked.groupBy("activity_row").agg(*each), "activity_row", "left").drop("activity_row")
     total = sum((part * F.coalesce(f"rank_{m}", F.lit(0.0)) for m, part in ACTIVITY.items()), F.lit(0.0))
     return joined.withColumn("activity_score", 100.0 * total).drop(*[f"rank_{m}" for m in ACTIVITY])
 
