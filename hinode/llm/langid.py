@@ -192,12 +192,16 @@ def train_language_model(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
 
     sample = chosen.mapInArrow(counted, "lang string, fold long, dimension array<int>, count array<int>").toArrow()
     train, held = [], []
-    for lang, fold, dimension, count in zip(*(sample.column(k).to_pylist() for k in ("lang", "fold", "dimension", "count")), strict=True):
-        if dimension:
-            at = np.array(dimension)
-            x = tfidf(np.zeros(len(at), np.int64), at, np.array(count), idf, 1)
+    whole = sample.combine_chunks()
+    lists = [whole.column(k).combine_chunks() if whole.num_rows else pa.array([], pa.list_(pa.int32())) for k in ("dimension", "count")]
+    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]  # as arrays, not as lists of Python's numbers
+    ends = np.concatenate(([0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    for n, (lang, fold) in enumerate(zip(whole.column("lang").to_pylist(), whole.column("fold").to_pylist(), strict=True)):
+        at, count = (x[ends[n] : ends[n + 1]].astype(np.int64) for x in flat)
+        if len(at):
+            x = tfidf(np.zeros(len(at), np.int64), at, count, idf, 1)
             (held if fold == 0 else train).append((at, x, languages.index(lang)))
-    order = lambda r: (r[2], len(r[0]), r[0].tolist(), r[1].tolist())  # noqa: E731  the same whatever order the rows came in
+    order = lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes())  # noqa: E731  the same whatever order the rows came in
     train, held = sorted(train, key=order), sorted(held, key=order)
     weights, bias = fit_ftrl(train, dimensions, len(languages))
     logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(languages))
