@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinode.functions.scalars import coerce_flag, passes
-from hinode.operators.asof import as_of_backward, keep_last
+from hinode.operators.asof import as_of_backward, as_of_merge, forward_outcomes, keep_last, sessions
 
 #: Fixed rules: name, column, direction, threshold.
 CONDITIONS = (
@@ -64,15 +64,33 @@ def outcome_summary(events: DataFrame, horizons: tuple[int, ...], by: list[str]
     return rows.groupBy(*by, "horizon").agg(n.alias("n"), F.avg("r").alias("mean_return"), F.when(n > 0, F.count_if(F.col("r") > 0) / n).alias("positive_share"))
 
 
+def enrich_outcomes(events: DataFrame, prices: DataFrame, horizons: tuple[int, ...], basis: str | None = None) -> DataFrame:
+    """Star events with their outcomes over sessions of prices.
+
+    An event without a valid entry price enters at the first close on or after its date, and its date becomes that day's;
+    without one it stays as it is, with null outcomes. `basis` is set on events that have an entry.
+    """
+    valid = prices.where("date IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)").select("code", "date", "close")
+    given = passes((F.col("entry_price") > 0) & ~F.isnan("entry_price"))
+    rows = as_of_merge(events, valid, ["code"], "star_date", "date", forward=True)
+    entry = F.when(given, F.col("entry_price")).otherwise(F.col("_found.close"))
+    day = F.when(given, F.col("star_date")).otherwise(F.coalesce("_found.date", "star_date"))
+    rows = rows.withColumns({"entry_price": entry, "star_date": day}).select(*events.columns)
+    made = forward_outcomes(rows, sessions(prices), horizons, date="star_date")
+    return made if basis is None else made.withColumn("basis", F.when(F.col("entry_price").isNotNull(), F.lit(basis)))
+
+
 def reconcile_outcomes(rebuilt: DataFrame, saved: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """Rebuilt events with saved returns where they are not null and of the same basis."""
-    names = [f"return_{h}d" for h in horizons]
-    stored = saved.select("code", "star_date", F.col("basis").alias("saved_basis"), *[F.col(n).alias(f"saved_{n}") for n in names])
+    """Rebuilt events with the saved entry price, returns and elapsed days where they are not null and of the same basis. Of
+    saved rows of one event the greatest counts."""
+    names = ["entry_price", *[f"{k}_{h}d" for h in horizons for k in ("return", "actual_days")]]
+    names = [n for n in names if n in rebuilt.columns and n in saved.columns]
+    stored = keep_last(saved, ["code", "star_date"], [F.struct("basis", *names).desc()])
+    stored = stored.select("code", "star_date", F.col("basis").alias("saved_basis"), *[F.col(n).alias(f"saved_{n}") for n in names])
     joined = rebuilt.join(stored, ["code", "star_date"], "left")
     same = passes(F.col("saved_basis") == F.col("basis"))
-    for n in names:
-        joined = joined.withColumn(n, F.coalesce(F.when(same, F.col(f"saved_{n}")), F.col(n)))
-    return joined.select(*rebuilt.columns)
+    kept = {n: F.coalesce(F.when(same, F.col(f"saved_{n}")), F.col(n)) for n in names}
+    return joined.withColumns(kept).select(*rebuilt.columns) if kept else joined.select(*rebuilt.columns)
 
 
 def condition_performance(events: DataFrame, analysis: DataFrame, horizons: tuple[int, ...]) -> DataFrame:

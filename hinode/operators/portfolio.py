@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 def order_proposals(candidates: DataFrame, capital: float = 3_000_000.0, max_total: float = 0.60, max_positions: int = 6, max_position: float = 0.10, risk: float = 0.008, stop: float = 0.22, lot: int = 100, tranches: tuple = ((0.0, 0.4), (0.07, 0.3), (0.15, 0.3))) -> DataFrame:
     """Whole-lot orders of the best candidates (code, close, score) in tranches, within the total that may be invested.
 
-    Lots are split by largest remainder. The running total is a fold over at most max_positions x tranches orders.
+    Lots are split by largest remainder. The running total is a fold over at most max_positions x tranches orders; with a
+    column as_of there is one for each date.
     """
-    top = candidates.orderBy(F.desc("score"), "code").limit(max_positions)
-    rows = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "code")))  # max_positions rows
+    by = [c for c in ("as_of",) if c in candidates.columns]
+    if not by:
+        best = candidates.orderBy(F.desc("score"), "code").limit(max_positions).withColumn("as_of", F.lit(None).cast("date"))
+    else:
+        best = candidates
+    nth = F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("score"), "code"))
+    rows = best.withColumn("place", nth).where(F.col("place") <= max_positions)
     quantity = F.least(F.lit(capital * risk) / (F.col("close") * stop), F.lit(capital * max_position) / F.col("close"))
     rows = rows.withColumn("lots", F.floor(quantity / lot)).where("lots > 0")
     total = sum(w for _, w in tranches)
     parts = F.array(*[F.struct(F.lit(i + 1).alias("tranche"), F.lit(d).alias("discount"), F.lit(w / total).alias("share")) for i, (d, w) in enumerate(tranches)])
-    rows = rows.withColumn("p", F.explode(parts)).select("place", "code", "close", "lots", "p.*").withColumn("raw", F.col("lots") * F.col("share")).withColumn("base", F.floor("raw"))
-    order = Window.partitionBy("place").orderBy(F.desc(F.col("raw") - F.col("base")), "tranche")
-    left = F.col("lots") - F.sum("base").over(Window.partitionBy("place"))
+    rows = rows.withColumn("p", F.explode(parts)).select("as_of", "place", "code", "close", "lots", "p.*").withColumn("raw", F.col("lots") * F.col("share")).withColumn("base", F.floor("raw"))
+    order = Window.partitionBy("as_of", "place").orderBy(F.desc(F.col("raw") - F.col("base")), "tranche")
+    left = F.col("lots") - F.sum("base").over(Window.partitionBy("as_of", "place"))
     rows = rows.withColumn("extra", F.when(F.row_number().over(order) <= left, 1).otherwise(0))
-    rows = rows.select("place", "code", "tranche", F.bround(F.col("close") * (1.0 - F.col("discount")), 1).alias("limit_price"), ((F.col("base") + F.col("extra")) * lot).cast("double").alias("quantity")).where("quantity > 0")
+    rows = rows.select("as_of", "place", "code", "tranche", F.bround(F.col("close") * (1.0 - F.col("discount")), 1).alias("limit_price"), ((F.col("base") + F.col("extra")) * lot).cast("double").alias("quantity")).where("quantity > 0")
     limit = capital * max_total
     cell = "struct<place:int,code:string,tranche:int,limit_price:double,quantity:double>"
     zero = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("skip"), F.array().cast(f"array<{cell}>").alias("out"))
@@ -35,9 +41,9 @@ def order_proposals(candidates: DataFrame, capital: float = 3_000_000.0, max_tot
         stops = F.struct(s["used"].alias("used"), o["place"].alias("skip"), s["out"].alias("out"))
         return F.when(~open_, s).when(fit > 0, buys).otherwise(stops)
 
-    orders = rows.agg(F.sort_array(F.collect_list(F.struct("place", "tranche", "code", "limit_price", "quantity"))).alias("orders"))
-    folded = orders.select(F.explode(F.aggregate("orders", zero, step, lambda s: s["out"])).alias("o")).select("o.*")
-    return folded.select("code", "tranche", "limit_price", F.col("quantity").cast("long").alias("quantity"), (F.col("limit_price") * F.col("quantity")).alias("amount"), (F.col("limit_price") * (1.0 - stop)).alias("stop_price"))
+    orders = rows.groupBy("as_of").agg(F.sort_array(F.collect_list(F.struct("place", "tranche", "code", "limit_price", "quantity"))).alias("orders"))
+    folded = orders.select("as_of", F.explode(F.aggregate("orders", zero, step, lambda s: s["out"])).alias("o")).select("as_of", "o.*")
+    return folded.select(*by, "code", "tranche", "limit_price", F.col("quantity").cast("long").alias("quantity"), (F.col("limit_price") * F.col("quantity")).alias("amount"), (F.col("limit_price") * (1.0 - stop)).alias("stop_price"))
 
 
 def backtest_positions(signals: DataFrame, prices: DataFrame, top_n: int = 6, capital: float = 3_000_000.0, cost: float = 0.001) -> DataFrame:

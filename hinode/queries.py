@@ -456,11 +456,11 @@ def keep_last_upsert(spark, d):
     return df.select("code", "evaluation_date", half_up(F.col("latest_price")).alias("latest_price"), "note")
 
 
-@query(sql("SELECT final, COUNT(*) AS n FROM (SELECT COALESCE(intuitive_symbol, 'unassessed') AS final FROM px LEFT JOIN ev8 ON ev8.code = px.code AND evaluation_date = px.date) GROUP BY 1"))
+@query(sql("SELECT px.code, px.date AS analysis_date, COALESCE(intuitive_symbol, 'unassessed') AS final, status FROM px LEFT JOIN ev8 ON ev8.code = px.code AND evaluation_date = px.date"))
 def attach_evaluations(spark, d):
     analysis = T.prices(spark, d).select("code", F.col("date").alias("analysis_date"))
     made = evaluations(spark, d).withColumn("evaluated_at", F.col("evaluation_date"))
-    return history.attach_evaluations(analysis, made).groupBy("final").agg(F.count("*").alias("n"))
+    return history.attach_evaluations(analysis, made).select("code", "analysis_date", "final", "status")
 
 
 @query(sql(f"SELECT reason, COUNT(*) AS n FROM (SELECT unnest(list_filter([{_REASONS}], lambda x: x IS NOT NULL)) AS reason FROM sel) GROUP BY 1 ORDER BY n DESC, reason LIMIT 10"))
@@ -528,7 +528,7 @@ def backtest_metrics(spark, d):
 
 @query()
 def order_proposals(spark, d):
-    rows = screened(spark, d).where("as_of = DATE '2000-06-30'").select("code", "close", F.col("quantitative_score").alias("score"))
+    rows = screened(spark, d).select("as_of", "code", "close", F.col("quantitative_score").alias("score"))
     return portfolio.order_proposals(rows)
 
 

@@ -102,6 +102,28 @@ def day_signatures(spark, d):
     return history.portable_fingerprints(rows, "date", ["code", "cents"])
 
 
+_EVENTS = f"SELECT comp.code, day, px.close AS given FROM comp CROSS JOIN ({_MONTHS}) LEFT JOIN px ON px.code = comp.code AND px.date = day"
+_ENTERED = f"SELECT e.code, CASE WHEN given IS NULL THEN COALESCE(n.date, day) ELSE day END AS star_date, COALESCE(given, n.close) AS entry FROM ({_EVENTS}) e ASOF LEFT JOIN px n ON n.code = e.code AND day <= n.date"
+
+
+@query(
+    sql(
+        f"SELECT v.code, star_date, {r('entry', 'entry_price')}, {r('h30.close / entry - 1.0e0', 'return_30d')}, CASE WHEN entry IS NOT NULL THEN CAST(h30.date - star_date AS BIGINT) END AS actual_days_30d, "
+        f"{r('h180.close / entry - 1.0e0', 'return_180d')} FROM ({_ENTERED}) v ASOF LEFT JOIN ses a ON a.code = v.code AND a.date <= star_date LEFT JOIN ses h30 ON h30.code = v.code "
+        "AND h30.no = COALESCE(a.no, 0) + 30 LEFT JOIN ses h180 ON h180.code = v.code AND h180.no = COALESCE(a.no, 0) + 180"
+    )
+)
+def outcome_entries(spark, d):
+    """Outcomes from month ends: entered at the close of the day, and where there is none at the first one after it."""
+    bars = T.prices(spark, d)
+    months = spark.sql("SELECT last_day(m) AS star_date FROM (SELECT explode(sequence(DATE '1996-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS m)")
+    events = T.companies(spark, d).select("code").join(F.broadcast(months))  # 48 rows
+    events = events.join(bars.select("code", F.col("date").alias("star_date"), F.col("close").alias("entry_price")), ["code", "star_date"], "left")
+    df = history.enrich_outcomes(events, bars, HORIZONS)
+    days = F.col("actual_days_30d").cast("long").alias("actual_days_30d")
+    return df.select("code", "star_date", *rounded(df, "entry_price", "return_30d", "return_180d"), days)
+
+
 CUT = "1999-06-30"
 _LATER = " ".join(f"LEFT JOIN ses h{h} ON h{h}.code = s.code AND h{h}.no = a.no + {h}" for h in HORIZONS)
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hinode.operators import asof
+from hinode.operators import asof, history
 
 DAY = dt.date(2023, 11, 20)
 
@@ -93,3 +93,19 @@ def test_one_look_up_gives_all_horizons_and_delays(spark):
     late = asof.forward_returns(anchors, prices, (3,), delay=2, suffix="_late").select("code", "as_of", "return_3d_late")
     same = whole.select("code", "as_of", F.col("return_3d_entry_delay_2d").alias("return_3d_late"))
     assert sorted(map(str, late.collect())) == sorted(map(str, same.collect()))
+
+
+def test_outcomes_enter_at_the_first_close_if_they_have_no_price(spark):
+    prices = bars(spark, "1", [0, 3, 4, 5], [100.0, 110.0, 121.0, 99.0])
+    rows = [("1", day(0), 50.0), ("1", day(1), None), ("1", day(3), -1.0), ("1", day(9), None), ("2", day(0), None), ("1", day(4), float("nan"))]
+    events = spark.createDataFrame(rows, "code string, star_date date, entry_price double")
+    got = sorted(tuple(r) for r in history.enrich_outcomes(events, prices, (1,), "b").select("code", "star_date", "entry_price", "return_1d", "basis").collect())
+    ten = pytest.approx(0.1)
+    assert got == [
+        ("1", day(0), 50.0, pytest.approx(1.2), "b"), ("1", day(3), 110.0, ten, "b"), ("1", day(3), 110.0, ten, "b"),
+        ("1", day(4), 121.0, pytest.approx(99 / 121 - 1), "b"), ("1", day(9), None, None, None), ("2", day(0), None, None, None),
+    ]
+    saved = spark.createDataFrame([("1", day(0), 40.0, 0.7, "b"), ("1", day(0), 41.0, 0.8, "b"), ("1", day(4), 1.0, 9.0, "old")], "code string, star_date date, entry_price double, return_1d double, basis string")
+    made = history.enrich_outcomes(events.limit(1), prices, (1,), "b")
+    kept = history.reconcile_outcomes(made, saved, (1,)).first()
+    assert (kept.entry_price, kept.return_1d, kept.actual_days_1d) == (41.0, 0.8, 3)
