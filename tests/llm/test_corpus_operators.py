@@ -483,4 +483,4 @@ def test_no_rows_give_no_rows(empty, spark):
 
 
 def test_every_number_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries()) == list(range(1, 14))
