@@ -40,9 +40,14 @@ class DemoConfig:
 
 
 def prepare_universe(companies: DataFrame, prices: DataFrame, filings: DataFrame, as_of: DataFrame, index: DataFrame | None = None, least: int = 30) -> DataFrame:
-    """Threshold-free features per (as_of, code): computed once, screened as often as wished."""
+    """Threshold-free features per (as_of, code): computed once, screened as often as wished.
+
+    companies: one master for all dates, or with a column as_of the master of each date; then a date's securities are those
+    that its master knew, with the attributes that it gave them, and no other takes part in its ranks and medians.
+    """
     dates = as_of.select("as_of")
-    rows = price_features(prices, dates, index, least).join(financial_features(filings, dates), ["as_of", "code"]).join(companies, "code")
+    rows = price_features(prices, dates, index, least).join(financial_features(filings, dates), ["as_of", "code"])
+    rows = rows.join(companies, ["as_of", "code"] if "as_of" in companies.columns else "code")
     return add_sector_context(add_valuation(rows))
 
 

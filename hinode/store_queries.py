@@ -66,6 +66,28 @@ def master_coverage(spark, d):
     return walkforward.cohort_audit(T.prices(spark, d), T.financials(spark, d), master, dates(spark))
 
 
+#: Masters of the replays: the growth market joins with the second, which is archived first.
+REPLAY_MASTERS = (("2000-01-31", "true"), ("1998-06-30", "market <> 'Growth'"))
+_KNOWN = "SELECT as_of, comp.* FROM comp, dates WHERE as_of >= DATE '2000-01-31' OR market <> 'Growth'"
+
+
+@query(
+    sql(f"SELECT as_of, code, market, CAST(peers AS BIGINT) AS peers, {r('sector_relative_return_6m')}, selected FROM sel").replace(
+        "JOIN comp USING (code)", f"JOIN ({_KNOWN}) known USING (as_of, code)"
+    )
+)
+def point_in_time_screen(spark, d):
+    """The screen of each replay date over the securities that the archived master of the day knew."""
+    store = Store(spark, scratch_path(spark, "masters"))
+    for day, listed in REPLAY_MASTERS:
+        masters.archive_master(store, T.companies(spark, d).where(listed), day)
+    known = masters.masters_as_of(store, dates(spark)).drop("master_date")
+    bars, index = T.prices(spark, d), T.index_series(spark, d)
+    rows = screen.prepare_universe(known, bars, T.financials(spark, d), dates(spark), index)
+    df = criteria.apply_criteria(rows, LOOSE).withColumnRenamed("sector_peer_count_6m", "peers")
+    return df.select("as_of", "code", "market", "peers", *rounded(df, "sector_relative_return_6m"), "selected")
+
+
 # --- days, fingerprints, rewrites -----------------------------------------------------------------------------------
 
 _MONTHS = "SELECT CAST(last_day(CAST(m AS DATE)) AS DATE) AS day FROM range(DATE '1996-01-01', DATE '2000-01-01', INTERVAL 1 MONTH) t(m)"

@@ -25,16 +25,13 @@ def star_transitions(evaluations: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         was = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches)).sort_values("evaluation_date")
-        out = []
-        for r in rows.itertuples():
-            if pd.isna(r.latest_price):
-                continue
-            if r.is_star and not was:
-                out.append((key[0], r.evaluation_date, r.latest_price))
-            was = bool(r.is_star)
-        state.update((was,))
-        yield pd.DataFrame(out, columns=["code", "evaluation_date", "latest_price"])
+        rows = pd.concat(list(batches)).sort_values("evaluation_date", kind="stable")
+        rows = rows[rows["latest_price"].notna()]
+        is_star = rows["is_star"].fillna(False).astype(bool)
+        starts = is_star & ~is_star.shift(fill_value=bool(was))
+        state.update((bool(is_star.iloc[-1]) if len(rows) else bool(was),))
+        out = rows[starts]
+        yield pd.DataFrame({"code": [key[0]] * len(out), "evaluation_date": out["evaluation_date"].to_numpy(), "latest_price": out["latest_price"].to_numpy()})
 
     return evaluations.groupBy("code").applyInPandasWithState(step, "code string, evaluation_date date, latest_price double", "was boolean", "append", GroupStateTimeout.NoTimeout)
 
