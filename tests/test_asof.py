@@ -109,3 +109,30 @@ def test_outcomes_enter_at_the_first_close_if_they_have_no_price(spark):
     made = history.enrich_outcomes(events.limit(1), prices, (1,), "b")
     kept = history.reconcile_outcomes(made, saved, (1,)).first()
     assert (kept.entry_price, kept.return_1d, kept.actual_days_1d) == (41.0, 0.8, 3)
+
+
+def scans(df):
+    """How often the plan reads each of its sources."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+
+
+def test_merge_and_outcomes_read_both_sides_once(spark, tmp_path):
+    left, _, left_df, right_df = tables(spark, 7)
+    left_df.write.parquet(str(tmp_path / "left"))
+    right_df.withColumn("close", F.lit(1.0)).write.parquet(str(tmp_path / "right"))
+    mine, theirs = spark.read.parquet(str(tmp_path / "left")), spark.read.parquet(str(tmp_path / "right"))
+    merged = asof.as_of_merge(mine, theirs, ["code"], "found", "date", name="near")
+    assert scans(merged) == 2 and merged.count() == len(left)
+    anchors = mine.withColumn("entry_price", F.lit(1.0))
+    found = asof.forward_outcomes(anchors, asof.sessions(theirs), (1, 3), (0, 2), date="found")
+    assert scans(found) == 2 and found.count() == len(left)
+
+
+def test_outcomes_of_anchors_between_before_and_without_sessions(spark):
+    prices = bars(spark, "1", [2, 4, 6, 8], [10.0, 20.0, 30.0, 40.0])
+    rows = [("1", day(0)), ("1", day(4)), ("1", day(5)), ("1", None), ("2", day(4)), (None, day(4)), (None, day(4)), ("1", day(9))]
+    anchors = spark.createDataFrame([(*r, 10.0, {"k": 1}) for r in rows], "code string, as_of date, entry_price double, note map<string,int>")
+    got = sorted(((r.code, r.as_of, r.return_2d, r.actual_days_2d) for r in asof.forward_outcomes(anchors, asof.sessions(prices), (2,)).collect()), key=str)
+    late = pytest.approx
+    expected = [("1", day(0), late(1.0), 4), ("1", day(4), late(3.0), 4), ("1", day(5), late(3.0), 3), ("1", None, late(1.0), None), ("2", day(4), None, None), (None, day(4), None, None), (None, day(4), None, None), ("1", day(9), None, None)]
+    assert len(got) == 8 and all(e in got for e in expected)
