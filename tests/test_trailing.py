@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -43,3 +44,17 @@ def test_features_of_bars_have_no_sliding_frames(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         for n in (13, 19, 49, 59, 125, 199, 251):
             assert f"specifiedwindowframe(RowFrame, -{n}," not in plan
+
+
+def test_score_before_is_the_last_bar_so_many_days_back_read_once(spark, tmp_path):
+    rng = random.Random(5)
+    day = dt.date(2020, 1, 1)
+    rows = [(c, day + dt.timedelta(days=n), rng.randrange(-6, 7), "x") for c in ("a", "b", None) for n in sorted(rng.sample(range(400), 90))] + [("a", None, 9, "x")]
+    spark.createDataFrame(rows, "code string, date date, trend_score int, trend_state string").write.parquet(str(tmp_path / "bars"))
+    found = prices.with_before(spark.read.parquet(str(tmp_path / "bars")))
+    for r in found.collect():
+        back = [x[1:] for x in rows if r.code and r.date and x[0] == r.code and x[1] and x[1] <= r.date - dt.timedelta(days=90)]
+        assert (tuple(r._before) if r._before else None) == max(back, default=None)
+    bars = spark.read.parquet(str(tmp_path / "bars")).withColumn("next_date", F.lead("date").over(prices.by_code()))
+    moved = prices.trend_transition(bars, spark.createDataFrame([(dt.date(2020, 12, 1),)], "as_of date"))
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1 and moved.count() == 3
