@@ -14,7 +14,7 @@ from hinode.plans.detail import stock_detail
 from hinode.queries import LOOSE, STARS, dates, evaluations, query, replay, rounded, star_outcomes_of, universe
 from hinode.sources import coverage, masters, readers
 from hinode.sources import driver_tables as T
-from hinode.sources.store import scratch_path
+from hinode.sources.store import scratch_path, stored
 from hinode.sources.versions import Store
 
 # --- the archive of masters -----------------------------------------------------------------------------------------
@@ -260,6 +260,7 @@ def benchmark_modes(spark, d):
     """The relative return of each mode; the fund is the first of a list that has bars."""
     bars = T.prices(spark, d)
     rows = screen.with_proxy(universe(spark, d), bars, dates(spark), readers.proxy_series(bars, ["no such fund", "1"]))
+    rows = stored(rows.select("as_of", "code", "return_6m", "index_return_6m", "proxy_return_6m"), "benchmarks")
     out = None
     for mode in _MODES:
         one = criteria.resolve_benchmark(rows, mode).withColumn("relative", F.col("relative_return_6m"))
