@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hinode.operators import history, review, search, walkforward
+from hinode.queries import QUERIES
 from hinode.sources import readers
 
 DAY = dt.date(2024, 1, 1)
@@ -139,3 +140,18 @@ def test_entry_without_the_optional_subpackage():
         pytest.skip("no driver tables here")
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=180)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_evaluation_summary_reads_its_rows_once(spark, tmp_path):
+    rows = [("1", "2024-01-01", "◎☆", "same_day", None), ("2", "2024-01-02", " ", "unassessed", "late"), ("1", "2024-01-02", "×", "unassessed", ""), ("3", "2024-01-03", "×", "backfilled", None)]
+    spark.createDataFrame(rows, "code string, evaluation_date string, intuitive_symbol string, status string, reason string").write.parquet(str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    said = history.evaluation_summary(read)
+    assert "intuitive_symbol" not in said._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(said.first()) == ("4 records of 3 securities, 2024-01-01 to 2024-01-03", "most often ×, 2 times (50.0%)", "1 high, 0 to watch, 2 to avoid", "2 unassessed (50.0%), mostly late")
+    assert tuple(history.evaluation_summary(read.limit(0)).first())[0] == "no records"
+
+
+def test_benchmark_modes_compute_their_features_once(spark):
+    df = QUERIES["benchmark_modes"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
