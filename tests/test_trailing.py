@@ -58,3 +58,37 @@ def test_score_before_is_the_last_bar_so_many_days_back_read_once(spark, tmp_pat
     bars = spark.read.parquet(str(tmp_path / "bars")).withColumn("next_date", F.lead("date").over(prices.by_code()))
     moved = prices.trend_transition(bars, spark.createDataFrame([(dt.date(2020, 12, 1),)], "as_of date"))
     assert moved._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1 and moved.count() == 3
+
+
+def test_wanted_rows_are_measured_over_all_rows(spark):
+    rng = random.Random(7)
+    data = [(code, i, rng.choice([None, rng.uniform(-9, 9), rng.uniform(-9, 9)]), rng.choice([None, False, False, True])) for code, m in (("a", 80), ("b", 1), ("c", 31)) for i in range(m)]
+    rows = spark.createDataFrame(data, "code string, day int, x double, ask boolean").withColumn("no", F.row_number().over(Window.partitionBy("code").orderBy("day")))
+    measures = {"mean": ("avg", "x", 20), "sd": ("sd", "x", 12), "high": ("max", "x", 25), "n": ("count", "x", 13), "oldest": ("oldest", "x", 10), "later": ("ago", "mean", 3)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for some in (measures, {k: v for k, v in measures.items() if k != "later"}):
+                every = trailing(rows, "code", "day", "no", some).where("ask").orderBy("code", "day").collect()
+                assert trailing(rows, "code", "day", "no", some, "ask").orderBy("code", "day").collect() == every and every
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_bars_are_dealt_by_code_alone_and_return_only_what_stands(spark):
+    start = dt.date(2020, 1, 1)
+    bars = spark.createDataFrame([(c, start + dt.timedelta(days=2 * i), 1.0 + i % 5, 2.0, 0.5, 1.0, 9.0) for c in "ab" for i in range(60)], "code string, date date, close double, high double, low double, volume double, turnover double")
+    index = bars.groupBy("date").agg(F.avg("close").alias("index_close"))
+    as_of = spark.createDataFrame([(start + dt.timedelta(days=n),) for n in (61, 62, 63, 900)], "as_of date")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = prices.price_features(bars, as_of, index)
+        plan = found._jdf.queryExecution().executedPlan().toString().replace("date_", "")
+        assert plan.count("hashpartitioning(code") == 1 and "SortMergeJoin" not in plan
+        assert prices.rolling_features(bars, index, as_of).count() == 6
+        every = prices.pick_as_of(prices.rolling_features(bars, index), as_of)
+        assert found.orderBy("code", "as_of").collect() == every.orderBy("code", "as_of").collect() and every.count() == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
