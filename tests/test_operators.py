@@ -45,6 +45,18 @@ def test_features_ignore_the_future(spark):
     assert known.index_return_6m is None and known.relative_return_6m is None
 
 
+def test_filings_are_read_once_and_dealt_by_code_before_the_dates(spark, tmp_path):
+    rows = [(str(c), dt.date(2020 + y, 5, d), kind, 2020 + y, kind == "FY", 100.0 + y + d, 5.0 + d, 4.0, 0.1, 2.0, 80.0, 40.0, 9.0, None, 6.0 + d, 1.0, None, None, 0.3) for c in range(3) for y in range(4) for d, kind in ((1, "FY"), (9, "FY"), (9, "2Q"))]
+    schema = "code string, disclosure_date date, statement_type string, fiscal_year int, is_full_year_actual boolean, sales double, operating_profit double, operating_cf double, eps double, book_value_per_share double, total_assets double, equity double, cash double, interest_bearing_debt double, forecast_operating_profit double, actual_annual_dividend_per_share double, forecast_annual_dividend_per_share double, next_forecast_annual_dividend_per_share double, actual_payout_ratio double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "filings"))
+    dates = spark.createDataFrame([(dt.date(2021, 5, 5),), (dt.date(2024, 1, 1),)], "as_of date")
+    found = fundamentals.financial_features(spark.read.parquet(str(tmp_path / "filings")), dates)
+    assert str(tmp_path / "filings") not in "".join(found.inputFiles())
+    newest = {(r.as_of.year, r.code): (r.financial_history_years, r.financial_disclosure_date, r.operating_profit_latest, r.forecast_revision_from) for r in found.collect()}
+    # the newest filing of the last year counts; of one day, FY stands behind 2Q; guidance for another year is no revision
+    assert newest == {(a, str(c)): x for c in range(3) for a, x in ((2021, (2, dt.date(2021, 5, 1), 6.0, None)), (2024, (3, dt.date(2023, 5, 9), 14.0, 7.0)))}
+
+
 def test_short_histories_are_dropped(spark):
     assert prices.price_features(bars(spark, range(1, 30)), one_date(spark, day(100))).count() == 0
 
