@@ -18,6 +18,7 @@ from hinode.functions.scalars import finite
 from hinode.operators.asof import calendar_outcomes, keep_last, spaced_events
 from hinode.operators.criteria import ScreenConfig
 from hinode.operators.review import eligible_for_rule
+from hinode.sources.store import stored
 
 
 @dataclass(frozen=True)
@@ -108,9 +109,10 @@ def mature_events(analysis: DataFrame, prices: DataFrame, config: LearningConfig
     if "selection_strategy" in rows.columns:
         rows = rows.where(F.coalesce("selection_strategy", F.lit("")).isin(*STRATEGIES))
     if config.gap_days > 0:
-        rows = keep_last(rows, ["code", "analysis_date"], [F.struct(*rows.columns)])
+        rows = stored(keep_last(rows, ["code", "analysis_date"], [F.struct(*rows.columns)]), "analysis")
         rows = rows.join(spaced_events(rows, config.gap_days), ["code", "analysis_date"], "left_semi")
-    rows = calendar_outcomes(rows, prices, HORIZONS, "analysis_date", "close")
+    # an anchor's row is read for its targets and for their outcomes
+    rows = calendar_outcomes(stored(rows, "spaced"), prices, HORIZONS, "analysis_date", "close")
     rows = rows.where(F.col(f"return_{config.primary}d").isNotNull())
     if config.holdout_sessions <= 0:
         return rows.withColumn("held_out", F.lit(False))

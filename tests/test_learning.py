@@ -103,6 +103,15 @@ def test_events_are_spaced_and_of_the_screen(spark):
     assert learning.mature_events(spark.createDataFrame(rows, HISTORY), prices, unspaced).count() == 7
 
 
+def test_the_history_is_computed_once(spark, tmp_path):
+    rows = [(str(c), START + dt.timedelta(days=40 * k), 100.0, True, [], "", *measures()) for c in range(3) for k in range(4)]
+    spark.createDataFrame(rows, HISTORY).write.parquet(str(tmp_path / "history"))
+    bars = spark.createDataFrame([(str(c), START + dt.timedelta(days=d), 100.0 + d) for c in range(3) for d in range(0, 500, 5)], "code string, date date, close double")
+    for gap in (30, 0):
+        events = learning.mature_events(spark.read.parquet(str(tmp_path / "history")), bars, learning.LearningConfig(holdout_sessions=0, gap_days=gap))
+        assert str(tmp_path / "history") not in "".join(events.inputFiles()) and events.count() == 12
+
+
 def test_candidates_stay_within_bounds():
     by = {r.key: r for r in learning.RULES}
     assert learning.candidates(by["minimum_drawdown_52w"], -0.18) == [-0.24, -0.21, -0.18, -0.15, -0.12]
